@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate
+from corpusmill.llm import bpe, decontaminate, shard, substring, warc
 
 _MODULES = {
+    "op2_substring_dedup": substring,
+    "op5_shard": shard,
     "op8_decontaminate": decontaminate,
+    "op9_bpe": bpe,
+    "op10_warc": warc,
 }
 
 
