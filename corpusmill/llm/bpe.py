@@ -138,7 +138,7 @@ class TrieEncoder:
             if part in self.special:
                 out.append((True, part))
             else:
-                out += [(False, p) for w in part.split() for p in self._split(w)]
+                out += [(False, p) for w in self._runs(part) if w for p in self._split(w)]
         return out
 
     @staticmethod

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, decontaminate, shard, substring, warc
+from corpusmill.llm import bpe, covertree, decontaminate, html, jaccard, shard, substring, toxicity, warc
 
 _MODULES = {
+    "op1_html_extraction": html,
     "op2_substring_dedup": substring,
+    "op3_jaccard_join": jaccard,
+    "op4_embedding_dedup": covertree,
     "op5_shard": shard,
+    "op6_toxicity": toxicity,
     "op8_decontaminate": decontaminate,
     "op9_bpe": bpe,
     "op10_warc": warc,
