@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, covertree, decontaminate, html, jaccard, shard, substring, toxicity, warc
+from corpusmill.llm import bpe, covertree, decontaminate, html, jaccard, language, shard, substring, toxicity, warc
 
 _MODULES = {
     "op1_html_extraction": html,
@@ -11,6 +11,7 @@ _MODULES = {
     "op4_embedding_dedup": covertree,
     "op5_shard": shard,
     "op6_toxicity": toxicity,
+    "op7_language_id": language,
     "op8_decontaminate": decontaminate,
     "op9_bpe": bpe,
     "op10_warc": warc,
