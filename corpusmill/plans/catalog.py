@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from corpusmill.plans import attempts_q, corpus_q, select_q  # noqa: F401
+from corpusmill.plans.registry import QUERIES, SQL, Query
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["pass_at_k"](spark, sf_dir)
+    return QUERIES["pass_at_k"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
