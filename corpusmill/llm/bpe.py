@@ -15,6 +15,7 @@ repeated rows and an empty table need nothing special. Other columns are carried
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct words kept between chunks by one Python worker, and text bytes of a chunk.
-KEPT, CHUNK = 300_000, 4 << 20
+KEPT, CHUNK = 700_000, 4 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -37,6 +38,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)]
 
 
+#: Printable ASCII and precomposed Latin letters, but the one whose lower case is two characters.
+LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+
+
 class TrieEncoder:
     """The encoder of one tokenizer file."""
 
@@ -54,14 +59,23 @@ class TrieEncoder:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_file(path)
         self.normal, self.pieces_of = library.normalizer, library.pre_tokenizer
-        self.alphabet = byte_alphabet()
+        self.shown = dict(enumerate(byte_alphabet()))
         self.ascii_piece = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.symbols_of: dict[str, tuple[str, ...]] = {}
-        self.whole: dict[str, bool] = {}
+        self.whole: dict[str, bool | None] = dict.fromkeys(self.vocab)  # None: not yet known
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.longest = max(len(self._symbols(t)) for t in self.vocab)
-        self.words: dict[str, tuple[bytes, str, int]] = {}
-        self.pieces: dict[str, tuple[bytes, str, int]] = {}
+        # the longest token for each ending of three symbols, and of fewer for short tokens
+        self.longest: dict[str, int] = {}
+        for t in self.vocab:
+            n = len(self._symbols(t))
+            key = t[-3 - len(self.suffix) :] if t.endswith(self.suffix) and t != self.suffix else t[-3:]
+            if n >= 3 and self.longest.get(key, 2) < n:
+                self.longest[key] = n
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        # ids and names of the tokens of each run of text and of each piece
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}
+        self.pieces: dict[str, tuple[bytes, str]] = {}
 
     def _symbols(self, token: str) -> tuple[str, ...]:
         if (s := self.symbols_of.get(token)) is None:
@@ -71,7 +85,7 @@ class TrieEncoder:
         return s
 
     def merge(self, symbols: Iterable[str]) -> list[str]:
-        """Plain BPE: the lowest-ranked pair first, from the left. Settles single tokens and pairs only."""
+        """Plain BPE: the lowest-ranked pair first, from the left. Settles single tokens only."""
         s = list(symbols)
         while len(s) > 1:
             best = min((self.rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)))
@@ -82,91 +96,150 @@ class TrieEncoder:
         return s
 
     def _is_whole(self, token: str) -> bool:
-        if (w := self.whole.get(token)) is None:
-            w = self.whole[token] = token in self.vocab and self.merge(self._symbols(token)) == [token]
+        """Whether a token is what its own symbols are merged into; notes the two halves of the last merge."""
+        if (w := self.whole.get(token, False)) is None:
+            s = self._symbols(token)
+            w = len(s) == 1
+            self.halves[token] = None
+            if not w:
+                halves = self._two(s)
+                if halves and halves in self.rank and halves[0] + halves[1] == token:
+                    w, self.halves[token] = True, halves
+            self.whole[token] = w
         return w
 
+    def _two(self, symbols: tuple[str, ...]) -> tuple[str, str] | None:
+        """The two tokens that are left before the last merge."""
+        s = list(symbols)
+        while len(s) > 2:
+            best = min((self.rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)))
+            if best[0] == 1 << 60:
+                return None
+            i = best[1]
+            s[i : i + 2] = [s[i] + s[i + 1]]
+        return s[0], s[1]
+
+    def _made(self, token: str) -> int:
+        """Rank of the merge that makes a token; -1 for a symbol."""
+        halves = self.halves[token] if self._is_whole(token) else None
+        return self.rank[halves] if halves else -1
+
     def _is_pair(self, a: str, b: str) -> bool:
+        """Whether two whole tokens stay apart: undo their merges, latest first, and see if one across the gap would have come before."""
         if (p := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            p = self.pairs[a, b] = self.merge(self._symbols(a) + self._symbols(b)) == [a, b]
+            p = self.pairs[a, b] = self._apart(a, b)
         return p
 
-    def _last(self, text: str, depth: int, stack: list[tuple[str, int]], end: str) -> tuple[str, int]:
-        """The last token of text[:depth] (with the suffix if it ends the word), and the depth before it."""
-        for begin in range(max(0, depth - self.longest), depth):
-            token = text[begin:depth] + end
-            if token in self.vocab and self._is_whole(token) and (begin == 0 or self._is_pair(stack[begin][0], token)):
-                return token, begin
-        raise ValueError(f"no token ends {text[:depth]!r}")
+    def _apart(self, a: str, b: str) -> bool:
+        # a merge across the gap must come after `limit`: the last merges on both sides that it would have to precede
+        limit = 1 << 60
+        ra, rb = self._made(a), self._made(b)
+        while True:
+            if self.rank.get((a, b), limit) < limit:
+                return False
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:  # undo the left one: equal ranks stay with the left, which is merged first
+                limit, a = ra, self.halves[a][1]
+                ra = self._made(a)
+            else:
+                limit, b = rb + 1, self.halves[b][0]
+                rb = self._made(b)
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """(word, tokens) for distinct words in the byte alphabet, in depth-first order of their trie."""
+        """(word, tokens) for distinct words in the byte alphabet, in depth-first order of their trie.
+
+        stack[d] is the last token of the first d symbols and the depth before it.
+        """
         stack: list[tuple[str, int]] = [("", 0)]
         before = ""
+        suffix, longest, whole, pairs = self.suffix, self.longest, self.whole, self.pairs
         for word in sorted(words):
-            shared = 0
-            for a, b in zip(word, before, strict=False):
-                if a != b:
-                    break
+            size = len(word)
+            shared, most = 0, min(len(before), size - 1, len(stack) - 1)
+            while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del stack[min(shared, len(word) - 1) + 1 :]
-            for depth in range(len(stack), len(word)):
-                stack.append(self._last(word, depth, stack, ""))
-            token, at = self._last(word, len(word), stack, self.suffix)
+            del stack[shared + 1 :]
+            for depth in range(shared + 1, size + 1):
+                end = suffix if depth == size else ""
+                most = longest.get(word[depth - 3 : depth] + end, 2) if depth > 3 else depth
+                for begin in range(depth - most if depth > most else 0, depth):
+                    token = word[begin:depth] + end
+                    known = whole.get(token, False)
+                    if known is None:
+                        known = self._is_whole(token)
+                    if known:
+                        if begin == 0:
+                            break
+                        apart = pairs.get((stack[begin][0], token))
+                        if apart or (apart is None and self._is_pair(stack[begin][0], token)):
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+                if depth < size:
+                    stack.append((token, begin))
             out = [token]
-            while at:
-                token, at = stack[at]
+            while begin:
+                token, begin = stack[begin]
                 out.append(token)
             before = word
             yield word, out[::-1]
 
     def _split(self, word: str) -> list[str]:
         """Pieces, in the byte alphabet, of a run without white space or special tokens."""
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
         if word.isascii() and word.isprintable():  # these bytes stand for themselves
             return self.ascii_piece.findall(word.lower())
+        if LATIN(word):  # composed already, and lowered letter by letter
+            return [p.encode().decode("latin-1").translate(self.shown) for p in self.ascii_piece.findall(word.lower())]
         normal = self.normal.normalize_str(word)
         return [p for p, _ in self.pieces_of.pre_tokenize_str(normal)]
 
     def _parts(self, word: str) -> list[tuple[bool, str]]:
         """(special, piece) in order."""
-        if self.cut_special is None or "<|" not in word:
+        if self.cut_special is None or "<" not in word:
             return [(False, p) for p in self._split(word)]
         out = []
         for part in self.cut_special.split(word):
             if part in self.special:
                 out.append((True, part))
             else:
-                out += [(False, p) for w in self._runs(part) if w for p in self._split(w)]
+                out += [(False, p) for w in self._runs(part) for p in self._split(w)]
         return out
 
     @staticmethod
     def _runs(text: str) -> list[str]:
         # white space but U+001C to U+001F, which the tokenizer takes as characters
-        return re.split(r"[^\S\x1c-\x1f]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [w for w in re.split(r"[^\S\x1c-\x1f]+", text) if w]
+        return text.split()
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode the words that aren't known yet."""
-        parts = {w: self._parts(w) for w in words if w not in self.words}
-        new = {p for x in parts.values() for special, p in x if not special} - self.pieces.keys()
+        """Encode the runs that aren't known yet."""
+        parts = {w: self._parts(w) for w in words}
+        new = {p for x in parts.values() for special, p in x if not special and p not in self.pieces}
+        vocab = self.vocab
         for piece, tokens in self.encode_words(new):
-            ids = [self.vocab[t] for t in tokens]
-            self.pieces[piece] = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(tokens), len(ids))
+            self.pieces[piece] = (b"".join([vocab[t].to_bytes(4, "little") for t in tokens]), " ".join(tokens))
         for w, x in parts.items():
-            got = [(self.special[p].to_bytes(4, "little"), p, 1) if special else self.pieces[p] for special, p in x]
-            self.words[w] = (b"".join(g[0] for g in got), " ".join(g[1] for g in got), sum(g[2] for g in got))
+            if len(x) == 1 and not x[0][0]:
+                self.ids[w], self.text[w] = self.pieces[x[0][1]]
+            else:
+                got = [(self.special[p].to_bytes(4, "little"), p) if special else self.pieces[p] for special, p in x]
+                self.ids[w], self.text[w] = b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, bytes, str]]:
         """(number of tokens, ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
         cut = [self._runs(t) for t in texts]
-        if len(self.words) > KEPT:
-            self.words.clear()
-            self.pieces.clear()
-        self.learn({w for c in cut for w in c if w})
+        if len(self.ids) > KEPT:
+            self.ids.clear(), self.text.clear(), self.pieces.clear()
+        self.learn(set().union(*cut).difference(self.ids))
         for c in cut:
-            got = [self.words[w] for w in c if w]
-            yield sum(g[2] for g in got), b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+            data = b"".join(map(self.ids.__getitem__, c))
+            yield len(data) // 4, data, " ".join(map(self.text.__getitem__, c))
 
     def decode(self, ids: bytes) -> str:
         """Names of the tokens, joined by a space: the file names no decoder."""
@@ -216,6 +289,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
+        gc.disable()  # what is kept has no cycles, and there is much of it
         for b in batches:
             at = 0
             for group in _groups(b.column(text).to_pylist(), CHUNK):
