@@ -90,13 +90,23 @@ class Bands:
         return out
 
 
-def shingles_of(words: list[bytes], table: Words, n: int) -> np.ndarray:
-    """Sorted distinct hashes of a document's shingles."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    return np.unique(rolling(table.hashed(table.ids(words)), n))
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text."""
+    words = [t.lower().split() for t in texts]
+    table = Words()
+    flat = [w for d in words for w in d]
+    h = table.hashed(table.ids(flat)) if flat else np.zeros(0, np.uint64)
+    rolled = rolling(h, n) if len(h) >= n else h[:0]
+    out, at = [], 0
+    for d in words:
+        if len(d) >= n:
+            out.append(np.unique(rolled[at : at + len(d) - n + 1]))
+        elif d:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(d), seed=n)], np.uint64))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += len(d)
+    return out
 
 
 def set_id(hashes: np.ndarray, salt: int) -> int:
@@ -175,9 +185,7 @@ def _describe(n: int, salt: int):
         for b in batches:
             sids, sizes = [], []
             for texts in _groups_of(b.column(2).to_pylist(), 4 << 20):
-                table = Words()
-                for t in texts:
-                    s = shingles_of(t.lower().split(), table, n)
+                for s in shingle_sets(texts, n):
                     sizes.append(len(s))
                     sids.append(set_id(s, salt) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64())], names=["doc_id", "hash", "n", "sid"])
@@ -207,9 +215,7 @@ def _scatter(n: int, salt: int, percent: int, buckets: int, chunk: int):
 
         for b in batches:
             for texts in _groups_of(b.column(2).to_pylist(), 4 << 20):
-                table = Words()
-                for t in texts:
-                    s = shingles_of(t.lower().split(), table, n)
+                for s in shingle_sets(texts, n):
                     if not len(s) or (name := set_id(s, salt)) in seen:
                         continue
                     if len(seen) > 200_000:
