@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 TRAIN_ROWS = 2500
 THRESHOLD = 0.3
 WINDOW = 8
+#: Characters of text taken at once, and words whose value a Python worker keeps.
+CHUNK, KEPT = 2 << 20, 500_000
 BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4, 5, 6)
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’¡¿…–—"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,11 +89,24 @@ class Model:
         return np.bincount(o, self.weight[b], len(words)) / np.maximum(1, np.bincount(o, minlength=len(words)))
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        """Scores of texts, which are taken a few at a time so that words and n-grams never pile up."""
+        parts, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size > CHUNK:
+                parts.append(self._some(held))
+                held, size = [], 0
+        return np.concatenate([*parts, self._some(held)])
+
+    def _some(self, texts: list[str]) -> np.ndarray:
         cut = [t.split() for t in texts]
-        if len(self.known) > 300_000:
+        if len(self.known) > KEPT:
             self.known.clear()
-        new = list({w for c in cut for w in c} - self.known.keys())
-        self.known.update(zip(new, self.words([plain(w) for w in new]).tolist(), strict=True))
+        new = list(set().union(*cut).difference(self.known))
+        for i in range(0, len(new), 10_000):
+            some = new[i : i + 10_000]
+            self.known.update(zip(some, self.words([plain(w) for w in some]).tolist(), strict=True))
         out = np.empty(len(texts))
         for i, c in enumerate(cut):
             out[i] = worst(runs_once(np.fromiter(map(self.known.__getitem__, c), np.float64, len(c))))[1]
