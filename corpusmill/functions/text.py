@@ -152,21 +152,25 @@ def extract_proof(c: Column) -> Column:
     return F.when(prose, F.lit("")).otherwise(proof_rhs(t))
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it (a plain Column is pasted into each lambda)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def output_class(c: Column) -> Column:
     """empty, unterminated_code_fence, multiple_proofs, repetitive_output or normal (F-26)."""
     t = strip(c)
     words = F.regexp_extract_all(t, F.lit(r"(?U)\S+"), F.lit(0))
-    n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.array_join(F.slice(words, i, F.lit(3)), "\x00"))
-    full = F.filter(F.transform(lines(t), strip), lambda x: x != "")
-    often = F.array_max(F.transform(F.array_distinct(full), lambda x: F.size(F.filter(full, lambda y: y == x))))
-    ratio = F.size(F.array_distinct(grams)) / (n - 2)
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda i: F.array_join(F.slice(w, i, F.lit(3)), "\x00"))
+    few = _let(words, lambda w: (F.size(w) >= 24) & (F.size(F.array_distinct(grams(w))) / (F.size(w) - 2) < 0.55))
+    full = F.array_sort(F.filter(F.transform(lines(t), strip), lambda x: x != ""))
+    often = (F.size(words) >= 24) & (longest_run(full) >= 3)
     return (
         F.when(t == "", "empty")
         .when(F.regexp_count(t, F.lit("```")) % 2 == 1, "unterminated_code_fence")
         .when(F.regexp_count(t, F.lit(r"(?m)^\s*by\b")) > 1, "multiple_proofs")
         .when(F.regexp_count(t, F.lit(r"(?m)^\s*(?:theorem|lemma|example)\b")) > 1, "multiple_proofs")
-        .when((n >= 24) & ((ratio < 0.55) | (often >= 3)), "repetitive_output")
+        .when(few | often, "repetitive_output")
         .otherwise("normal")
     )
 
