@@ -150,17 +150,25 @@ def _even(r: Ranges, capacity: int, shards: int) -> list[int]:
     out: list[int] = []
     while True:
         ends = r.ends
-        total, at, start, out, need = int(ends[-1]), 0, 0, [], set()
+        total, at, start, out = int(ends[-1]), 0, 0, []
+        large = r.bytes * shards > total  # a group of more than an even share stands alone; the others share the rest
+        need = {int(i) for i in np.flatnonzero(large & (r.count > 1))}
+        alone = np.flatnonzero(large)
         for left in range(shards, 1, -1):
             if start >= len(ends):
                 break
-            aim = at + min(capacity, max(-(-(total - at) // left), int(r.bytes[start])))
-            stop = int(np.searchsorted(ends, aim, side="right"))
-            if stop < len(ends) and r.count[stop] > 1:
-                need.add(stop)
-            stop = max(stop, start + 1)
+            ahead = alone[alone >= start]
+            if len(ahead) and ahead[0] == start:
+                stop = start + 1
+            else:
+                rest = total - at - int(r.bytes[ahead].sum())
+                aim = at + min(capacity, max(-(-rest // max(1, left - len(ahead))), int(r.bytes[start])))
+                stop = int(np.searchsorted(ends, aim, side="right"))
+                if stop < len(ends) and r.count[stop] > 1:
+                    need.add(stop)
+                stop = max(min([stop, *ahead[:1].tolist()]), start + 1)
             most = max(stop, int(np.searchsorted(ends, at + capacity, side="right")))
-            while stop < most and (c := _cuts(ends[stop:] - int(ends[stop - 1]), capacity, left - 1)) is None and stop < len(ends):
+            while stop < most and stop < len(ends) and _cuts(ends[stop:] - int(ends[stop - 1]), capacity, left - 1) is None:
                 stop += 1
             out.append(stop)
             at, start = int(ends[stop - 1]), stop

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 1000
 THRESHOLD = 0.3
 WINDOW = 8
 #: Characters of text taken at once, and words whose value a Python worker keeps.
 CHUNK, KEPT = 2 << 20, 500_000
-BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4, 5, 6)
+BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4, 5)
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’¡¿…–—"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(31)
@@ -129,45 +129,59 @@ def worst(values: np.ndarray, window: int = WINDOW) -> tuple[int, float]:
 
 
 def train(texts: list[str], toxic: list[int], weights: tuple[float, float], steps: int = 120, warm: int = 15, rate: float = 0.08, seed: int = 7) -> Model:
-    """Adam over all texts at once; the gradient reaches the vectors of the words in each text's window."""
+    """Adam over all texts at once; the gradient reaches the vectors of the words in each text's window. Empties the list of texts."""
     y = np.array(toxic, np.float64)
     w = np.where(y == 1, weights[1], weights[0])
     w = w / w.sum()
     names: dict[str, int] = {}
-    docs = [runs_once(np.array([names.setdefault(plain(x), len(names)) for x in t.split()], np.int64)) for t in texts]
-    sub, owner = subwords(list(names))
-    size = np.maximum(1, np.bincount(owner, minlength=len(names))).astype(np.float64)
+    docs = []
+    while texts:  # each text goes once its words are numbered
+        docs.append(runs_once(np.array([names.setdefault(plain(x), len(names)) for x in texts.pop(0).split()], np.int32)))
+    words = list(names)
+    parts = [subwords(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
+    sub = np.concatenate([p[0].astype(np.int32) for p in parts] or [np.zeros(0, np.int32)])
+    owner = np.concatenate([(p[1] + 10_000 * i).astype(np.int32) for i, p in enumerate(parts)] or [np.zeros(0, np.int32)])
+    n_words = len(words)
+    del names, words, parts
+    size = np.maximum(1, np.bincount(owner, minlength=n_words)).astype(np.float64)
+    used = np.flatnonzero(np.bincount(sub, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    sub = place[sub]
     rng = np.random.default_rng(seed)
-    used, sub = np.unique(sub, return_inverse=True)
     vec = rng.normal(0, 0.1, (len(used), DIM))
     direction, bias = rng.normal(0, 1, (2, DIM)), np.zeros(2)
     direction[0] = -direction[1]
     params = [vec, direction, bias]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    first = np.searchsorted(owner, np.arange(len(names) + 1))
+    first = np.searchsorted(owner, np.arange(n_words + 1))
     length = np.array([max(1, len(d)) for d in docs], np.float64)
-    flat = np.concatenate([*docs, np.zeros(0, np.int64)])
-    doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    flat = np.concatenate([*docs, np.zeros(0, np.int32)])
+    doc_of = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
     for step in range(steps):
         u = direction[1] - direction[0]
-        value = np.bincount(owner, (vec @ u)[sub], len(names)) / size
+        along_u = vec @ u
+        value = np.concatenate([np.add.reduceat(along_u[sub[first[i] : first[min(i + 50_000, n_words)]]], first[i : min(i + 50_000, n_words)] - first[i]) for i in range(0, n_words, 50_000)] or [np.zeros(0)]) / size
         if step < warm:
             who, doc, share = flat, doc_of, 1 / length[doc_of]
             mean = np.bincount(doc_of, value[flat], len(docs)) / length
         else:
             starts = [worst(value[d]) for d in docs]
             parts = [d[s : s + WINDOW] for d, (s, _) in zip(docs, starts, strict=True)]
-            who = np.concatenate([*parts, np.zeros(0, np.int64)])
+            who = np.concatenate([*parts, np.zeros(0, np.int32)])
             doc = np.repeat(np.arange(len(docs)), [len(p) for p in parts])
             share = 1 / np.maximum(1, np.array([len(p) for p in parts]))[doc]
             mean = np.array([s[1] for s in starts])
         p = 1 / (1 + np.exp(-np.clip(mean + bias[1] - bias[0], -60, 60)))
         wrong = w * (p - y)
-        word = np.bincount(who, wrong[doc] * share, len(names)) / size  # what reaches each subword of a word
+        word = np.bincount(who, wrong[doc] * share, n_words) / size  # what reaches each subword of a word
         got = np.flatnonzero(word)
-        lengths = first[got + 1] - first[got]
-        at = np.repeat(first[got] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
-        along = np.bincount(sub[at], np.repeat(word[got], lengths), len(used))
+        along = np.zeros(len(used))
+        for i in range(0, len(got), 50_000):
+            some = got[i : i + 50_000]
+            lengths = first[some + 1] - first[some]
+            at = np.repeat(first[some] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+            along += np.bincount(sub[at], np.repeat(word[some], lengths), len(used))
         grad_u = along @ vec
         grads = [along[:, None] * u[None, :], np.stack([-grad_u, grad_u]), np.array([-wrong.sum(), wrong.sum()])]
         for i, (q, g) in enumerate(zip(params, grads, strict=True)):
@@ -199,9 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps:
     # at most 2 * train_rows ids
     ids = F.broadcast(chosen[0].union(chosen[1]).withColumnRenamed("doc_id", "__id"))
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = sorted(rows.collect(), key=lambda r: (str(r["doc_id"])))
+    rows = sorted(rows.collect(), key=lambda r: str(r["doc_id"]))
     got = [max(1, sum(r["toxic"] == k for r in rows)) for k in (0, 1)]
-    return train([r["text"] or "" for r in rows], [r["toxic"] for r in rows], (shares[0] / got[0], shares[1] / got[1]), steps)
+    toxic, texts = [r["toxic"] for r in rows], [r["text"] or "" for r in rows]
+    del rows
+    return train(texts, toxic, (shares[0] / got[0], shares[1] / got[1]), steps)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
