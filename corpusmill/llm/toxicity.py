@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRAIN_ROWS = 1000
+TRAIN_ROWS = 1500
 THRESHOLD = 0.3
 WINDOW = 8
 #: Characters of text taken at once, and words whose value a Python worker keeps.
