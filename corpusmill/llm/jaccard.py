@@ -13,7 +13,8 @@ H = (|a| + |b|)(1 - s)/(1 + s) shingles, so few segments differ, and one of two
 The plan and m are those of least cost for the band: signatures written, and a price for each that is
 expected to stand on one shingle or none. Sets with equal shingles are one (hot groups of copies
 cost one set for each chunk of input). Sets that share a signature are candidates: all pairs of small
-groups, a star for larger ones; pairs are then verified on their texts. Members of a larger group
+groups, a star for larger ones. Parity bits of bins of the universe rule out pairs that differ in too
+many of them (two sets differ in no more bins than shingles); the rest is verified on the texts. Members of a larger group
 that are still in different components after that are paired with each other, so no link between
 components is lost, and no group is paired within a component.
 
@@ -40,6 +41,7 @@ from corpusmill.llm.common import components, materialise, shuffle_partitions, s
 from corpusmill.llm.substring import Words, _mix, rolling
 
 SHINGLE, PERCENT = 5, 80
+BITS = 1024
 CHUNK, BUCKET = 12 << 20, 12 << 20
 SMALL = 8
 _ONE = np.uint64(0x2545F4914F6CDD1D)
@@ -109,6 +111,15 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
+def parity_bits(hashes: np.ndarray) -> list[int]:
+    """For each of BITS bins of the universe whether it holds an odd number of the set's shingles, in 64-bit words.
+
+    Bins in which two sets differ are at most as many as the shingles in which they differ.
+    """
+    odd = (np.bincount((hashes >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def set_id(hashes: np.ndarray, salt: int) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=salt))))
 
@@ -183,12 +194,15 @@ def _groups_of(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
 def _describe(n: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sids, sizes = [], []
+            sids, sizes, bits = [], [], []
             for texts in _groups_of(b.column(2).to_pylist(), 4 << 20):
                 for s in shingle_sets(texts, n):
                     sizes.append(len(s))
                     sids.append(set_id(s, salt) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64())], names=["doc_id", "hash", "n", "sid"])
+                    bits.append(parity_bits(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "hash", "n", "sid", "bits"]
+            )
 
     return run
 
@@ -294,12 +308,18 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return left.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def may_link(percent: int, x: str, y: str, nx: str, ny: str) -> str:
+    """SQL: two sets, by their sizes and parity bits, may link; it never rules out a pair that does."""
+    apart = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64))
+    return f"{percent} * greatest({nx}, {ny}) <= 100 * least({nx}, {ny}) and ({apart}) * {100 + percent} <= ({nx} + {ny}) * {100 - percent}"
+
+
 def _described(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """(doc_id, hash, n, sid) of every row; sid names the set of shingles, null if there is none."""
+    """(doc_id, hash, n, sid, bits) of every row; sid names the set of shingles, null if there is none; bits: see parity_bits."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     for salt in range(8):
-        out = materialise(rows.mapInArrow(_describe(n, salt), f"doc_id {kind}, hash long, n long, sid long"), "sets")
+        out = materialise(rows.mapInArrow(_describe(n, salt), f"doc_id {kind}, hash long, n long, sid long, bits array<long>"), "sets")
         # another salt names the same sets: a name that two sizes share stands for two sets
         if out.groupBy("sid").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x <> y and sid is not null").isEmpty():
             return out, salt
@@ -314,24 +334,28 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int
     rows = docs.select(F.lit(0), F.lit(0), F.coalesce("text", F.lit("")).cast("binary"))
     packed = rows.toDF("x", "y", "text").mapInArrow(_scatter(n, salt, percent, buckets, chunk), "bucket int, blob binary")
     found = materialise(packed.groupBy("bucket").applyInArrow(_gather(percent, small), "g long, a long, b long"), "candidates")
-    first = materialise(found.where("g is null").select("a", "b").distinct(), "pairs")
+    pairs = found.where("g is null").select("a", "b").distinct()
+    known = materialise(sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "names")
+    side = lambda k: known.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
+    first = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(percent, "xa", "xb", "na", "nb")).select("a", "b"), "pairs")
     wide = found.where("g is not null").select("g", F.col("a").alias("sid")).distinct()
     wanted = first.select(F.col("a").alias("sid")).union(first.select(F.col("b").alias("sid"))).union(wide.select("sid")).distinct()
-    one = sets.groupBy("sid").agg(F.min(F.struct("doc_id", "hash")).alias("s"), F.first("n").alias("n")).join(wanted, "sid", "left_semi")
-    one = materialise(one.selectExpr("sid", "n", "s.doc_id as d", "s.hash as h"), "representatives")
+    one = sets.groupBy("sid").agg(F.min(F.struct("doc_id", "hash")).alias("s")).join(wanted, "sid", "left_semi")
+    one = materialise(one.selectExpr("sid", "s.doc_id as d", "s.hash as h"), "representatives")
     key = docs.select("doc_id", "text").withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = key.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("sid", F.col("text").cast("binary").alias("text"))
     texts = materialise(texts.dropDuplicates(["sid"]) if _repeated(sets) else texts, "texts")
     edges = materialise(verify(first, texts, n, percent), "links")
     if not wide.isEmpty():
         part = wide.join(components(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        part = part.join(one.select("sid", "n"), "sid")
+        part = part.join(known, "sid")
         mixed = part.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("g")
         part = materialise(part.join(mixed, "g", "left_semi"), "mixed")
-        left = part.select("g", F.col("sid").alias("a"), F.col("component").alias("p"), F.col("n").alias("na"))
-        right = part.select("g", F.col("sid").alias("b"), F.col("component").alias("q"), F.col("n").alias("nb"))
-        fits = f"a < b and p <> q and {percent} * greatest(na, nb) <= 100 * least(na, nb)"
-        more = left.join(right, "g").where(fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+        left = part.select("g", F.col("sid").alias("a"), F.col("component").alias("p"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+        right = part.select("g", F.col("sid").alias("b"), F.col("component").alias("q"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+        # in the join's own condition, so pairs that are too far apart are never written
+        fits = F.expr(f"l.g = r.g and a < b and p <> q and {may_link(percent, 'xa', 'xb', 'na', 'nb')}")
+        more = left.alias("l").join(right.alias("r"), fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
         edges = edges.union(materialise(verify(more, texts, n, percent), "links"))
     return sets, edges
 

@@ -24,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.common import shuffle_partitions, spread, text_bytes
 
 WINDOW = 20
-PIECE = 4
+PIECE = 3
 #: Text bytes that a task works on at once, and that a bucket gets on average.
 CHUNK, BUCKET = 8 << 20, 4 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -129,7 +129,7 @@ LOWEST = -(1 << 63)
 
 def _pack(doc: np.ndarray, th: np.ndarray, lo: np.ndarray, n: np.ndarray, text: bytes) -> bytes:
     head = np.array([len(doc)], np.int64)
-    return zstandard.ZstdCompressor(level=5).compress(b"".join([head.tobytes(), doc.tobytes(), th.tobytes(), lo.tobytes(), n.tobytes(), text]))
+    return zstandard.ZstdCompressor(level=7).compress(b"".join([head.tobytes(), doc.tobytes(), th.tobytes(), lo.tobytes(), n.tobytes(), text]))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -247,19 +247,26 @@ def _gather(k: int):
     return run
 
 
-def _key(docs: DataFrame) -> DataFrame:
+def _same_id(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart: the hash of the text, or nothing where no doc_id repeats."""
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return F.lit(0).cast("long")
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _key(docs: DataFrame, mark: Column) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
+        mark.alias("hash"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
 
 
-def spans(docs: DataFrame, k: int = WINDOW, m: int = PIECE, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
-    """(doc, hash, spans array<struct<lo,hi>>): word spans to remove, for documents that have any."""
+def spans(docs: DataFrame, mark: Column, k: int = WINDOW, m: int = PIECE, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+    """(doc, hash, spans array<struct<lo,hi>>): word spans to remove, for documents that have any; hash is the mark of `_same_id`."""
     parts = shuffle_partitions(docs.sparkSession)
     buckets = spread(text_bytes(docs, "text"), bucket, 2 * parts)
-    packed = _key(docs).mapInArrow(_scatter(buckets, k, m, chunk), SCHEMA)
+    packed = _key(docs, mark).mapInArrow(_scatter(buckets, k, m, chunk), SCHEMA)
     found = packed.groupBy("bucket").applyInArrow(_gather(k), "doc long, hash long, lo long, hi long")
     return found.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
@@ -279,9 +286,10 @@ def _cut(text: bytes, cuts: list[dict] | None) -> tuple[int, int, bytes]:
 
 
 def _joined(docs: DataFrame, **how) -> DataFrame:
-    found = spans(docs, **how).select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans"))
+    mark = _same_id(docs)
+    found = spans(docs, mark, **how).select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    on = (key == F.col("__doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    on = (key == F.col("__doc")) & (mark == F.col("__hash"))
     return docs.join(found, on, "left").drop("__doc", "__hash")
 
 

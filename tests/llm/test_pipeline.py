@@ -9,7 +9,8 @@ pipeline = pytest.importorskip("corpus_pipeline")
 
 def test_stages(spark, tmp_path):
     rnd = random.Random(9)
-    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(400)]  # as in any language, most words recur
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
     passage, leak, base = text(55), text(14), text(120)
     data, labels = [], []
     for i in range(300):
