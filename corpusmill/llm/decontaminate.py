@@ -36,7 +36,7 @@ def _exact(text: str) -> str:
 
 
 def benchmark_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(item_id string, len, key, h): the distinct windows of each item; h is over fully lowered words."""
+    """(item_id string, len, key, h): the distinct windows of each item; h is over the words of key."""
     return (
         items.select(
             F.col("item_id").cast("string").alias("item_id"),
@@ -49,7 +49,7 @@ def benchmark_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
             f"explode(if(n >= {n}, transform(sequence(1, greatest(1, n - {n - 1})), i -> slice(w, i, {n})), array(w))) as win",
         )
         .selectExpr(
-            "item_id", "size(win) as len", "array_join(win, ' ') as key", "xxhash64(transform(win, x -> lower(x))) as h"
+            "item_id", "size(win) as len", "array_join(win, ' ') as key", "xxhash64(win) as h"
         )
         .distinct()
     )
@@ -64,25 +64,20 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, set_bound: int
     base = docs.select("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
     if total == 0:
         return base.selectExpr(
-            "doc_id", ROW, f"size({_words('lower(coalesce(text, ' + chr(39) * 2 + '))')}) as n_words",
+            "doc_id", ROW, f"size({_exact('coalesce(text, ' + chr(39) * 2 + ')')}) as n_words",
             "cast(array() as array<struct<pos:int,len:int>>) as spans", "cast(array() as array<string>) as items",
         )
-    low = _words("lower(coalesce(text, ''))")
+    words = _exact("coalesce(text, '')")
     positions = lambda k: f"if(size(w) >= {k}, sequence(1, greatest(1, size(w) - {k - 1})), cast(array() as array<int>))"
     if total <= set_bound:
         found = {k: ", ".join(f"{r.h}L" for r in windows.where(F.col("len") == k).select("h").distinct().collect()) for k in lengths}
         tries = ", ".join(
-            f"transform(filter({positions(k)}, i -> xxhash64(slice(w, i, {k})) in ({found[k]}, 0L)), i -> named_struct('pos', i, 'len', {k}))"
+            f"transform(filter({positions(k)}, i -> xxhash64(slice(w, i, {k})) in ({found[k]}, 0L)), i -> named_struct('pos', i, 'len', {k}, 'key', array_join(slice(w, i, {k}), ' ')))"
             for k in lengths
         )
-        seen = base.selectExpr(
-            "doc_id", ROW, "text", f"transform(array({low}), w -> named_struct('n_words', size(w), 'at', concat({tries})))[0] as s"
-        )
-        keyed = seen.selectExpr(
-            "doc_id", ROW, "s.n_words as n_words",
-            f"if(size(s.at) > 0, transform(array({_exact('text')}), w -> transform(s.at, c -> "
-            "named_struct('pos', c.pos, 'len', c.len, 'key', array_join(slice(w, c.pos, c.len), ' '))))[0], null) as c",
-        )
+        keyed = base.selectExpr(
+            "doc_id", ROW, f"transform(array({words}), w -> named_struct('n_words', size(w), 'c', concat({tries})))[0] as s"
+        ).selectExpr("doc_id", ROW, "s.n_words as n_words", "s.c as c")
         exploded = keyed.selectExpr("doc_id", ROW, "n_words", "explode_outer(c) as c")
         joined = exploded.join(F.broadcast(windows.select("key", "item_id")), F.col("c.key") == F.col("key"), "left")
     else:
@@ -91,11 +86,11 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, set_bound: int
         )
         exploded = base.selectExpr(
             "doc_id", ROW,
-            f"explode_outer(transform(array({_exact('coalesce(text, ' + chr(39) * 2 + ')')}), w -> transform(concat({tries}), "
+            f"explode_outer(transform(array({words}), w -> transform(concat({tries}), "
             "c -> named_struct('n_words', size(w), 'c', c)))[0]) as x",
         ).selectExpr("doc_id", ROW, "x.n_words as n_words", "x.c as c")
         hits = exploded.select("doc_id", ROW, "c", F.col("c.key").alias("key")).join(windows.select("key", "item_id"), "key")
-        rest = base.selectExpr("doc_id", ROW, f"size({low}) as n_words", "cast(null as struct<pos:int,len:int,key:string>) as c", "cast(null as string) as key", "cast(null as string) as item_id")
+        rest = base.selectExpr("doc_id", ROW, f"size({words}) as n_words", "cast(null as struct<pos:int,len:int,key:string>) as c", "cast(null as string) as key", "cast(null as string) as item_id")
         joined = hits.select("doc_id", ROW, F.lit(0).alias("n_words"), "c", "key", "item_id").union(rest)
     hit = F.col("key").isNotNull()
     return joined.groupBy(ROW, "doc_id").agg(

@@ -204,6 +204,20 @@ def test_leaks(spark, docs, bound):
     assert got == brute_leaks(data, items, 10)
 
 
+@pytest.mark.parametrize("bound", [20_000, 0])
+def test_leaks_with_capital_sigma(spark, bound):
+    """lower() of a whole text and of its words alone differ in a final sigma, which must not hide a passage."""
+    passage = "Η ΕΤΑΙΡΕΙΑ Δ.Σ. της ΟΔΟΣ: των Σ' και ΛΟΓΟΣ. Kelvin \u212a İ ẞ end"
+    data = {1: f"before {passage} after", 2: passage.lower(), 3: passage.replace("Kelvin", "kELVIN"), 4: "nothing", 5: None}
+    items = [(1, passage), (2, "Δ.Σ. της")]
+    docs = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    got = {
+        r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+        for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, ITEM), set_bound=bound).collect()
+    }
+    assert got == brute_leaks(data, items, 10) and got[1][2] == 2
+
+
 def test_leaks_edges(spark, docs, empty):
     none = spark.createDataFrame([], ITEM)
     assert decontaminate.decontaminate(empty, none).count() == 0
