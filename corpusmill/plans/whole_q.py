@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import gates, leakage
+from corpusmill.functions import hashing, text
+from corpusmill.operators import dedup, gates, leakage
+from corpusmill.operators import selection as S
 from corpusmill.plans.registry import query
 
 
@@ -21,3 +23,102 @@ WHERE d.doc_id IS NULL OR l.doc_id IS NULL OR d.flag IS DISTINCT FROM l.flag""")
 def _(t):
     left = t.documents.select("doc_id", (F.col("n_chars") % 2).cast("int").alias("flag"))
     return gates.mismatched(left, t.labels.select("doc_id", F.col("quality").alias("flag")), "doc_id", "flag")
+
+
+def _halves(df, *columns):
+    """Hashes of the two halves of each text, as statement s and proof p."""
+    mid = F.floor(F.length("text") / 2).cast("int")
+    return df.select(*columns, hashing.exact(F.left("text", mid)).alias("s"), hashing.exact(F.substr("text", mid + 1)).alias("p"))
+
+
+#: The same in DuckDB.
+_HALVES = "sha256(left(text, length(text) // 2)) AS s, sha256(substr(text, length(text) // 2 + 1)) AS p"
+
+
+@query("j06_leakage_levels_whole")
+def _(t):
+    """Protected: all of benchmark, and the documents that labels hold for evaluation; level 0 by id, 1 by exact and 2 by normalised text."""
+    keys = lambda df, kind, id_, *more: text.nfc(df.withColumn("k1", hashing.exact(F.col("text"))), "text").select(
+        *more, F.concat(F.lit(kind), F.col(id_)).alias("k0"), "k1", hashing.normalized(F.col("text")).alias("k2"), hashing.theorem_group(F.col("text")).alias("theorem_group_id")
+    )
+    c = keys(t.documents, "documents:", "doc_id", F.col("doc_id").alias("id"))
+    held = c.join(t.labels.select(F.col("doc_id").alias("id")), "id", "left_semi").drop("id")  # the hashes are shuffled, not the texts
+    protected = keys(t.benchmark, "benchmark:", "item_id").unionByName(held)
+    out = leakage.levels(c, protected, {0: "k0", 1: "k1", 2: "k2"})
+    return out.select("id", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), "removed")
+
+
+@query("h13_token_jaccard_whole", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ ]+') AS w FROM documents),
+d AS (SELECT doc_id, list_distinct(w[1:len(w) // 2]) AS a, list_distinct(w[len(w) // 2 + 1:]) AS b FROM w)
+SELECT doc_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 9) AS score FROM d""")
+def _(t):
+    d = t.documents.select("doc_id", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("w"))
+    mid = F.floor(F.size("w") / 2).cast("int")
+    a, b = F.slice("w", F.lit(1), mid), F.slice("w", mid + 1, F.size("w") - mid)
+    return d.select("doc_id", F.when(F.col("w").isNotNull(), F.round(hashing.jaccard(a, b), 9)).alias("score"))
+
+
+@query("a03_role_dedup_whole", f"""
+WITH d AS (SELECT doc_id, {_HALVES} FROM documents)
+SELECT doc_id, row_number() OVER (PARTITION BY s, p ORDER BY doc_id) = 1 AS kept_pair, row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1 AS kept_statement FROM d""")
+def _(t):
+    rows = dedup.first_wins(_halves(t.documents, "doc_id"), ["s", "p"], "doc_id").withColumnRenamed("kept", "kept_pair")
+    return dedup.first_wins(rows, ["s"], "doc_id").select("doc_id", "kept_pair", F.col("kept").alias("kept_statement"))
+
+
+@query("a05_duplicate_groups_whole")
+def _(t):
+    rows = text.nfc(t.documents.withColumn("exact", hashing.exact(F.col("text"))), "text").withColumn("normalized", hashing.normalized(F.col("text")))
+    return dedup.duplicate_groups(rows, {0: ["doc_id"], 1: ["source", "n_chars"], 3: ["lang", "normalized"], 4: ["exact"]}, "doc_id")
+
+
+@query("a07_variants_whole", f"""
+WITH d AS (SELECT {_HALVES} FROM documents)
+SELECT 'statement' AS side, s AS key, count(DISTINCT p) AS variants, count(*) AS "rows" FROM d GROUP BY 2 HAVING count(DISTINCT p) >= 2
+UNION ALL SELECT 'proof', p, count(DISTINCT s), count(*) FROM d GROUP BY 2 HAVING count(DISTINCT s) >= 2""")
+def _(t):
+    rows = _halves(t.documents)
+    one = dedup.variants(rows, "s", "p").select(F.lit("statement").alias("side"), F.col("s").alias("key"), "variants", "rows")
+    return one.unionByName(dedup.variants(rows, "p", "s").select(F.lit("proof").alias("side"), F.col("p").alias("key"), "variants", "rows"))
+
+
+@query("a08_same_proof_statements_whole", f"""
+WITH d AS (SELECT {_HALVES} FROM documents) SELECT p AS proof, count(DISTINCT s) AS variants, count(*) AS "rows" FROM d GROUP BY 1 HAVING count(DISTINCT s) >= 2""")
+def _(t):
+    return dedup.variants(_halves(t.documents).withColumnRenamed("p", "proof"), "proof", "s")
+
+
+@query("j05_cross_source_overlap_whole", f"""
+WITH d AS (SELECT doc_id, {_HALVES} FROM documents), a AS (SELECT * FROM d WHERE doc_id % 2 = 0), b AS (SELECT * FROM d WHERE doc_id % 2 = 1)
+SELECT doc_id, (s, p) IN (SELECT (s, p) FROM b) AS pair, s IN (SELECT s FROM b) AS statement, p IN (SELECT p FROM b) AS proof FROM a""")
+def _(t):
+    d = _halves(t.documents, "doc_id")
+    out = d.where("doc_id % 2 = 0")
+    for name, keys in (("pair", ["s", "p"]), ("statement", ["s"]), ("proof", ["p"])):
+        out = out.join(d.where("doc_id % 2 = 1").select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
+    return out.select("doc_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("pair", "statement", "proof")))
+
+
+@query("u02_union_then_dedup_whole", """
+WITH u AS (SELECT 0 AS f, doc_id AS i, sha256(text) AS k FROM documents UNION ALL SELECT 1, item_id, sha256(text) FROM benchmark)
+SELECT f AS file, i AS id, row_number() OVER (PARTITION BY k ORDER BY f, i) = 1 AS kept FROM u""")
+def _(t):
+    side = lambda df, f, i: df.select(F.lit(f).alias("file"), F.col(i).alias("id"), hashing.exact(F.col("text")).alias("k"))
+    u = side(t.documents, 0, "doc_id").unionByName(side(t.benchmark, 1, "item_id")).withColumn("idx", F.struct("file", "id"))
+    return dedup.first_wins(u, ["k"], "idx").select("file", "id", "kept")
+
+
+@query("o22_diverse_selection_whole", """
+WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY sha256('15:' || doc_id), doc_id) > 1 AS again FROM documents)
+SELECT doc_id, again FROM r ORDER BY again, sha256('15:' || doc_id), doc_id LIMIT 300""")
+def _(t):
+    return S.diverse(t.documents.select("doc_id", hashing.exact(F.col("text")).alias("body")), "body", 15, "doc_id", 300).select("doc_id", "again")
+
+
+@query("o23_balanced_selection_whole", """
+WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY sha256(text) ORDER BY sha256('16:' || doc_id), doc_id) AS nth FROM documents),
+t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('16:' || doc_id), doc_id) AS turn FROM n WHERE nth <= 5)
+SELECT doc_id, lang FROM t ORDER BY turn, lang, doc_id LIMIT 200""")
+def _(t):
+    return S.balanced(t.documents.select("doc_id", "lang", hashing.exact(F.col("text")).alias("body")), "body", "lang", 5, 200, 16, "doc_id").select("doc_id", "lang")

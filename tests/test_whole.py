@@ -39,3 +39,31 @@ def test_field_gate_has_all_documents(tables):
     labels = ("doc_id long, quality int", [(4, 1), (5, 1), (10, 1), (99, 0)])
     got = {(r.doc_id, r.reason) for r in tables("j12_key_and_field_gate_whole", documents=documents, labels=labels)}
     assert got == {(10, "flag"), (15, "left_only"), (99, "right_only")}
+
+
+def test_leakage_is_over_whole_texts(tables):
+    documents = [
+        (1, f"{OPENING} one"), (2, f"{OPENING} two"),  # one opening, unrelated
+        (3, "a  passage \r\nof the benchmark"), (4, "a passage\nof the benchmark"), (5, "Held"), (6, "Held  "), (7, "Held"),
+    ]
+    benchmark = ("item_id long, text string", [(1, f"{OPENING} benchmark"), (2, "a passage\nof the benchmark")])
+    got = tables("j06_leakage_levels_whole", documents=("doc_id long, text string", documents), benchmark=benchmark, labels=("doc_id long", [(5,)]))
+    assert {r.id: (r.levels, r.removed) for r in got} == {1: ("", False), 2: ("", False), 3: ("2", True), 4: ("1,2", True), 5: ("0,1,2", True), 6: ("2", True), 7: ("1,2", True)}
+
+
+def test_dedup_is_over_whole_texts(tables):
+    body = [f"{OPENING} {end}" for end in ("one", "two", "one")]
+    rows = ("doc_id long, text string, lang string, source string, n_chars long", [(i, t, "en", f"s{i}", i) for i, t in enumerate(body)])
+    kept = {r.doc_id: r.kept_pair for r in tables("a03_role_dedup_whole", documents=rows)}
+    assert kept == {0: True, 1: True, 2: False}
+    assert {(r.level, r.record_ids) for r in tables("a05_duplicate_groups_whole", documents=rows)} == {(3, "0,2"), (4, "0,2")}
+    assert {r.doc_id: r.pair for r in tables("j05_cross_source_overlap_whole", documents=rows)} == {0: False, 2: False}
+    assert {(r.side, r.variants, r.rows) for r in tables("a07_variants_whole", documents=rows)} == {("statement", 2, 3)}
+    assert tables("a08_same_proof_statements_whole", documents=rows) == []
+    united = tables("u02_union_then_dedup_whole", documents=rows, benchmark=("item_id long, text string", [(1, body[1]), (2, f"{OPENING} three")]))
+    assert {(r.file, r.id) for r in united if r.kept} == {(0, 0), (0, 1), (1, 2)}
+    assert sorted(r.again for r in tables("o22_diverse_selection_whole", documents=rows)) == [False, False, True]
+    many = ("doc_id long, text string, lang string", [(i, f"{OPENING} {i}", "en") for i in range(9)])
+    assert len(tables("o23_balanced_selection_whole", documents=many)) == 9
+    middle = ("doc_id long, text string", [(1, "x " * 80 + "a b " * 40 + "y " * 80 + "a b " * 40), (2, ""), (3, None)])
+    assert {r.doc_id: r.score for r in tables("h13_token_jaccard_whole", documents=middle)} == {1: 0.5, 2: 1.0, 3: None}
