@@ -103,6 +103,24 @@ def bootstrap(values: DataFrame, seed: int, draws: int) -> DataFrame:
     return picks.withColumn("row", at).join(values, "row").groupBy("draw").agg(F.avg("value").alias("mean"))
 
 
+def paired_interval(left: DataFrame, right: DataFrame, seed: int, draws: int = 10_000, level: float = 0.95) -> DataFrame:
+    """A-33: (problem_id, solved) of two models: mean difference right - left, and the bootstrap interval of it over all draws; one row.
+
+    A difference is -1, 0 or 1, so problems are numbered by their difference and three counts say what a drawn index is worth; no row is joined.
+    """
+    got = paired(left, right).select("problems", "only_left", "only_right").first()
+    n, down, up, spark = got.problems, got.only_left, got.only_right, left.sparkSession
+    if not n:
+        return spark.createDataFrame([(0, None, None, None)], "problems long, delta double, low double, high double")
+    picks = spark.range(draws).withColumnRenamed("id", "draw").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    at = F.conv(F.left(hashing.order_key(seed, F.col("draw"), F.col("i")), F.lit(8)), 16, 10).cast("long") % n
+    worth = F.when(at < down, -1).when(at < down + up, 1).otherwise(0)
+    sums = picks.groupBy("draw").agg(F.sum(worth).alias("sum")).agg(F.sort_array(F.collect_list("sum")).alias("s"))
+    place = lambda q: F.element_at("s", int(q * (draws - 1)) + 1) / F.lit(n)
+    tail = round((1 - level) / 2, 12)
+    return sums.select(F.lit(n).cast("long").alias("problems"), F.lit((up - down) / n).alias("delta"), place(tail).alias("low"), place(1 - tail).alias("high"))
+
+
 def resume_work(problems: DataFrame, k: int, done: DataFrame) -> DataFrame:
     """J-14: (problem_id, attempt_index) still to do."""
     grid = problems.select("problem_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("attempt_index"))

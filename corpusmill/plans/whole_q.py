@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing, text
+from corpusmill.operators import attempts as A
 from corpusmill.operators import dedup, gates, leakage
 from corpusmill.operators import selection as S
 from corpusmill.plans.registry import query
@@ -122,3 +123,11 @@ t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(
 SELECT doc_id, lang FROM t ORDER BY turn, lang, doc_id LIMIT 200""")
 def _(t):
     return S.balanced(t.documents.select("doc_id", "lang", hashing.exact(F.col("text")).alias("body")), "body", "lang", 5, 200, 16, "doc_id").select("doc_id", "lang")
+
+
+@query("a33_paired_bootstrap_whole")
+def _(t):
+    """95 % intervals of pass@1 and pass@4 between the first and the last attempts of 32, as in a31, from 10,000 draws."""
+    solved = lambda low, k: t.attempts.groupBy("problem_id").agg(F.bool_or(F.col("success") & F.col("attempt_index").between(low, low + k - 1)).alias("solved"))
+    one, four = (A.paired_interval(solved(0, k), solved(28, k), 7).select(F.lit(k).alias("k"), "*") for k in (1, 4))
+    return one.unionByName(four)

@@ -67,3 +67,21 @@ def test_dedup_is_over_whole_texts(tables):
     assert len(tables("o23_balanced_selection_whole", documents=many)) == 9
     middle = ("doc_id long, text string", [(1, "x " * 80 + "a b " * 40 + "y " * 80 + "a b " * 40), (2, ""), (3, None)])
     assert {r.doc_id: r.score for r in tables("h13_token_jaccard_whole", documents=middle)} == {1: 0.5, 2: 1.0, 3: None}
+
+
+def test_bootstrap_gives_the_paired_interval(tables, spark):
+    import hashlib
+
+    from corpusmill.operators.attempts import paired_interval
+
+    x, y = [1, 0, 0, 1, 0, 1, 0], [0, 1, 1, 1, 0, 1, 1]
+    side = lambda v: spark.createDataFrame([(i, bool(s)) for i, s in enumerate(v)], "problem_id int, solved boolean")
+    worth, n, draws = [-1, 1, 1, 1, 0, 0, 0], 7, 400
+    means = sorted(sum(worth[int(hashlib.sha256(f"3:{d}:{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)) / n for d in range(draws))
+    got = paired_interval(side(x), side(y), 3, draws).first()
+    assert (got.problems, got.delta) == (7, 2 / 7)
+    assert (got.low, got.high) == pytest.approx((means[int(0.025 * 399)], means[int(0.975 * 399)]))
+    assert paired_interval(side([]), side([]), 3, draws).first().low is None
+    events = [(i, u, "purchase" if i % 32 >= 28 - u else "view", 1.0, None) for u in range(3) for i in range(32 * u, 32 * u + 32)]
+    rows = tables("a33_paired_bootstrap_whole", events=("event_id long, user_id long, event_type string, value double, ts timestamp", events))
+    assert {(r.k, r.problems, r.delta, r.low, r.high) for r in rows} == {(1, 3, 1.0, 1.0, 1.0), (4, 3, 1.0, 1.0, 1.0)}
