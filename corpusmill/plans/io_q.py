@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.operators import dedup
 from corpusmill.operators import records as R
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import Tables, query
 from corpusmill.sources import records, sinks
 from corpusmill.sources.shared import folder
 from corpusmill.streaming import attempts as stream
@@ -152,7 +152,7 @@ def _(t):
 def _(t):
     path = folder(t.spark, "groups")
     r = F.when(F.col("success"), 1.0).otherwise(0.0)
-    t.attempts.groupBy("problem_id").agg(F.sum((r - 0.2) * (r - 0.2)).alias("square_sum"), F.count("*").alias("n")).select(F.lit(1).cast("long").alias("run"), F.col("problem_id").alias("group_id"), "square_sum", "n").repartition(1).write.parquet(path)
+    Tables(t.spark, t.dir, None).attempts.groupBy("problem_id").agg(F.sum((r - 0.2) * (r - 0.2)).alias("square_sum"), F.count("*").alias("n")).select(F.lit(1).cast("long").alias("run"), F.col("problem_id").alias("group_id"), "square_sum", "n").repartition(1).write.parquet(path)
     groups = stream.read_log(t.spark, path, "run long, group_id long, square_sum double, n long")
     return _to_end(t, stream.lagged_scale(groups))
 

@@ -16,17 +16,18 @@ SQL: dict[str, str] = {}
 class Tables:
     """The driver's tables by name, and the views that the operators are bound to."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, k: int | None = 32):
+        self.spark, self.dir, self.k = spark, sf_dir, k
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @property
     def attempts(self) -> DataFrame:
-        """The first 32 events of each user as attempts at a problem."""
+        """The first k events of each user as attempts at a problem, or all of them where k is None."""
         place = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
-        return self.events.withColumn("attempt_index", place).where("attempt_index < 32").select(
+        placed = self.events.withColumn("attempt_index", place)
+        return (placed if self.k is None else placed.where(F.col("attempt_index") < self.k)).select(
             F.col("user_id").alias("problem_id"), "attempt_index", "event_id", "event_type", "value", "ts",
             (F.col("event_type") == "purchase").alias("success"),
             ((F.col("event_type") == "error") & (F.col("value") > 100)).alias("timed_out"),
@@ -60,6 +61,16 @@ ATT = f"""att AS (
   WHERE attempt_index < 32)"""
 
 
+#: The attempts of problems without the limit, for the queries that have no k.
+ATT_WHOLE = ATT.replace("\n  WHERE attempt_index < 32", "")
+#: Queries in which k is the feature: pass@k, histograms over k, first attempts against last, grids and routes of k.
+OF_K = {
+    "pass_at_k", "a22_success_histogram", "a26_solved_sets", "a31_paired_comparison", "a33_paired_bootstrap", "a34_of_four", "a37_generation_audit", "a49_history_merge",
+    "a50_route_counts", "f37_screen_routes", "f35_problem_weights", "f38_rollout_priority", "j14_resume_work", "j22_coverage_gate", "v18_incomplete_problems", "v19_regression_gate",
+    "t01_rows_at_completion",
+}
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of Tables under a name, with its SQL if SQL can state it."""
 
@@ -67,6 +78,9 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             SQL[name] = sql.replace("{ATT}", ATT)
+            if "{ATT}" in sql and name not in OF_K:
+                QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Tables(spark, sf_dir, None))
+                SQL[f"{name}_whole"] = sql.replace("{ATT}", ATT_WHOLE)
         return f
 
     return note

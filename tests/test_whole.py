@@ -85,3 +85,17 @@ def test_bootstrap_gives_the_paired_interval(tables, spark):
     events = [(i, u, "purchase" if i % 32 >= 28 - u else "view", 1.0, None) for u in range(3) for i in range(32 * u, 32 * u + 32)]
     rows = tables("a33_paired_bootstrap_whole", events=("event_id long, user_id long, event_type string, value double, ts timestamp", events))
     assert {(r.k, r.problems, r.delta, r.low, r.high) for r in rows} == {(1, 3, 1.0, 1.0, 1.0), (4, 3, 1.0, 1.0, 1.0)}
+
+
+def test_attempts_of_a_hot_problem_are_all_there(tables):
+    events = [(i, 1 if i < 100 else i, "purchase" if i == 90 else "view", float(i), None) for i in range(140)]
+    rows = ("event_id long, user_id long, event_type string, value double, ts timestamp", events)
+    got = tables("a36_receipt_counters_whole", events=rows)[0]
+    assert (got.receipts, got.successes, got.least_seconds, got.most_seconds) == (140, 1, 0.0, 139.0)
+    assert {r.attempts for r in tables("a19_problem_summary_whole", events=rows) if r.problem_id == 1} == {100}
+    assert len(tables("t02_once_for_each_key_whole", events=rows)) == 140
+    assert {r.n for r in tables("k06_problem_shards_whole", events=rows) if r.problem == "1"} == {100}
+    many = [(i, i if i < 17 else 0, "view", 1.0, None) for i in range(100)]  # 17 groups; one scale for 16 of them
+    scales = tables("t07_lagged_scale_stream", events=(rows[0], [(i, u, "purchase" if i > 60 else e, v, s) for i, u, e, v, s in many]))
+    last = max(scales, key=lambda r: r.group_id)[2]
+    assert last == pytest.approx(0.9 * 0.5 + 0.1 * ((39 * 0.64 + 60 * 0.04) / 99) ** 0.5)
