@@ -158,8 +158,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 def declared(page: str) -> str | None:
     """The lang attribute of the html element."""
-    m = re.search(r"<html\b([^>]*)>", page[: 1 << 16], re.I)
-    return _attributes(m[1]).get("lang") if m else None
+    m = re.search(r"<html\b", page, re.I)
+    end = page.find(">", m.end()) if m else -1
+    return _attributes(page[m.end() : end]).get("lang") if end >= 0 else None
 
 
 def host_of(url: str | None) -> str:

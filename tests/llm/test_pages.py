@@ -88,6 +88,12 @@ def test_language(spark):
     assert {r.lang for r in language.identify(pages, docs.where("false")).collect()} == {None}
 
 
+def test_language_is_declared_after_a_long_beginning():
+    for start in ("<!--" + "x" * 70_000 + "-->", " " * 70_000, "<script>" + "y;" * 40_000 + "</script>"):
+        assert html.declared(start + '<HTML class="a" lang="de"><body>') == "de"
+    assert html.declared("<html " * 50_000) is None and html.declared("<html><body>") is None
+
+
 def test_archives(spark, tmp_path):
     big = "x" * 1500 + "é"
     data = [(i, f"http://h/{i}?q=ä b", big) for i in (5, 3, 9)] + [(1, None, "small"), (2, "u", "small"), (4, "u", None), (6, "u", ""), (9, "again", big), (7, "u", big + "y"), (None, "u", big)]
