@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions import hashing, text
+from corpusmill.functions import hashing, scanner, text
 from corpusmill.operators import attempts as A
 from corpusmill.operators import dedup, gates, leakage
 from corpusmill.operators import selection as S
@@ -131,3 +131,26 @@ def _(t):
     solved = lambda low, k: t.attempts.groupBy("problem_id").agg(F.bool_or(F.col("success") & F.col("attempt_index").between(low, low + k - 1)).alias("solved"))
     one, four = (A.paired_interval(solved(0, k), solved(28, k), 7).select(F.lit(k).alias("k"), "*") for k in (1, 4))
     return one.unionByName(four)
+
+
+@query("v03_forbidden_tokens_whole")
+def _(t):
+    return scanner.flag_forbidden(t.documents.select("doc_id", "text"), "text").select("doc_id", "forbidden")
+
+
+@query("f01_split_declaration_whole")
+def _(t):
+    return scanner.split_declaration(t.documents.select("doc_id", "text"), "text").select("doc_id", "parts.statement", "parts.proof")
+
+
+def _over_texts(name, f):
+    query(f"{name}_whole")(lambda t: t.documents.select("doc_id", f(F.col("text"))))
+
+
+_over_texts("v01_declaration_prefix", lambda c: text.declaration_prefix(c).alias("declared"))
+_over_texts("f06_proof_bodies", lambda c: text.proof_rhs(c).alias("proof"))
+_over_texts("f08_proof_format", lambda c: text.proof_format(c).alias("format"))
+_over_texts("f25_extracted_proofs", lambda c: text.extract_proof(c).alias("proof"))
+_over_texts("f32_tactic_signatures", lambda c: F.array_join(text.tactic_signature(c), ",").alias("signature"))
+_over_texts("h07_theorem_group", lambda c: hashing.theorem_group(c).alias("theorem_group_id"))
+_over_texts("h11_structural_fingerprints", lambda c: hashing.structural(c).alias("fingerprint"))

@@ -99,3 +99,20 @@ def test_attempts_of_a_hot_problem_are_all_there(tables):
     scales = tables("t07_lagged_scale_stream", events=(rows[0], [(i, u, "purchase" if i > 60 else e, v, s) for i, u, e, v, s in many]))
     last = max(scales, key=lambda r: r.group_id)[2]
     assert last == pytest.approx(0.9 * 0.5 + 0.1 * ((39 * 0.64 + 60 * 0.04) / 99) ** 0.5)
+
+
+def test_text_operators_read_the_texts(tables):
+    long = "word " * 20_000
+    data = [(0, "theorem a : b := by simp"), (1, long + "\nsorry"), (2, long + '"sorry" -- admit'), (4, "theorem a : b := by ring"), (8, ""), (12, None)]
+    run = lambda name: {r[0]: r[1:] for r in tables(f"{name}_whole", documents=("doc_id long, text string", data))}
+    assert {i for i, (bad,) in run("v03_forbidden_tokens").items() if bad} == {1}
+    got = run("f01_split_declaration")
+    assert got[0] == ("theorem a : b", "by simp") and got[4] == ("theorem a : b", "by ring")
+    assert {i for i, (yes,) in run("v01_declaration_prefix").items() if yes} == {0, 4}
+    assert run("f06_proof_bodies")[1] == (data[1][1],)
+    assert run("f08_proof_format")[4] == ("full_declaration",)
+    assert len(run("f25_extracted_proofs")) == len(run("f32_tactic_signatures")) == 6
+    groups = run("h07_theorem_group")
+    assert groups[0] != groups[4] and groups[1] != groups[2]
+    prints = run("h11_structural_fingerprints")
+    assert prints[0] != prints[4] and prints[1] != prints[2]
