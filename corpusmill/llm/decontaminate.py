@@ -1,29 +1,33 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams against every training window.
 
-Only DataFrame and SQL functions run here. A document's words are cut once; every window position
-is hashed and looked up in the set of benchmark window hashes, and only positions that hit carry
-their exact words on to an equality join with the benchmark's windows, so a hash collision costs a
-candidate and never a result. The set travels with the plan only while it has at most `set_bound`
-windows; beyond that all positions are exploded and Spark joins them by their hash.
+Only DataFrame and SQL functions run here. A document's words are cut once; the hash of every window is
+looked up in the broadcast set of benchmark window hashes. Only documents with hits carry their text on:
+the exact words of the places that hit are compared with the benchmark's windows by an equality join, so
+a hash collision costs a candidate and never a result. A set of more than `most` hashes is dealt into
+blocks of at most about that many, each broadcast by itself against all documents: the set's memory is
+bounded at every size, and no window of a document is ever shuffled.
 
 Edge cases: null text or text without words has no words and no hits; a benchmark item without
-words has no window; an item shorter than `n` is one window of its own length; repeated document
-rows are judged each for itself; repeated items count once for each item_id; a null item_id marks
+words has no window; an item shorter than `n` is one window of its own length; rows equal in doc_id and
+text each get the same verdict; repeated items count once for each item_id; a null item_id marks
 words but is not counted; an empty benchmark hits nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ROW
+from corpusmill.llm.common import free
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII but digits and letters.
 SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
-SET_BOUND = 20_000
+#: Hashes that are broadcast together (of 12 bytes; about 40 in the executors' table).
+MOST = 2_000_000
 
 
 def _words(text: str) -> str:
@@ -55,48 +59,38 @@ def benchmark_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
     )
 
 
-def find_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, set_bound: int = SET_BOUND) -> DataFrame:
-    """Per document row: doc_id, __row, n_words, spans array<struct<pos,len>> of hit windows, items array<string>."""
+def _mark(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def find_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, most: int = MOST) -> DataFrame:
+    """doc_id, mark, spans array<struct<pos,len>> of hit windows, items array<string>, of documents that have any; mark: hash of the text."""
     windows = benchmark_windows(items, n)
-    counts = windows.groupBy("len").count().collect()  # one row for each length up to n
-    total = sum(r["count"] for r in counts)
-    lengths = sorted(r["len"] for r in counts)
-    base = docs.select("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
-    if total == 0:
-        return base.selectExpr(
-            "doc_id", ROW, f"size({_exact('coalesce(text, ' + chr(39) * 2 + ')')}) as n_words",
-            "cast(array() as array<struct<pos:int,len:int>>) as spans", "cast(array() as array<string>) as items",
-        )
+    hashes = windows.select(F.col("len").alias("k"), F.col("h").alias("key_hash")).distinct()
+    counts = hashes.groupBy("k").count().collect()  # one row for each length up to n
+    lengths = sorted(r["k"] for r in counts)
+    blocks = max(1, -(-sum(r["count"] for r in counts) // most))
     words = _exact("coalesce(text, '')")
-    positions = lambda k: f"if(size(w) >= {k}, sequence(1, greatest(1, size(w) - {k - 1})), cast(array() as array<int>))"
-    if total <= set_bound:
-        found = {k: ", ".join(f"{r.h}L" for r in windows.where(F.col("len") == k).select("h").distinct().collect()) for k in lengths}
-        tries = ", ".join(
-            f"transform(filter({positions(k)}, i -> xxhash64(slice(w, i, {k})) in ({found[k]}, 0L)), i -> named_struct('pos', i, 'len', {k}, 'key', array_join(slice(w, i, {k}), ' ')))"
-            for k in lengths
-        )
-        keyed = base.selectExpr(
-            "doc_id", ROW, f"transform(array({words}), w -> named_struct('n_words', size(w), 'c', concat({tries})))[0] as s"
-        ).selectExpr("doc_id", ROW, "s.n_words as n_words", "s.c as c")
-        exploded = keyed.selectExpr("doc_id", ROW, "n_words", "explode_outer(c) as c")
-        joined = exploded.join(F.broadcast(windows.select("key", "item_id")), F.col("c.key") == F.col("key"), "left")
-    else:
-        tries = ", ".join(
-            f"transform({positions(k)}, i -> named_struct('pos', i, 'len', {k}, 'key', array_join(slice(w, i, {k}), ' ')))" for k in lengths
-        )
-        exploded = base.selectExpr(
-            "doc_id", ROW,
-            f"explode_outer(transform(array({words}), w -> transform(concat({tries}), "
-            "c -> named_struct('n_words', size(w), 'c', c)))[0]) as x",
-        ).selectExpr("doc_id", ROW, "x.n_words as n_words", "x.c as c")
-        hits = exploded.select("doc_id", ROW, "c", F.col("c.key").alias("key")).join(windows.select("key", "item_id"), "key")
-        rest = base.selectExpr("doc_id", ROW, f"size({words}) as n_words", "cast(null as struct<pos:int,len:int,key:string>) as c", "cast(null as string) as key", "cast(null as string) as item_id")
-        joined = hits.select("doc_id", ROW, F.lit(0).alias("n_words"), "c", "key", "item_id").union(rest)
-    hit = F.col("key").isNotNull()
-    return joined.groupBy(ROW, "doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.collect_set(F.when(hit, F.struct(F.col("c.pos").alias("pos"), F.col("c.len").alias("len")))).alias("spans"),
-        F.collect_set(F.when(hit, F.col("item_id"))).alias("items"),
+    tries = ", ".join(
+        f"transform(if(size(w) >= {k}, sequence(1, greatest(1, size(w) - {k - 1})), cast(array() as array<int>)), "
+        f"i -> named_struct('pos', i, 'len', {k}, 'h', xxhash64(slice(w, i, {k}))))"
+        for k in lengths
+    ) or "cast(array() as array<struct<pos:int,len:int,h:bigint>>)"
+    cut = docs.select("doc_id", "text", _mark().alias("mark")).selectExpr("doc_id", "text", "mark", f"transform(array({words}), w -> concat({tries}))[0] as c")
+    places = cut.selectExpr("doc_id", "text", "mark", "explode(c) as x").selectExpr("doc_id", "text", "mark", "x.pos as pos", "x.len as len", "x.h as h")
+
+    def hits(i: int) -> DataFrame:
+        own = hashes.where(F.expr(f"pmod(key_hash, {blocks}L) = {i}"))
+        return places.join(F.broadcast(own), (F.col("len") == F.col("k")) & (F.col("h") == F.col("key_hash"))).select("doc_id", "text", "mark", "pos", "len")
+
+    found = reduce(DataFrame.union, map(hits, range(blocks))).groupBy("doc_id", "mark").agg(F.first("text").alias("text"), F.collect_set(F.struct("pos", "len")).alias("at"))
+    exact = found.selectExpr(
+        "doc_id", "mark",
+        f"explode(transform(array({words}), w -> transform(at, p -> named_struct('pos', p.pos, 'len', p.len, 'key', array_join(slice(w, p.pos, p.len), ' '))))[0]) as c",
+    )
+    sure = exact.join(windows.select("key", "item_id"), F.col("c.key") == F.col("key"))
+    return sure.groupBy("doc_id", "mark").agg(
+        F.collect_set(F.struct(F.col("c.pos").alias("pos"), F.col("c.len").alias("len"))).alias("spans"), F.collect_set("item_id").alias("items")
     )
 
 
@@ -107,23 +101,26 @@ COVERED = (
 )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, set_bound: int = SET_BOUND) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document row."""
-    return find_hits(docs, items, n, set_bound).selectExpr(
+    found = find_hits(docs, items, n, most).select(F.col("doc_id").alias("doc"), F.col("mark").alias("hash"), "spans", "items")
+    words = _exact("coalesce(text, '')")
+    every = docs.select("doc_id", _mark().alias("mark"), F.expr(f"size({words})").alias("n_words"))
+    return every.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("mark") == F.col("hash")), "left").selectExpr(
         "doc_id",
         "cast(n_words as long) as n_words",
-        f"cast({COVERED} as long) as n_hit",
-        "cast(size(items) as long) as n_items",
-        "sha2(array_join(array_sort(items), ','), 256) as items_sha256",
-        "size(spans) > 0 as contaminated",
+        f"coalesce(cast({COVERED} as long), 0L) as n_hit",
+        "coalesce(cast(size(items) as long), 0L) as n_items",
+        "sha2(coalesce(array_join(array_sort(items), ','), ''), 256) as items_sha256",
+        "spans is not null as contaminated",
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, set_bound: int = SET_BOUND) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, most: int = MOST) -> DataFrame:
     """The documents, with the columns they came with, that hold no benchmark window."""
-    found = find_hits(docs, items, n, set_bound).where("size(spans) > 0").select(F.col(ROW).alias("__hit")).distinct()
-    marked = docs.withColumn(ROW, F.monotonically_increasing_id())
-    return marked.join(found, F.col(ROW) == F.col("__hit"), "left_anti").drop(ROW)
+    doc, th = free(docs, "doc", "hash")
+    found = find_hits(docs, items, n, most).select(F.col("doc_id").alias(doc), F.col("mark").alias(th))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (_mark() == F.col(th)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
