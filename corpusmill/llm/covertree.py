@@ -2,14 +2,15 @@
 
 Vectors of one label (and one length) are laid into blocks around centres; blocks whose covering
 radii keep them further apart than the threshold allows never meet. Each pair of blocks that may
-meet goes to a task, which builds a cover tree of nested levels with halving radii over each and
-walks both at once: a pair of nodes is dropped when the distance of its centres less both covering
-radii exceeds the threshold, counted whole when that distance plus both radii is below it, and
-opened otherwise; pairs of leaves are compared vector by vector in double precision. Tasks return
-the number of links of each vector and a spanning forest of the links, so a cluster of thousands of
-near-identical vectors makes thousands of rows and not millions.
-
-Centres are chosen from a sample of at most about `sample` vectors of the whole table; they only
+meet goes to a task, which builds a cover tree over each: nested levels, each with half the radius of the
+one before it and with all of its centres. Both trees are walked level by level: a pair of nodes is
+dropped when the distance of its centres less both covering radii exceeds the threshold, counted whole
+when that distance plus both radii is below it, and passed to the next level otherwise; what is left
+at the finest level is compared vector by vector in double precision. Tasks return the number of links
+of each vector and a spanning forest of the links, so a cluster of thousands of near-identical vectors
+makes thousands of rows and not millions.
+
+Centres of blocks are chosen from a sample of at most about `sample` vectors of the whole table; they only
 decide which vectors stand together, every vector is compared with all that it may link with. A
 block holds about `block` vectors; larger ones (a label with a third of all rows) are split by hash.
 
@@ -22,16 +23,19 @@ gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import components, materialise
+from corpusmill.llm.common import components, discard, materialise
 
 THRESHOLD = 0.93
-BLOCK, SAMPLE, LEAF, FAN = 2000, 4000, 64, 32
+BLOCK, SAMPLE, CENTRES = 2000, 8000, 512
+#: The least radius of a level.
+FINEST = 1 / 32
 #: Slack for rounding of distances; leaves are decided by the cosine itself.
 EPS = 1e-7
 
@@ -40,94 +44,130 @@ def distance(cosine: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
 
-def _far(x: np.ndarray, fan: int, radius: float) -> tuple[list[int], np.ndarray]:
-    """Centres by farthest point, from the first on, until all are within radius or there are `fan`; and whose each point is."""
-    chosen, near, own = [0], 2 - 2 * np.minimum(1, x @ x[0]), np.zeros(len(x), np.int64)
-    while len(chosen) < fan and (far := int(near.argmax())) >= 0 and near[far] > radius * radius:
-        d = 2 - 2 * np.minimum(1, x @ x[far])
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ y.T)))
+
+
+def _far(x: np.ndarray, near: np.ndarray, radius: float, most: int) -> tuple[list[int], np.ndarray]:
+    """New centres by farthest point until all are within radius of one, or there are `most`; and whose each point is: 0 the old centre's, at distance near."""
+    chosen: list[int] = []
+    own = np.zeros(len(x), np.int64)
+    while len(chosen) < most and near[far := int(near.argmax())] > radius:
+        d = apart(x, x[far : far + 1])[:, 0]
+        d[far] = 0.0
+        chosen.append(far)
         own[d < near] = len(chosen)
         near = np.minimum(near, d)
-        own[far] = len(chosen)
-        chosen.append(far)
     return chosen, own
 
 
+class Level(NamedTuple):
+    bound: float
+    """No node's covering radius is over it."""
+    centre: np.ndarray
+    radius: np.ndarray
+    own: np.ndarray
+    """The node of each point."""
+    up: np.ndarray
+    """The node of the level before that each node is part of."""
+
+    def size(self) -> np.ndarray:
+        return np.bincount(self.own, minlength=len(self.centre))
+
+
 class CoverTree:
-    """Nodes: centre, true covering radius, points, children (none: leaf)."""
-
-    def __init__(self, x: np.ndarray, leaf: int = LEAF, fan: int = FAN):
-        self.x, self.leaf, self.fan = x, leaf, fan
-        self.centre: list[int] = []
-        self.radius: list[float] = []
-        self.points: list[np.ndarray] = []
-        self.children: list[list[int]] = []
-        self._node(np.arange(len(x)), 2.0)
-
-    def _node(self, points: np.ndarray, radius: float) -> int:
-        me = len(self.centre)
-        c = int(points[0])
-        away = float(np.sqrt(np.maximum(0, 2 - 2 * (self.x[points] @ self.x[c])).max()))
-        self.centre.append(c), self.radius.append(away), self.points.append(points), self.children.append([])
-        while radius / 2 >= away > 0:
-            radius /= 2
-        if len(points) > self.leaf and away > 1e-6:
-            own = _far(self.x[points], self.fan, radius / 2)[1]
-            if own.max() > 0:
-                for k in range(int(own.max()) + 1):
-                    mine = points[own == k]
-                    if len(mine):
-                        self.children[me].append(self._node(mine, radius / 2))
-            else:
-                self.children[me] = []
-        return me
+    """Levels of halving bounds; the centres of each are among those of the next. Bounds that bring no new centre have no level."""
+
+    def __init__(self, x: np.ndarray, finest: float = FINEST):
+        self.x = x
+        own, centre = np.zeros(len(x), np.int64), [0]
+        away = apart(x, x[:1])[:, 0]
+        bound = 2.0
+        self.levels = [Level(bound, np.array(centre), np.array([away.max()]), own, np.zeros(1, np.int64))]
+        while bound / 2 >= finest and away.max() > 0:
+            bound /= 2
+            if away.max() <= bound:
+                continue
+            last = self.levels[-1]
+            own, up = last.own.copy(), list(range(len(centre)))
+            order = np.argsort(last.own, kind="stable")
+            for k, points in enumerate(np.split(order, np.cumsum(last.size())[:-1])):
+                if last.radius[k] > bound:
+                    new, whose = _far(x[points], away[points], bound, len(points))
+                    own[points[whose > 0]] = len(centre) - 1 + whose[whose > 0]
+                    centre += points[new].tolist()
+                    up += [k] * len(new)
+            at = np.array(centre)
+            away = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", x, x[at[own]])))
+            away[at] = 0.0
+            radius = np.zeros(len(at))
+            np.maximum.at(radius, own, away)
+            self.levels.append(Level(bound, at, radius, own, np.array(up)))
 
 
 def dual(a: CoverTree, b: CoverTree, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Links of each point of a with points of b (not itself where both are the same tree), those of b, and edges (i, j)."""
     reach = distance(cosine)
-    gap = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centre] @ b.x[b.centre].T)))
     na, nb = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64)
     edges: list[np.ndarray] = []
-    todo = [(0, 0)]
-    while todo:
-        i, j = todo.pop()
-        if same and i > j:
-            continue
-        d, ra, rb = gap[i, j], a.radius[i], b.radius[j]
-        if d - ra - rb > reach + EPS:
-            continue
-        p, q = a.points[i], b.points[j]
-        if d + ra + rb < reach - EPS:
-            twice = same and i == j
-            na[p] += len(q) - twice
-            if same and not twice:
-                nb[q] += len(p)
-            elif not same:
-                nb[q] += len(p)
-            edges += [np.stack([p, np.full(len(p), q[0])], 1), np.stack([np.full(len(q), p[0]), q], 1)]
-        elif not a.children[i] and not b.children[j]:
-            hit = a.x[p] @ b.x[q].T >= cosine
-            if same and i == j:
-                np.fill_diagonal(hit, False)
-                na[p] += hit.sum(1)
-            else:
-                na[p] += hit.sum(1)
-                nb[q] += hit.sum(0)
-            x, y = np.nonzero(hit)
-            if len(x):
-                edges.append(np.stack([p[x], q[y]], 1))
-        elif same and i == j:
-            c = a.children[i]
-            todo += [(s, t) for s in c for t in c if s <= t]
-        elif a.children[i] and (ra >= rb or not b.children[j]):
-            todo += [(c, j) if not same or c <= j else (j, c) for c in a.children[i]]
-        else:
-            todo += [(i, c) if not same or i <= c else (c, i) for c in b.children[j]]
+    open_ = np.ones((1, 1), bool)
+    for depth in range(max(len(a.levels), len(b.levels))):
+        s, t = a.levels[min(depth, len(a.levels) - 1)], b.levels[min(depth, len(b.levels) - 1)]
+        if depth:
+            open_ = open_[s.up] if depth < len(a.levels) else open_
+            open_ = open_[:, t.up] if depth < len(b.levels) else open_
+        if same:
+            open_ = np.triu(open_ | open_.T)
+        if not open_.any():
+            break
+        gap = apart(a.x[s.centre], b.x[t.centre])
+        if same:
+            np.fill_diagonal(gap, 0.0)
+        reaches = s.radius[:, None] + t.radius[None, :]
+        open_ = open_ & (gap - reaches <= reach + EPS)
+        whole = open_ & (gap + reaches < reach - EPS)
+        if whole.any():
+            _count_whole(whole, s, t, same, na, nb, edges)
+            open_ &= ~whole
+    _compare(a, b, s, t, open_, same, cosine, na, nb, edges)
     if same:
         na, nb = na + nb, np.zeros(0, np.int64)
     return na, nb, edges
 
 
+def _count_whole(whole: np.ndarray, s: Level, t: Level, same: bool, na: np.ndarray, nb: np.ndarray, edges: list[np.ndarray]) -> None:
+    """Pairs of nodes all of whose points link."""
+    na += (whole @ t.size())[s.own]
+    nb += (whole.T @ s.size())[t.own]
+    if same:  # a node with itself: each of its points was counted on both sides, with itself
+        one = np.diagonal(whole)
+        na -= (one * s.size())[s.own]
+        nb -= one[s.own]
+    i, j = np.nonzero(whole)
+    edges.append(np.stack([s.centre[i], t.centre[j]], 1))
+    left, right = whole.any(1), whole.any(0)
+    p, q = np.flatnonzero(left[s.own]), np.flatnonzero(right[t.own])
+    edges.append(np.stack([p, t.centre[whole.argmax(1)[s.own[p]]]], 1))
+    edges.append(np.stack([s.centre[whole.argmax(0)[t.own[q]]], q], 1))
+
+
+def _compare(a: CoverTree, b: CoverTree, s: Level, t: Level, open_: np.ndarray, same: bool, cosine: float, na: np.ndarray, nb: np.ndarray, edges: list[np.ndarray]) -> None:
+    """Pairs of nodes that no bound settles: vector by vector."""
+    points = [np.split(np.argsort(x.own, kind="stable"), np.cumsum(x.size())[:-1]) for x in (s, t)]
+    for i in np.flatnonzero(open_.any(1)):
+        p, js = points[0][i], np.flatnonzero(open_[i])
+        q = np.concatenate([points[1][j] for j in js])
+        hit = a.x[p] @ b.x[q].T >= cosine
+        if same:  # within a node: each pair once
+            mine = np.isin(q, p)
+            hit[:, mine] &= p[:, None] < q[mine][None, :]
+        na[p] += hit.sum(1)
+        np.add.at(nb, q, hit.sum(0))
+        x, y = np.nonzero(hit)
+        if len(x):
+            edges.append(np.stack([p[x], q[y]], 1))
+
+
 def forest(n: int, edges: np.ndarray) -> np.ndarray:
     """(node, smallest node of its component) for the nodes that aren't the smallest."""
     label = np.arange(n)
@@ -193,7 +233,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _place(centres: dict[tuple[str, int], np.ndarray]):
-    """The nearest centre of a vector's label, and the distance to it."""
+    """The nearest centre of a vector's label, and the distance to it; 0 and null for a label without centres."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +241,7 @@ def _place(centres: dict[tuple[str, int], np.ndarray]):
             for label, dim, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 c = centres.get((label, dim))
                 if c is None:
-                    near.append(0), away.append(2.0)
+                    near.append(0), away.append(None)
                     continue
                 cos = c @ np.frombuffer(v, np.float64)
                 k = int(cos.argmax())
@@ -225,33 +265,42 @@ def linked(vectors: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK, sa
     for key, own in known.items():
         x = np.frombuffer(b"".join(own), np.float64).reshape(len(own), -1)
         share = -(-count * len(own) // max(1, len(few)) // block)
-        centres[key] = np.ascontiguousarray(x[_far(x, min(256, max(1, share)), 0.0)[0]])
+        new = _far(x, np.full(len(x), 3.0), 0.0, min(CENTRES, max(1, share)))[0]
+        centres[key] = np.ascontiguousarray(x[new])
     placed = units.mapInArrow(_place(centres), "uid long, label string, dim int, vector binary, near int, away double")
     placed = materialise(placed, "placed")
+    discard(units)
     # a centre with more than a block's share is split by hash
     sizes = placed.groupBy("label", "dim", "near").agg(F.count("*").alias("c"), F.max("away").alias("r"))
-    sizes = sizes.withColumn("parts", F.ceil(F.col("c") / block).cast("int"))
-    sizes = materialise(sizes.withColumn("id", F.xxhash64("label", "dim", "near")), "centres")
-    blocks = sizes.selectExpr("label", "dim", "near", "r", "explode(sequence(0, parts - 1)) as part").withColumn("block", F.xxhash64("label", "dim", "near", "part"))
-    gaps = spark_gaps(placed.sparkSession, centres)
-    one, two = (blocks.selectExpr("label", "dim", f"near as near{k}", f"r as r{k}", f"block as block{k}") for k in (1, 2))
-    meet = one.join(two, ["label", "dim"]).where("block1 <= block2").join(F.broadcast(gaps), ["label", "dim", "near1", "near2"], "left")
-    meet = meet.where(f"gap is null or gap - r1 - r2 <= {distance(cosine) + EPS}").select("block1", "block2")
+    sizes = materialise(sizes.withColumn("parts", F.ceil(F.col("c") / block).cast("int")), "centres")
+    near = sizes.selectExpr("label", "dim", "near as near1", "near as near2").union(_neighbours(sizes, centres, distance(cosine) + EPS))
+    one, two = (sizes.selectExpr("label", "dim", f"near as near{k}", f"parts as parts{k}") for k in (1, 2))
+    meet = near.join(one, ["label", "dim", "near1"]).join(two, ["label", "dim", "near2"])
+    meet = meet.selectExpr("*", "explode(sequence(0, parts1 - 1)) as part1").selectExpr("*", "explode(sequence(if(near1 = near2, part1, 0), parts2 - 1)) as part2")
+    meet = meet.selectExpr("xxhash64(label, dim, near1, part1) as block1", "xxhash64(label, dim, near2, part2) as block2")
     sides = materialise(meet.select("*", F.col("block1").alias("block")).union(meet.select("*", F.col("block2").alias("block"))).distinct(), "meets")
     own = placed.join(sizes.select("label", "dim", "near", "parts"), ["label", "dim", "near"]).withColumn("part", F.pmod(F.hash("uid"), F.col("parts")))
     own = own.select("uid", "vector", F.xxhash64("label", "dim", "near", "part").alias("block"))
     sent = own.join(sides, "block").select("block1", "block2", "block", "uid", "vector")
     found = sent.groupBy("block1", "block2").applyInArrow(_meet(cosine), "v long, w long, n long")
-    return rows.select("uid", "vec_id"), materialise(found, "links")
+    found = materialise(found, "links")
+    discard(placed, sizes, sides)
+    return rows.select("uid", "vec_id"), found
 
 
-def spark_gaps(spark: SparkSession, centres: dict[tuple[str, int], np.ndarray]) -> DataFrame:
-    """Distances between the centres of each label; their number is bounded by the sample's."""
-    out = []
+def _neighbours(sizes: DataFrame, centres: dict[tuple[str, int], np.ndarray], reach: float) -> DataFrame:
+    """(label, dim, near1, near2), near1 < near2: centres whose vectors may link. Their number is bounded by the sample's."""
+    radius = {key: np.full(len(c), -np.inf) for key, c in centres.items()}
+    for r in sizes.where("r is not null").select("label", "dim", "near", "r").toLocalIterator():
+        radius[r.label, r.dim][r.near] = r.r
+    cols: list[list] = [[], [], [], []]
     for (label, dim), c in centres.items():
-        gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-        out += [(label, dim, i, j, float(gap[i, j])) for i in range(len(c)) for j in range(len(c))]
-    return spark.createDataFrame(out or [("", 0, 0, 0, 0.0)], "label string, dim int, near1 int, near2 int, gap double")
+        r = radius[label, dim]
+        i, j = np.nonzero(np.triu(apart(c, c) - r[:, None] - r[None, :] <= reach, 1))
+        for col, new in zip(cols, ([label] * len(i), [dim] * len(i), i.tolist(), j.tolist()), strict=True):
+            col += new
+    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("near1", pa.int32()), ("near2", pa.int32())])
+    return sizes.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:

@@ -1,13 +1,18 @@
-"""HTML extraction: markup settles what it can, a suffix array over each host settles the rest.
+"""HTML extraction: an article element shields its text; a suffix array over each host finds the boilerplate around it.
 
 A page is cut into blocks of visible text. Blocks inside an article (else inside a main element) are
-its text; blocks in zones that markup names as menus, headers, footers, sidebars, notices, adverts,
-forms or comments are not. Blocks that markup says nothing of, on pages without such a container,
-are settled by repetition: what is outside the container on all pages of a host is concatenated into
-token streams, the suffixes of the streams are sorted, and runs of at least `RUN` tokens that stand
-on two or more distinct pages of the host are boilerplate. A block that such runs cover whole goes; a
-block with a run of its own stays whole. Runs inside an article are never removed: articles share
-passages, and the text is to be whole.
+shielded: repetition never removes them, since articles share passages and the text is to be whole.
+All other blocks of all pages of a host are concatenated into token streams, each block led by a token
+for its element, so that menus of single words have runs too. The suffixes of the streams are sorted,
+and runs of at least `RUN` tokens that stand on two or more distinct pages of the host are boilerplate.
+A block that such runs cover whole is repeated; a block with a run of its own stays whole.
+
+* A page with a shield: its text is the shielded blocks.
+* A page without one: its text is the blocks that the array leaves, but for those that markup itself
+  calls something else (nav, footer, form, ... and class names that say so in every part, for what
+  stands on one page only, which no array can tell from text).
+
+White space is what the HTML standard calls so, and U+00A0 and the other spaces of Unicode (str.split).
 
 Suffixes are dealt to buckets by the smallest hash in their first tokens, so a host with a third of
 all pages spreads over many tasks; each task first settles what repeats among the pages it reads, and
@@ -52,11 +57,12 @@ DROP = frozenset("head nav footer aside form noscript template dialog menu butto
 DROP_OUTSIDE = frozenset(["header"])
 #: Words of class, id and role that name boilerplate; the second set counts outside an article only.
 NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion sidebar aside nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer comment comments disqus reply replies cookie cookies consent gdpr notice notices alert newsletter subscribe subscription "
-    "popup modal overlay related recommended share sharing social pagination pager login signup search widget contentinfo complementary dialog".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsored promo sidebar aside nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer comment comments disqus cookie cookies consent gdpr notice newsletter popup modal overlay pagination pager contentinfo complementary dialog".split()
+)
+NAMED_OUTSIDE = frozenset(
+    "header banner masthead topbar toolbar form sponsor promotion reply replies notices alert subscribe subscription related recommended share sharing social login signup search widget".split()
 )
-NAMED_OUTSIDE = frozenset("header banner masthead topbar toolbar form".split())
 _WORD = re.compile(r"[a-z0-9]+")
 SAME_CLOSES = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr table", "th": "tr table", "option": "select datalist"}
 
@@ -71,10 +77,12 @@ def _kind(name: str, attrs: str, inside: bool) -> int:
         return 1
     got = _attributes(attrs) if attrs else {}
     if got:
-        words = _WORD.findall(" ".join([got.get("class", ""), got.get("id", ""), got.get("role", "")]).lower())
-        if name not in ("html", "body", "article", "main") or "comment" in words:
-            if any(w in NAMED or (not inside and w in NAMED_OUTSIDE) for w in words):
-                return 1
+        named = " ".join([got.get("class", ""), got.get("id", ""), got.get("role", "")]).lower()
+        if (name not in ("html", "body", "article", "main") and name not in INLINE) or "comment" in named:
+            # a name counts only if all its parts do: ad-notice, but not search-results
+            for words in map(_WORD.findall, named.split()):
+                if words and all(w in NAMED or (not inside and w in NAMED_OUTSIDE) for w in words):
+                    return 1
         if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
             return 1
         if got.get("role") == "main":
@@ -84,9 +92,9 @@ def _kind(name: str, attrs: str, inside: bool) -> int:
     return {"article": 2, "main": 3}.get(name, 0)
 
 
-def blocks(page: str) -> list[tuple[int, str]]:
-    """(zone, text) in page order; zone 2: in an article, 3: in a main element, 0: elsewhere, 1: boilerplate by markup."""
-    out: list[tuple[int, str]] = []
+def blocks(page: str) -> list[tuple[int, str, str]]:
+    """(zone, element, text) in page order; zone 2: in an article, 3: in a main element, 0: elsewhere, 1: boilerplate by markup."""
+    out: list[tuple[int, str, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []
     depth = [0, 0, 0, 0]
@@ -96,7 +104,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append((zone, text))
+                out.append((zone, next((n for n, _ in reversed(stack) if n not in INLINE), ""), text))
             held.clear()
 
     def pop_to(i: int) -> None:
@@ -169,14 +177,13 @@ def host_of(url: str | None) -> str:
 
 
 def settle(page: str) -> tuple[str | None, list[str], list[bool]]:
-    """(text, or None where repetition must decide; blocks of the host's stream; which of them may be text)."""
+    """(text, or None where there is no shield; blocks of the host's stream, each led by its element's mark; which of them may be text)."""
     got = blocks(page)
-    for own in (2, 3):
-        if any(z == own for z, _ in got):
-            return " ".join(t for z, t in got if z == own), [t for z, t in got if z != own], []
-    if not any(z == 0 for z, _ in got):
-        return "", [t for _, t in got], []
-    return None, [t for _, t in got], [z == 0 for z, _ in got]
+    own = next((z for z in (2, 3) if any(zone == z for zone, _, _ in got)), None)
+    rest = [(z, f"\0{e} {t}") for z, e, t in got if z != own]
+    if own is None and not any(z == 0 for z, _ in rest):  # nothing that may be text
+        return "", [t for _, t in rest], []
+    return None if own is None else " ".join(t for z, _, t in got if z == own), [t for _, t in rest], [z == 0 for z, _ in rest]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,36 +330,47 @@ def repeated_runs(pages: DataFrame, run: int = RUN) -> DataFrame:
     return found.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
 
-def keep_unique(texts: list[str], open_: list[bool], spans: list[dict] | None) -> str:
-    """The open blocks that repeated runs do not cover whole."""
+def keep_unique(texts: list[str], open_: list[bool], spans: list[dict] | None) -> tuple[str, int, int]:
+    """(the open blocks that repeated runs do not cover whole; blocks that they cover; other blocks that go by their markup)."""
     sizes = [len(t.split()) for t in texts]
     covered = np.zeros(sum(sizes) + 1, bool)
     for s in spans or ():
         covered[s["lo"] : s["hi"]] = True
-    out, at = [], 0
+    out, at, repeated, named = [], 0, 0, 0
     for text, is_open, n in zip(texts, open_, sizes, strict=True):
-        if is_open and not covered[at : at + n].all():
-            out.append(text)
+        if covered[at : at + n].all():
+            repeated += 1
+        elif is_open:
+            out.append(text[text.index(" ") + 1 :])
+        else:
+            named += 1
         at += n
-    return " ".join(out)
+    return " ".join(out), repeated, named
 
 
 def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """page_id, url, text, n_chars, host, settled_by for every page row."""
+    """page_id, url, text, n_chars, host, settled_by, n_repeated, n_named for every page row.
+
+    settled_by: shield (an article or main element), else repetition (the array removed a block), else
+    markup. n_repeated, null under a shield: blocks that the array finds on other pages of the host, and
+    n_named those that only their markup tells from text.
+    """
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), "page_id", "url", "html")
     kind = pages.schema["page_id"].dataType.simpleString()
     parsed = materialise(rows.mapInArrow(_parse, f"uid long, page_id {kind}, url string, host string, text string, blocks array<string>, open array<boolean>"), "pages")
-    plain = parsed.where("text is not null").select("page_id", "url", "text", "host", F.lit("markup").alias("settled_by"))
-    spans = repeated_runs(parsed, run)
+    shielded = parsed.where("text is not null").selectExpr("page_id", "url", "text", "host", "if(text = '', 'markup', 'shield') as settled_by", "cast(null as int) as n_repeated", "cast(null as int) as n_named")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [keep_unique(*x) for x in zip(*(b.column(c).to_pylist() for c in ("blocks", "open", "spans")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(got, pa.string()), b.column("host"), pa.array(["repetition"] * len(got), pa.string())], names=["page_id", "url", "text", "host", "settled_by"])
+            by = ["repetition" if g[1] else "markup" for g in got]
+            text, repeated, named = (pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), text, b.column("host"), pa.array(by, pa.string()), repeated, named], names=["page_id", "url", "text", "host", "settled_by", "n_repeated", "n_named"])
 
-    rest = parsed.where("text is null").join(spans, "uid", "left").mapInArrow(work, f"page_id {kind}, url string, text string, host string, settled_by string")
-    return plain.union(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host", "settled_by")
+    rest = parsed.where("text is null").join(repeated_runs(parsed, run), "uid", "left")
+    rest = rest.mapInArrow(work, f"page_id {kind}, url string, text string, host string, settled_by string, n_repeated int, n_named int")
+    return shielded.union(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host", "settled_by", "n_repeated", "n_named")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars", "settled_by")
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars", "settled_by", "n_repeated", "n_named")

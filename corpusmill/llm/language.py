@@ -67,10 +67,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability of each trigram bucket in each): grouped counts over all documents."""
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
+    n = rows.select("lang").distinct().count()
+    if n > MOST:
+        raise ValueError(f"{n} languages; at most {MOST} are supported")
     counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).collect()  # languages x buckets at most
-    if len(got) > MOST:
-        raise ValueError(f"{len(got)} languages; at most {MOST} are supported")
     langs = sorted(r["lang"] for r in got)
     table = np.ones((len(langs), BUCKETS))
     for r in got:
@@ -99,7 +100,7 @@ def page_evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> Data
                 host = html.host_of(url)
                 labels = host.split(".")
                 text, other, _ = html.settle(page or "")
-                g = trigrams(text if text is not None else " ".join(other))
+                g = trigrams(text if text is not None else " ".join(t[t.index(" ") + 1 :] for t in other))
                 ll = t[:, g].sum(1, dtype=np.float64) * (min(1.0, WEIGHT / len(g)) if len(g) else 0.0)
                 hosts.append(host), parents.append(".".join(labels[-3:] if len(labels) > 3 else labels[1:])), suffixes.append(labels[-1])
                 said.append(primary(html.declared(page or "")))

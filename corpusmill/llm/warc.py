@@ -74,7 +74,10 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe=':/?#[]@!$&%=~+,;()*' + chr(39))}")
+        target = urllib.parse.quote(url, safe=":/?#[]@!$&%=~+,;()*'")
+        lines.append(f"WARC-Target-URI: {target}")
+        if target != url:  # it has characters that no URI may have
+            lines.append(f"X-Url: {urllib.parse.quote(url)}")
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
     block = head if refers_to is not None else head + payload
@@ -204,8 +207,8 @@ def read_back(archives: DataFrame, folder: str) -> DataFrame:
                         if h["warc-type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"a payload of {name} does not match its digest")
                         size = len(payload) if h["warc-type"] == "response" else int(head.rpartition(b"Content-Length: ")[2])
-                        url = h.get("warc-target-uri")
-                        rows.append((whole(h["x-page-id"]), None if url is None else urllib.parse.unquote(url), size, digest, h["warc-type"], whole(h.get("x-refers-to-page"))))
+                        url = urllib.parse.unquote(h["x-url"]) if "x-url" in h else h.get("warc-target-uri")
+                        rows.append((whole(h["x-page-id"]), url, size, digest, h["warc-type"], whole(h.get("x-refers-to-page"))))
                         if len(rows) == 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                             rows = []

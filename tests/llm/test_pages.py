@@ -1,8 +1,10 @@
 """Operators over pages and vectors: extraction, languages, archives, cover trees."""
 
+import functools
 import gzip
 import hashlib
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -41,6 +43,96 @@ def test_markup(page, want):
     assert only(page) == want
 
 
+def test_class_words_remove_nothing_else_within_an_article():
+    page = '<article><div class="search-results">kept</div><p>an <b class="ad">inline</b> <i id="share">word</i></p><div class="related alert">also</div><div class="ad">gone</div></article>'
+    assert only(page) == "kept an inline word also"
+
+
+class Plain(HTMLParser):
+    """Text of the blocks of well-formed pages, by the library's parser: what is in an article, and all of it."""
+
+    def __init__(self):
+        super().__init__()
+        self.held, self.out, self.path = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(self.held).split())
+        if text:
+            self.out.append(("article" in self.path, text))
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.held.append(" ")
+        elif tag not in ("b", "a", "meta"):
+            self.cut()
+            self.path.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.path:
+            self.cut()
+            del self.path[len(self.path) - 1 - self.path[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not {"script", "style", "head"} & set(self.path):
+            self.held.append(data)
+
+
+def test_pages_against_the_library_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        p = Plain()
+        p.feed(r.html or "")
+        p.cut()
+        want[r.page_id] = " ".join(t for inside, t in p.out if inside)
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+
+
+def test_repetition_alone_parts_text_from_boilerplate(spark):
+    """Pages without any name, id or telling element: only the array can tell, and does."""
+    rnd = random.Random(8)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    data, own, other = [], {}, {}
+    for host in range(3):
+        menu = [text(1) for _ in range(7)]
+        notes = [text(14), text(9)]
+        for k in range(20):
+            i = 100 * host + k
+            body = [text(40), text(25), text(6)]
+            page = "".join(f"<div>{m}</div>" for m in menu) + f"<div>{notes[0]}</div>" + "".join(f"<div>{b}</div>" for b in body) + f"<div>{notes[1]}</div>"
+            data.append((i, f"https://h{host}.example.org/{k}", f"<html><body><div>{page}</div></body></html>"))
+            own[i], other[i] = body, [*menu, *notes]
+    got = {r.page_id: r for r in html.extract(frame(spark, data).repartition(7)).collect()}
+    assert {r.settled_by for r in got.values()} == {"repetition"}
+    assert all(got[i].text == " ".join(own[i]) and got[i].n_repeated == len(other[i]) for i in own)
+
+
+def brute_repeated(streams, run):
+    """Token positions of each stream that some run covers which another stream holds too."""
+    where = {}
+    for i, t in streams.items():
+        for a in range(len(t) - run + 1):
+            where.setdefault(tuple(t[a : a + run]), set()).add(i)
+    return {i: {x for a in range(len(t) - run + 1) if len(where[tuple(t[a : a + run])]) > 1 for x in range(a, a + run)} for i, t in streams.items()}
+
+
+@pytest.mark.parametrize("chunk", [60, 1 << 20])
+def test_runs_against_brute_force(spark, chunk, monkeypatch):
+    rnd = random.Random(chunk)
+    monkeypatch.setattr(html, "_deal", functools.partial(html._deal, chunk=chunk))
+    streams = {(h, i): [rnd.choice("abcd") for _ in range(rnd.randint(0, 60))] for h in "xy" for i in range(12)}
+    for i in range(0, 12, 3):
+        streams["x", i][5:5] = list("dcbadcbadd")
+    ids = {k: n for n, k in enumerate(streams)}
+    rows = [(ids[k], k[0], [" ".join(t[:7]), " ".join(t[7:])] if t else []) for k, t in streams.items()]
+    found = html.repeated_runs(spark.createDataFrame(rows, "uid long, host string, blocks array<string>").repartition(4), run=6).collect()
+    got = {r.uid: {x for s in r.spans for x in range(s.lo, s.hi)} for r in found}
+    for h in "xy":
+        for k, want in brute_repeated({k: t for k, t in streams.items() if k[0] == h}, 6).items():
+            assert got.get(ids[k], set()) == want
+
+
 def test_repeats_settle_pages_without_containers(spark):
     word = random.Random(3)
     text = lambda n: " ".join("".join(word.choice("abcdefgh") for _ in range(5)) for _ in range(n))
@@ -159,6 +251,31 @@ def test_vectors(spark, block, sample):
     assert got == want
 
 
+@pytest.mark.parametrize(("dim", "spread"), [(3, 0.5), (8, 0.2), (64, 0.02), (64, 2.0)])
+def test_levels_halve_and_nest(dim, spread):
+    rnd = np.random.default_rng(dim)
+    x = rnd.normal(size=(20, dim))[rnd.integers(0, 20, 700)] + spread * rnd.normal(size=(700, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[5] = x[6] = x[7]
+    tree = covertree.CoverTree(x)
+    for up, level in zip(tree.levels, tree.levels[1:], strict=False):
+        assert level.bound <= up.bound / 2 and level.radius.max() <= level.bound
+        assert set(up.centre) <= set(level.centre)
+        assert (up.own == level.up[level.own]).all()
+        away = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[level.centre[level.own]])))
+        assert (away <= level.radius[level.own] + 1e-7).all()
+    other = covertree.CoverTree(x[::-1][:300] + 0.0)
+    for b, same in ((tree, True), (other, False)):
+        na, nb, edges = covertree.dual(tree, b, same, 0.93)
+        link = tree.x @ b.x.T >= 0.93
+        if same:
+            np.fill_diagonal(link, False)
+        assert (na == link.sum(1)).all() and (same or (nb == link.sum(0)).all())
+        e = np.concatenate(edges) if edges else np.zeros((0, 2), int)
+        e = e[e[:, 0] != e[:, 1]] if same else e
+        assert link[e[:, 0], e[:, 1]].all()
+
+
 def test_vectors_edges(spark):
     none = spark.createDataFrame([], VECTORS)
     assert covertree.near_duplicates(none).count() == 0
