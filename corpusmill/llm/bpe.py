@@ -289,21 +289,26 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
+        was = gc.isenabled()
         gc.disable()  # what is kept has no cycles, and there is much of it
-        for b in batches:
-            at = 0
-            for group in _groups(b.column(text).to_pylist(), CHUNK):
-                rows = []
-                for n, data, decoded in bpe.encode_texts(group):
-                    row: list = [n]
-                    if ids:
-                        row.append(memoryview(data).cast("I").tolist())
-                    if digests:
-                        row += [hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                    rows.append(row)
-                cols = [pa.array(c, t) for c, (_, _, t) in zip(zip(*rows, strict=True), new, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.slice(at, len(group)).columns, *cols], names=[*names, *(n for n, _, _ in new)])
-                at += len(group)
+        try:
+            for b in batches:
+                at = 0
+                for group in _groups(b.column(text).to_pylist(), CHUNK):
+                    rows = []
+                    for n, data, decoded in bpe.encode_texts(group):
+                        row: list = [n]
+                        if ids:
+                            row.append(memoryview(data).cast("I").tolist())
+                        if digests:
+                            row += [hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+                        rows.append(row)
+                    cols = [pa.array(c, t) for c, (_, _, t) in zip(zip(*rows, strict=True), new, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*b.slice(at, len(group)).columns, *cols], names=[*names, *(n for n, _, _ in new)])
+                    at += len(group)
+        finally:
+            if was:
+                gc.enable()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t, _ in new)]))
 

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.common import free
+
 TRAIN_ROWS = 1500
 THRESHOLD = 0.3
 WINDOW = 8
@@ -248,7 +250,8 @@ def predict(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """The documents, with the columns they came with, whose score is below the threshold."""
-    return score(docs, fit(docs, labels, **how), "__score").where(F.col("__score") < threshold).drop("__score")
+    (name,) = free(docs, "score")
+    return score(docs, fit(docs, labels, **how), name).where(F.col(name) < threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
