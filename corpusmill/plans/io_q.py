@@ -128,7 +128,7 @@ def _to_end(t, frame):
     return t.spark.read.schema(frame.schema).parquet(path)
 
 
-@query("t01_rows_at_completion", "WITH {ATT} SELECT problem_id, 32 AS attempts, count(*) FILTER (success) AS successes FROM att GROUP BY 1")
+@query("t01_rows_at_completion", "WITH {ATT} SELECT problem_id, 32 AS attempts, count(*) FILTER (success) AS successes FROM att GROUP BY 1 HAVING count(*) = 32")
 def _(t):
     return _to_end(t, stream.when_complete(_log(t), 32))
 
@@ -152,23 +152,11 @@ def _(t):
 def _(t):
     path = folder(t.spark, "groups")
     r = F.when(F.col("success"), 1.0).otherwise(0.0)
-    Tables(t.spark, t.dir, None).attempts.groupBy("problem_id").agg(F.sum((r - 0.2) * (r - 0.2)).alias("square_sum"), F.count("*").alias("n")).select(F.lit(1).cast("long").alias("run"), F.col("problem_id").alias("group_id"), "square_sum", "n").repartition(1).write.parquet(path)
+    t.attempts.groupBy("problem_id").agg(F.sum((r - 0.2) * (r - 0.2)).alias("square_sum"), F.count("*").alias("n")).select(F.lit(1).cast("long").alias("run"), F.col("problem_id").alias("group_id"), "square_sum", "n").repartition(1).write.parquet(path)
     groups = stream.read_log(t.spark, path, "run long, group_id long, square_sum double, n long")
     return _to_end(t, stream.lagged_scale(groups))
 
 
-@query("a08_same_proof_statements", "SELECT right(text, 12) AS proof, count(DISTINCT left(text, 12)) AS variants, count(*) AS \"rows\" FROM documents GROUP BY 1 HAVING count(DISTINCT left(text, 12)) >= 2")
-def _(t):
-    rows = t.documents.select(F.right("text", F.lit(12)).alias("proof"), F.left("text", F.lit(12)).alias("s"))
-    return dedup.variants(rows, "proof", "s")
-
-
-@query("f06_proof_bodies", "SELECT doc_id, 'by simp' AS proof FROM documents")
-def _(t):
-    p = F.when(F.col("doc_id") % 2 == 0, ":= by simp ").otherwise("```lean\n:= by simp\n```")
-    return t.documents.select("doc_id", text.proof_rhs(p).alias("proof"))
-
-
 @query("p10_reference_only_rows", "SELECT doc_id, 'reference_proof' AS proof_fields FROM documents WHERE doc_id % 2 = 0")
 def _(t):
     rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "x").alias("reference_proof"))

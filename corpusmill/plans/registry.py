@@ -5,30 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.operators.places import numbered
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Attempts at one problem, and how far apart the numbers of a user's problems are.
+K, PROBLEMS = 32, 1_000_000_000
 
 
 class Tables:
     """The driver's tables by name, and the views that the operators are bound to."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, k: int | None = 32):
-        self.spark, self.dir, self.k = spark, sf_dir, k
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @property
     def attempts(self) -> DataFrame:
-        """The first k events of each user as attempts at a problem, or all of them where k is None."""
-        place = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
-        placed = self.events.withColumn("attempt_index", place)
-        return (placed if self.k is None else placed.where(F.col("attempt_index") < self.k)).select(
-            F.col("user_id").alias("problem_id"), "attempt_index", "event_id", "event_type", "value", "ts",
+        """All events as attempts: of each user 32 in a row at one problem, the next 32 at that user's next."""
+        placed = numbered(self.events, "user_id", "event_id", "place")
+        return placed.select(
+            (F.col("user_id") + F.floor(F.col("place") / K) * PROBLEMS).alias("problem_id"), (F.col("place") % K).cast("int").alias("attempt_index"),
+            "event_id", "event_type", "value", "ts",
             (F.col("event_type") == "purchase").alias("success"),
             ((F.col("event_type") == "error") & (F.col("value") > 100)).alias("timed_out"),
             diagnostics(F.col("event_type")).alias("diagnostics"),
@@ -54,21 +57,10 @@ def diagnostics(c):
 
 _CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in DIAGNOSTICS.items()) + " ELSE '' END"
 ATT = f"""att AS (
-  SELECT problem_id, attempt_index, event_id, event_type, value, ts, event_type = 'purchase' AS success,
+  SELECT user_id + (place // {K}) * {PROBLEMS} AS problem_id, CAST(place % {K} AS INTEGER) AS attempt_index, event_id, event_type, value, ts, event_type = 'purchase' AS success,
          event_type = 'error' AND value > 100 AS timed_out, {_CASE} AS diagnostics,
          event_type || CAST(CAST(floor(value / 40) AS BIGINT) AS VARCHAR) AS proof
-  FROM (SELECT *, user_id AS problem_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS attempt_index FROM events) e
-  WHERE attempt_index < 32)"""
-
-
-#: The attempts of problems without the limit, for the queries that have no k.
-ATT_WHOLE = ATT.replace("\n  WHERE attempt_index < 32", "")
-#: Queries in which k is the feature: pass@k, histograms over k, first attempts against last, grids and routes of k.
-OF_K = {
-    "pass_at_k", "a22_success_histogram", "a26_solved_sets", "a31_paired_comparison", "a33_paired_bootstrap", "a34_of_four", "a37_generation_audit", "a49_history_merge",
-    "a50_route_counts", "f37_screen_routes", "f35_problem_weights", "f38_rollout_priority", "j14_resume_work", "j22_coverage_gate", "v18_incomplete_problems", "v19_regression_gate",
-    "t01_rows_at_completion",
-}
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events) e)"""
 
 
 def query(name: str, sql: str | None = None):
@@ -78,9 +70,6 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             SQL[name] = sql.replace("{ATT}", ATT)
-            if "{ATT}" in sql and name not in OF_K:
-                QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Tables(spark, sf_dir, None))
-                SQL[f"{name}_whole"] = sql.replace("{ATT}", ATT_WHOLE)
         return f
 
     return note

@@ -1,4 +1,4 @@
-"""Queries over whole texts and all rows, where the query of the same id and its SQL are over a part of them."""
+"""Queries over the whole texts of all documents; those without SQL are tested by brute force."""
 
 from __future__ import annotations
 
@@ -11,13 +11,13 @@ from corpusmill.operators import selection as S
 from corpusmill.plans.registry import query
 
 
-@query("j08_token_similarity_whole")
+@query("j08_token_similarity")
 def _(t):
     rows = t.documents.select(F.col("doc_id").alias("id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]+"), F.lit(0))).alias("tokens"))
     return leakage.similar_sets(rows, rows).withColumn("score", F.round("score", 9))
 
 
-@query("j12_key_and_field_gate_whole", """
+@query("j12_key_and_field_gate", """
 SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'flag' END AS reason
 FROM (SELECT doc_id, (n_chars % 2)::INT AS flag FROM documents) d FULL JOIN (SELECT doc_id, quality AS flag FROM labels) l ON d.doc_id = l.doc_id
 WHERE d.doc_id IS NULL OR l.doc_id IS NULL OR d.flag IS DISTINCT FROM l.flag""")
@@ -36,7 +36,7 @@ def _halves(df, *columns):
 _HALVES = "sha256(left(text, length(text) // 2)) AS s, sha256(substr(text, length(text) // 2 + 1)) AS p"
 
 
-@query("j06_leakage_levels_whole")
+@query("j06_leakage_levels")
 def _(t):
     """Protected: all of benchmark, and the documents that labels hold for evaluation; level 0 by id, 1 by exact and 2 by normalised text."""
     keys = lambda df, kind, id_, *more: text.nfc(df.withColumn("k1", hashing.exact(F.col("text"))), "text").select(
@@ -49,7 +49,7 @@ def _(t):
     return out.select("id", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), "removed")
 
 
-@query("h13_token_jaccard_whole", r"""
+@query("h13_token_jaccard", r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ ]+') AS w FROM documents),
 d AS (SELECT doc_id, list_distinct(w[1:len(w) // 2]) AS a, list_distinct(w[len(w) // 2 + 1:]) AS b FROM w)
 SELECT doc_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 9) AS score FROM d""")
@@ -60,7 +60,7 @@ def _(t):
     return d.select("doc_id", F.when(F.col("w").isNotNull(), F.round(hashing.jaccard(a, b), 9)).alias("score"))
 
 
-@query("a03_role_dedup_whole", f"""
+@query("a03_role_dedup", f"""
 WITH d AS (SELECT doc_id, {_HALVES} FROM documents)
 SELECT doc_id, row_number() OVER (PARTITION BY s, p ORDER BY doc_id) = 1 AS kept_pair, row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1 AS kept_statement FROM d""")
 def _(t):
@@ -68,13 +68,13 @@ def _(t):
     return dedup.first_wins(rows, ["s"], "doc_id").select("doc_id", "kept_pair", F.col("kept").alias("kept_statement"))
 
 
-@query("a05_duplicate_groups_whole")
+@query("a05_duplicate_groups")
 def _(t):
     rows = text.nfc(t.documents.withColumn("exact", hashing.exact(F.col("text"))), "text").withColumn("normalized", hashing.normalized(F.col("text")))
     return dedup.duplicate_groups(rows, {0: ["doc_id"], 1: ["source", "n_chars"], 3: ["lang", "normalized"], 4: ["exact"]}, "doc_id")
 
 
-@query("a07_variants_whole", f"""
+@query("a07_variants", f"""
 WITH d AS (SELECT {_HALVES} FROM documents)
 SELECT 'statement' AS side, s AS key, count(DISTINCT p) AS variants, count(*) AS "rows" FROM d GROUP BY 2 HAVING count(DISTINCT p) >= 2
 UNION ALL SELECT 'proof', p, count(DISTINCT s), count(*) FROM d GROUP BY 2 HAVING count(DISTINCT s) >= 2""")
@@ -84,13 +84,13 @@ def _(t):
     return one.unionByName(dedup.variants(rows, "p", "s").select(F.lit("proof").alias("side"), F.col("p").alias("key"), "variants", "rows"))
 
 
-@query("a08_same_proof_statements_whole", f"""
+@query("a08_same_proof_statements", f"""
 WITH d AS (SELECT {_HALVES} FROM documents) SELECT p AS proof, count(DISTINCT s) AS variants, count(*) AS "rows" FROM d GROUP BY 1 HAVING count(DISTINCT s) >= 2""")
 def _(t):
     return dedup.variants(_halves(t.documents).withColumnRenamed("p", "proof"), "proof", "s")
 
 
-@query("j05_cross_source_overlap_whole", f"""
+@query("j05_cross_source_overlap", f"""
 WITH d AS (SELECT doc_id, {_HALVES} FROM documents), a AS (SELECT * FROM d WHERE doc_id % 2 = 0), b AS (SELECT * FROM d WHERE doc_id % 2 = 1)
 SELECT doc_id, (s, p) IN (SELECT (s, p) FROM b) AS pair, s IN (SELECT s FROM b) AS statement, p IN (SELECT p FROM b) AS proof FROM a""")
 def _(t):
@@ -101,7 +101,7 @@ def _(t):
     return out.select("doc_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("pair", "statement", "proof")))
 
 
-@query("u02_union_then_dedup_whole", """
+@query("u02_union_then_dedup", """
 WITH u AS (SELECT 0 AS f, doc_id AS i, sha256(text) AS k FROM documents UNION ALL SELECT 1, item_id, sha256(text) FROM benchmark)
 SELECT f AS file, i AS id, row_number() OVER (PARTITION BY k ORDER BY f, i) = 1 AS kept FROM u""")
 def _(t):
@@ -110,14 +110,14 @@ def _(t):
     return dedup.first_wins(u, ["k"], "idx").select("file", "id", "kept")
 
 
-@query("o22_diverse_selection_whole", """
+@query("o22_diverse_selection", """
 WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY sha256('15:' || doc_id), doc_id) > 1 AS again FROM documents)
 SELECT doc_id, again FROM r ORDER BY again, sha256('15:' || doc_id), doc_id LIMIT 300""")
 def _(t):
     return S.diverse(t.documents.select("doc_id", hashing.exact(F.col("text")).alias("body")), "body", 15, "doc_id", 300).select("doc_id", "again")
 
 
-@query("o23_balanced_selection_whole", """
+@query("o23_balanced_selection", """
 WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY sha256(text) ORDER BY sha256('16:' || doc_id), doc_id) AS nth FROM documents),
 t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('16:' || doc_id), doc_id) AS turn FROM n WHERE nth <= 5)
 SELECT doc_id, lang FROM t ORDER BY turn, lang, doc_id LIMIT 200""")
@@ -125,7 +125,7 @@ def _(t):
     return S.balanced(t.documents.select("doc_id", "lang", hashing.exact(F.col("text")).alias("body")), "body", "lang", 5, 200, 16, "doc_id").select("doc_id", "lang")
 
 
-@query("a33_paired_bootstrap_whole")
+@query("a33_paired_bootstrap")
 def _(t):
     """95 % intervals of pass@1 and pass@4 between the first and the last attempts of 32, as in a31, from 10,000 draws."""
     solved = lambda low, k: t.attempts.groupBy("problem_id").agg(F.bool_or(F.col("success") & F.col("attempt_index").between(low, low + k - 1)).alias("solved"))
@@ -133,18 +133,18 @@ def _(t):
     return one.unionByName(four)
 
 
-@query("v03_forbidden_tokens_whole")
+@query("v03_forbidden_tokens")
 def _(t):
     return scanner.flag_forbidden(t.documents.select("doc_id", "text"), "text").select("doc_id", "forbidden")
 
 
-@query("f01_split_declaration_whole")
+@query("f01_split_declaration")
 def _(t):
     return scanner.split_declaration(t.documents.select("doc_id", "text"), "text").select("doc_id", "parts.statement", "parts.proof")
 
 
 def _over_texts(name, f):
-    query(f"{name}_whole")(lambda t: t.documents.select("doc_id", f(F.col("text"))))
+    query(name)(lambda t: t.documents.select("doc_id", f(F.col("text"))))
 
 
 _over_texts("v01_declaration_prefix", lambda c: text.declaration_prefix(c).alias("declared"))

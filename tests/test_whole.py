@@ -27,7 +27,7 @@ def test_similarity_is_over_whole_texts_and_all_documents(tables):
         (3, "Other start " + " ".join([OPENING, *words])),  # differs from 1 only early
         (7, "a b"), (9, "B A"), (10, ""), (11, None),
     ]
-    got = {(r.a, r.b): r.score for r in tables("j08_token_similarity_whole", documents=("doc_id long, text string", data))}
+    got = {(r.a, r.b): r.score for r in tables("j08_token_similarity", documents=("doc_id long, text string", data))}
     sets = {i: set(t.lower().split()) for i, t in data if t is not None}
     score = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     want = {(i, j): round(score(a, b), 9) for i, a in sets.items() for j, b in sets.items() if score(a, b) >= 0.9}
@@ -37,7 +37,7 @@ def test_similarity_is_over_whole_texts_and_all_documents(tables):
 def test_field_gate_has_all_documents(tables):
     documents = ("doc_id long, n_chars long", [(4, 1), (5, 1), (10, 2), (15, 1)])
     labels = ("doc_id long, quality int", [(4, 1), (5, 1), (10, 1), (99, 0)])
-    got = {(r.doc_id, r.reason) for r in tables("j12_key_and_field_gate_whole", documents=documents, labels=labels)}
+    got = {(r.doc_id, r.reason) for r in tables("j12_key_and_field_gate", documents=documents, labels=labels)}
     assert got == {(10, "flag"), (15, "left_only"), (99, "right_only")}
 
 
@@ -47,26 +47,26 @@ def test_leakage_is_over_whole_texts(tables):
         (3, "a  passage \r\nof the benchmark"), (4, "a passage\nof the benchmark"), (5, "Held"), (6, "Held  "), (7, "Held"),
     ]
     benchmark = ("item_id long, text string", [(1, f"{OPENING} benchmark"), (2, "a passage\nof the benchmark")])
-    got = tables("j06_leakage_levels_whole", documents=("doc_id long, text string", documents), benchmark=benchmark, labels=("doc_id long", [(5,)]))
+    got = tables("j06_leakage_levels", documents=("doc_id long, text string", documents), benchmark=benchmark, labels=("doc_id long", [(5,)]))
     assert {r.id: (r.levels, r.removed) for r in got} == {1: ("", False), 2: ("", False), 3: ("2", True), 4: ("1,2", True), 5: ("0,1,2", True), 6: ("2", True), 7: ("1,2", True)}
 
 
 def test_dedup_is_over_whole_texts(tables):
     body = [f"{OPENING} {end}" for end in ("one", "two", "one")]
     rows = ("doc_id long, text string, lang string, source string, n_chars long", [(i, t, "en", f"s{i}", i) for i, t in enumerate(body)])
-    kept = {r.doc_id: r.kept_pair for r in tables("a03_role_dedup_whole", documents=rows)}
+    kept = {r.doc_id: r.kept_pair for r in tables("a03_role_dedup", documents=rows)}
     assert kept == {0: True, 1: True, 2: False}
-    assert {(r.level, r.record_ids) for r in tables("a05_duplicate_groups_whole", documents=rows)} == {(3, "0,2"), (4, "0,2")}
-    assert {r.doc_id: r.pair for r in tables("j05_cross_source_overlap_whole", documents=rows)} == {0: False, 2: False}
-    assert {(r.side, r.variants, r.rows) for r in tables("a07_variants_whole", documents=rows)} == {("statement", 2, 3)}
-    assert tables("a08_same_proof_statements_whole", documents=rows) == []
-    united = tables("u02_union_then_dedup_whole", documents=rows, benchmark=("item_id long, text string", [(1, body[1]), (2, f"{OPENING} three")]))
+    assert {(r.level, r.record_ids) for r in tables("a05_duplicate_groups", documents=rows)} == {(3, "0,2"), (4, "0,2")}
+    assert {r.doc_id: r.pair for r in tables("j05_cross_source_overlap", documents=rows)} == {0: False, 2: False}
+    assert {(r.side, r.variants, r.rows) for r in tables("a07_variants", documents=rows)} == {("statement", 2, 3)}
+    assert tables("a08_same_proof_statements", documents=rows) == []
+    united = tables("u02_union_then_dedup", documents=rows, benchmark=("item_id long, text string", [(1, body[1]), (2, f"{OPENING} three")]))
     assert {(r.file, r.id) for r in united if r.kept} == {(0, 0), (0, 1), (1, 2)}
-    assert sorted(r.again for r in tables("o22_diverse_selection_whole", documents=rows)) == [False, False, True]
+    assert sorted(r.again for r in tables("o22_diverse_selection", documents=rows)) == [False, False, True]
     many = ("doc_id long, text string, lang string", [(i, f"{OPENING} {i}", "en") for i in range(9)])
-    assert len(tables("o23_balanced_selection_whole", documents=many)) == 9
+    assert len(tables("o23_balanced_selection", documents=many)) == 9
     middle = ("doc_id long, text string", [(1, "x " * 80 + "a b " * 40 + "y " * 80 + "a b " * 40), (2, ""), (3, None)])
-    assert {r.doc_id: r.score for r in tables("h13_token_jaccard_whole", documents=middle)} == {1: 0.5, 2: 1.0, 3: None}
+    assert {r.doc_id: r.score for r in tables("h13_token_jaccard", documents=middle)} == {1: 0.5, 2: 1.0, 3: None}
 
 
 def test_bootstrap_gives_the_paired_interval(tables, spark):
@@ -83,28 +83,29 @@ def test_bootstrap_gives_the_paired_interval(tables, spark):
     assert (got.low, got.high) == pytest.approx((means[int(0.025 * 399)], means[int(0.975 * 399)]))
     assert paired_interval(side([]), side([]), 3, draws).first().low is None
     events = [(i, u, "purchase" if i % 32 >= 28 - u else "view", 1.0, None) for u in range(3) for i in range(32 * u, 32 * u + 32)]
-    rows = tables("a33_paired_bootstrap_whole", events=("event_id long, user_id long, event_type string, value double, ts timestamp", events))
+    rows = tables("a33_paired_bootstrap", events=("event_id long, user_id long, event_type string, value double, ts timestamp", events))
     assert {(r.k, r.problems, r.delta, r.low, r.high) for r in rows} == {(1, 3, 1.0, 1.0, 1.0), (4, 3, 1.0, 1.0, 1.0)}
 
 
 def test_attempts_of_a_hot_problem_are_all_there(tables):
     events = [(i, 1 if i < 100 else i, "purchase" if i == 90 else "view", float(i), None) for i in range(140)]
     rows = ("event_id long, user_id long, event_type string, value double, ts timestamp", events)
-    got = tables("a36_receipt_counters_whole", events=rows)[0]
+    got = tables("a36_receipt_counters", events=rows)[0]
     assert (got.receipts, got.successes, got.least_seconds, got.most_seconds) == (140, 1, 0.0, 139.0)
-    assert {r.attempts for r in tables("a19_problem_summary_whole", events=rows) if r.problem_id == 1} == {100}
-    assert len(tables("t02_once_for_each_key_whole", events=rows)) == 140
-    assert {r.n for r in tables("k06_problem_shards_whole", events=rows) if r.problem == "1"} == {100}
-    many = [(i, i if i < 17 else 0, "view", 1.0, None) for i in range(100)]  # 17 groups; one scale for 16 of them
-    scales = tables("t07_lagged_scale_stream", events=(rows[0], [(i, u, "purchase" if i > 60 else e, v, s) for i, u, e, v, s in many]))
+    own = {r.problem_id: r.attempts for r in tables("a19_problem_summary", events=rows) if r.problem_id % 10**9 == 1}
+    assert own == {1: 32, 10**9 + 1: 32, 2 * 10**9 + 1: 32, 3 * 10**9 + 1: 4}
+    assert len(tables("t02_once_for_each_key", events=rows)) == 140
+    assert sum(r.n for r in tables("k06_problem_shards", events=rows) if int(r.problem) % 10**9 == 1) == 100
+    many = [(i, i if i < 17 else 0, "purchase" if 20 < i <= 40 else "view", 1.0, None) for i in range(100)]  # 17 users and 19 problems; one scale for 16 of them
+    scales = tables("t07_lagged_scale_stream", events=(rows[0], many))
     last = max(scales, key=lambda r: r.group_id)[2]
-    assert last == pytest.approx(0.9 * 0.5 + 0.1 * ((39 * 0.64 + 60 * 0.04) / 99) ** 0.5)
+    assert last == pytest.approx(0.9 * 0.5 + 0.1 * ((20 * 0.64 + 27 * 0.04) / 47) ** 0.5)
 
 
 def test_text_operators_read_the_texts(tables):
     long = "word " * 20_000
     data = [(0, "theorem a : b := by simp"), (1, long + "\nsorry"), (2, long + '"sorry" -- admit'), (4, "theorem a : b := by ring"), (8, ""), (12, None)]
-    run = lambda name: {r[0]: r[1:] for r in tables(f"{name}_whole", documents=("doc_id long, text string", data))}
+    run = lambda name: {r[0]: r[1:] for r in tables(f"{name}", documents=("doc_id long, text string", data))}
     assert {i for i, (bad,) in run("v03_forbidden_tokens").items() if bad} == {1}
     got = run("f01_split_declaration")
     assert got[0] == ("theorem a : b", "by simp") and got[4] == ("theorem a : b", "by ring")
