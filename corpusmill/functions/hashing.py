@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
@@ -87,3 +87,8 @@ def jaccard(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(a), F.array_distinct(b)
     union = F.size(F.array_union(x, y))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+
+
+def payload(df: DataFrame, without: str) -> Column:
+    """H-18: hash of a row as JSON, but for the column that holds its hash."""
+    return json_hash(**{c: F.col(c) for c in df.columns if c != without})

@@ -60,3 +60,29 @@ def overlap(left: DataFrame, right: DataFrame, key: str, id_: str) -> DataFrame:
 def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
     """V-09: keys that aren't unique."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def cross_source_statistics(left: DataFrame, right: DataFrame) -> DataFrame:
+    """A-10: rows of left (pair, statement, proof) whose pair, whose statement, and whose proof under another statement, right has too."""
+    has = lambda *keys: right.select(*keys).distinct()
+    proofs = right.groupBy("proof").agg(F.min("statement").alias("low"), F.max("statement").alias("high"))
+    out = left.join(has("pair").withColumn("e", F.lit(True)), "pair", "left").join(has("statement").withColumn("s", F.lit(True)), "statement", "left").join(proofs, "proof", "left")
+    return out.agg(
+        F.count_if("e").alias("exact_duplicate_records"), F.count_if("s").alias("theorem_overlap_records"),
+        F.count_if((F.col("low") != F.col("statement")) | (F.col("high") != F.col("statement"))).alias("same_proof_different_statement_records"),
+    )
+
+
+def homogeneity(df: DataFrame, proof: str) -> DataFrame:
+    """A-14: how much of a manifest its most frequent proofs cover."""
+    f = df.groupBy(proof).agg(F.count("*").alias("n"))
+    top = lambda k: f.orderBy(F.desc("n"), proof).limit(k).agg(F.sum("n").alias(f"top{k}"))
+    all_ = f.agg(F.sum("n").alias("rows"), F.count("*").alias("unique_proofs"), F.sum(F.col("n") - 1).alias("duplicates"))
+    one = all_.withColumn("key", F.lit(1)).join(top(10).withColumn("key", F.lit(1)), "key").join(top(50).withColumn("key", F.lit(1)), "key")  # a row each
+    share = lambda c: F.round(F.col(c) / F.greatest(F.col("rows"), F.lit(1)), 9)
+    return one.select("rows", "unique_proofs", "duplicates", share("duplicates").alias("duplicate_ratio"), share("top10").alias("top10_coverage"), share("top50").alias("top50_coverage"))
+
+
+def success_counts(generations: DataFrame, verifications: DataFrame, per_id: int) -> DataFrame:
+    """A-35: successes of each statement over its verified generations, and whether there are exactly so many of them."""
+    return verifications.join(generations, "generation_id").groupBy("statement_id").agg(F.count_if("verified").alias("successes"), (F.count("*") == per_id).alias("covered"))

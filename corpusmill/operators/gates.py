@@ -39,6 +39,35 @@ def missing(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(have.select(key), key, "left_anti")
 
 
+# fixed values: fields that give a proof away; each place has its own list
+LEAK_FIELDS = {
+    "benchmark": ("proof", "completion", "text", "reference_proof"),
+    "rollout": ("proof", "completion", "reference_proof"),
+    "trainer": ("proof", "completion", "text", "reference_proof"),
+    "reference_only": (
+        "proof", "verified_proof", "completion", "reference_proof", "reference_proof_hash", "reference_proof_length_tokens",
+        "reference_proof_length_characters", "reference_proof_length_lines", "has_reference_proof",
+    ),
+}
+#: Where a column that is there is enough; elsewhere only a value that is not blank.
+BY_COLUMN = frozenset({"trainer"})
+
+
+def leaked_fields(df: DataFrame, place: str) -> Column:
+    """V-07: fields of a place's list that a row gives away, in the order of the list."""
+    fields = [c for c in LEAK_FIELDS[place] if c in df.columns]
+    if not fields:
+        return F.array().cast("array<string>")
+    if place in BY_COLUMN:
+        return F.array(*map(F.lit, fields))
+    return F.array_compact(F.array(*(F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "", F.lit(c)) for c in fields)))
+
+
+def leakage_violations(overlaps: DataFrame, **allowed: bool) -> DataFrame:
+    """V-21: (pair, count) of overlaps that are not allowed: train_validation, train_benchmark, validation_benchmark."""
+    return overlaps.where((F.col("count") > 0) & ~F.col("pair").isin(*[k for k, v in allowed.items() if v] or [""]))
+
+
 def columns_present(df: DataFrame, forbidden: list[str]) -> list[str]:
     """V-07 at plan time: forbidden columns that the frame has."""
     return [c for c in forbidden if c in df.columns]

@@ -23,16 +23,70 @@ def imports_valid(imports: Column) -> Column:
     return imports.isNull() | ~imports.startswith("[") | (items.isNotNull() & F.forall(items, lambda x: x.isNotNull()))
 
 
-def preamble(lines: Column) -> Column:
-    """F-15: preamble lines as imports (distinct), context commands and unknown ones."""
-    stripped = F.filter(F.transform(lines, text.strip), lambda x: x != "")
-    is_import = lambda x: x.rlike(r"^import\s|^[A-Z][A-Za-z0-9_.]*$")
-    is_context = lambda x: x.rlike(r"^(open|namespace|section|end|universe|variable|set_option|local|attribute|noncomputable)\b")
-    return F.struct(
-        F.array_distinct(F.transform(F.filter(stripped, is_import), lambda x: F.regexp_replace(x, r"^import\s+", ""))).alias("imports"),
-        F.filter(stripped, lambda x: ~is_import(x) & is_context(x)).alias("context"),
-        F.filter(stripped, lambda x: ~is_import(x) & ~is_context(x)).alias("unknown"),
+# fixed values: how a line of context begins, and what a bare module name looks like
+CONTEXT_LINES = (
+    "open ", "open scoped ", "namespace ", "section", "variable ", "variables ", "universe ", "universes ", "noncomputable section", "set_option ",
+    "local notation ", "local instance ", "notation ", "attribute ", "include ", "omit ",
+)
+MODULE = r"^[A-Z][A-Za-z0-9_']*(?:\.[A-Z][A-Za-z0-9_']*)*$"
+
+
+def preamble(lines: Column, header: Column | None = None) -> Column:
+    """F-15: preamble lines as imports (distinct), context and unknown ones; unknown lines are context too, in their place.
+
+    Lines of a header are imports only where they say so; a bare module name among them is unknown.
+    """
+    kind = lambda x, bare: F.when(x.startswith("import "), "import").when(_any_start(x, CONTEXT_LINES), "context").when(bare & x.rlike(MODULE), "import").otherwise("unknown")
+    cut = lambda xs, bare: F.transform(F.filter(F.transform(xs, text.strip), lambda x: x != ""), lambda x: F.struct(kind(x, F.lit(bare)).alias("kind"), x.alias("line")))
+    found = cut(lines, True)
+    if header is not None:
+        found = F.concat(found, cut(text.lines(F.coalesce(header, F.lit(""))), False))
+    of = lambda *kinds: F.transform(F.filter(found, lambda x: x["kind"].isin(*kinds)), lambda x: x["line"])
+    modules = F.filter(F.transform(of("import"), lambda x: text.strip(F.regexp_replace(x, r"^import ", ""))), lambda x: x != "")
+    return F.struct(F.array_distinct(modules).alias("imports"), of("context", "unknown").alias("context"), of("unknown").alias("unknown"))
+
+
+def _any_start(c: Column, starts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for s in starts:
+        out = out | c.startswith(s)
+    return out
+
+
+def open_scopes(context: Column) -> Column:
+    """F-13: how many namespaces and sections are open after these lines; an end without one closes nothing."""
+    step = lambda n, x: F.when(x.startswith("namespace ") | (x == "section") | x.startswith("section "), n + 1).when((x == "end") | x.startswith("end "), F.greatest(n - 1, F.lit(0))).otherwise(n)
+    return F.aggregate(F.transform(context, text.strip), F.lit(0), step)
+
+
+def wrapped_source(declaration: Column, context: Column, namespace: Column, label: Column) -> Column:
+    """F-13: a declaration below its context lines, within a namespace, with an end for each scope left open; null parts are left out."""
+    lines_ = F.filter(F.transform(F.coalesce(context, F.array().cast("array<string>")), text.strip), lambda x: x != "")
+    ends = F.array_repeat(F.lit("end"), open_scopes(lines_))
+    none = F.array().cast("array<string>")
+    parts = F.concat(
+        F.when(namespace.isNotNull(), F.array(F.concat(F.lit("namespace "), namespace), F.lit(""))).otherwise(none),
+        F.when(F.size(lines_) > 0, F.concat(lines_, F.array(F.lit("")))).otherwise(none),
+        F.when(label.isNotNull(), F.array(F.concat(F.lit("-- label: "), label))).otherwise(none),
+        F.array(text.strip(declaration)),
+        F.when(F.size(ends) > 0, F.concat(F.array(F.lit("")), ends)).otherwise(none),
+        F.when(namespace.isNotNull(), F.array(F.lit(""), F.concat(F.lit("end "), namespace))).otherwise(none),
     )
+    return F.concat(text.strip(F.array_join(parts, "\n")), F.lit("\n"))
+
+
+def reconstruction_reason(recovered: Column, found: Column, steps: Column, contiguous: Column, final_state: Column, proof: Column, forbidden: Column, name: Column) -> Column:
+    """P-30: why a reconstructed declaration is quarantined, first match wins; null: it is not."""
+    return first_match({
+        "invalid_syntax": ~recovered,
+        "missing_context": ~found,
+        "empty_proof": steps == 0,
+        "corrupt_tactic_trace": ~contiguous,
+        "unsolved_goals": text.strip(F.coalesce(final_state, F.lit(""))) != "no goals",
+        "empty_proof_text": F.coalesce(proof, F.lit("")) == "",
+        "forbidden_declaration": forbidden,
+        "private_declaration": name.contains("_private."),
+    })
 
 
 def workbook(df: DataFrame) -> DataFrame:
@@ -91,12 +145,6 @@ def hypotheses(state: Column) -> Column:
     return F.transform(before, lambda x: F.struct(F.split(F.substring_index(x, " : ", 1), " ").alias("names"), F.regexp_replace(x, r"^.*? : ", "").alias("type")))
 
 
-def reward(formatted: Column, compiled: Column, tokens: Column, reduction: Column, most: int = 512) -> Column:
-    """F-34: format, then compile, then brevity times the reduction."""
-    brevity = F.greatest(F.lit(0.0), 1.0 - tokens / F.lit(float(most)))
-    return F.when(~formatted, 0.0).when(~compiled, 0.1).otherwise(1.0 + 0.2 * brevity * reduction)
-
-
 def prompt_parts(prompt: Column) -> Column:
     """F-41: the sections that ### headings begin."""
     return F.transform(F.filter(F.split(prompt, r"(?m)^### "), lambda x: text.strip(x) != ""), lambda x: F.struct(text.strip(F.substring_index(x, "\n", 1)).alias("title"), text.strip(F.regexp_replace(x, r"\A[^\n]*\n?", "")).alias("body")))
@@ -126,3 +174,27 @@ def legacy_diagnostics(diagnostics: Column) -> Column:
 
 register_adapter("lean_workbook", workbook)
 register_adapter("minif2f", benchmark_rows)
+
+
+#: Fields of a source context, by the part of it that they belong to; each part is hashed as JSON with sorted keys.
+CONTEXT_PARTS = {
+    "namespace": {"lexical": "namespaces", "sections": "sections"},
+    "scope": {"open_namespaces": "open_namespaces", "scopes": "scopes", "local_notations": "local_notations", "local_attributes": "local_attributes", "options": "option_commands"},
+    "variables": {"variables": "variables", "hypotheses": "hypotheses", "variable_commands": "variable_commands", "local_instances": "local_instances"},
+}
+
+
+def context_hashes(df: DataFrame) -> Column:
+    """H-15: imports_hash, namespace_hash, scope_hash, variable_context_hash and context_hash of a context's columns; a field that is absent is an empty list."""
+    field = lambda c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) if c in df.columns else F.array().cast("array<string>")
+    part = lambda name: F.struct(*(field(c).alias(k) for k, c in sorted(CONTEXT_PARTS[name].items())))
+    one = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    hashed = lambda c: hashing.exact(F.to_json(c, {"ignoreNullFields": "false"}))
+    whole = F.struct(
+        field("active_commands").alias("active_commands"), field("closing_commands").alias("closing_commands"), part("namespace").alias("namespace"),
+        F.coalesce(one("recovery_method"), F.lit("")).alias("recovery_method"), part("scope").alias("scope"), one("source_hash").alias("source_hash"), part("variables").alias("variables"),
+    )
+    return F.struct(
+        hashed(field("imports")).alias("imports_hash"), hashed(part("namespace")).alias("namespace_hash"), hashed(part("scope")).alias("scope_hash"),
+        hashed(part("variables")).alias("variable_context_hash"), hashed(whole).alias("context_hash"),
+    )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.sources.shared import materialise
+
 
 def _at(values: Column, index: Column) -> Column:
     last = F.size(values) - 1
@@ -34,6 +36,7 @@ def ranked_percentiles(df: DataFrame, column: str, qs: Sequence[float]) -> DataF
     One row for each q: half_even, floor, ceil, and for q = 0.5 the median.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    counts = materialise(counts, "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return df.sparkSession.createDataFrame([], "q double, half_even double, floor double, ceil double, median double")
@@ -51,21 +54,21 @@ def ranked_percentiles(df: DataFrame, column: str, qs: Sequence[float]) -> DataF
 
 
 def _values_at(counts: DataFrame, ranks: list[int]) -> list[tuple[int, float]]:
-    """Values at 0-based ranks: bins of the value range are narrowed round by round, with bounded results."""
+    """Values at 0-based ranks: bins of the value range are narrowed round by round, with bounded results; one job a round."""
     low, high = counts.agg(F.min("v"), F.max("v")).first()
-    spans = {r: (float(low), float(high), 0) for r in ranks}  # value range, rows before it
+    spans = {r: (float(low), float(high), 0) for r in ranks}  # value range, rows before it; open ranges are equal or apart
     bins = 256
     while True:
-        open_ = {s for s in spans.values() if s[0] < s[1]}
+        open_ = sorted({s for s in spans.values() if s[0] < s[1]})
         if not open_:
             return [(r, s[0]) for r, s in spans.items()]
-        parts: dict[tuple, list] = {}
-        for s in open_:
-            width = (s[1] - s[0]) / bins
-            inside = counts.where((F.col("v") >= s[0]) & (F.col("v") <= s[1]))
-            slot = F.least(F.floor((F.col("v") - s[0]) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
-            got = inside.groupBy(slot.alias("b")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-            parts[s] = sorted(got, key=lambda r: r["b"])
+        slots = []
+        for i, (lo, hi, _) in enumerate(open_):
+            width = (hi - lo) / bins
+            slot = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+            slots.append(F.when(F.col("v").between(lo, hi), F.struct(F.lit(i).alias("i"), slot.cast("long").alias("b"))))
+        got = counts.withColumn("at", F.coalesce(*slots)).where("at is not null").groupBy("at").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        parts = {s: sorted((r for r in got if r["at"]["i"] == i), key=lambda r: r["at"]["b"]) for i, s in enumerate(open_)}
         for r, s in spans.items():
             if s[0] < s[1]:
                 before = s[2]

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.functions import scoring
+from corpusmill.sources.shared import materialise
+
 
 def islands(df: DataFrame, id_: str, order: str, by: str | None = None) -> DataFrame:
     """W-01: a number for each run of consecutive rows with one id.
@@ -71,25 +74,44 @@ def index_rank_factor(value: str, index: str, group: str, beta: float) -> Column
 
 
 def centred(reward: Column, group: str) -> Column:
-    """W-09, W-10: less the mean of the group."""
+    """W-09: less the mean of the group."""
     return reward - F.avg(reward).over(W.partitionBy(group))
 
 
+def shaped(success: Column, successes: Column, attempts: Column, factor: Column, group: str) -> Column:
+    """W-10: weight x mass x factor for a success, nothing for a failure, less the mean of the group."""
+    value = F.when(success, scoring.difficulty_weight(successes, attempts) * scoring.mass_scale(attempts) * factor).otherwise(0.0)
+    return centred(value, group)
+
+
 def lagged_scale(df: DataFrame, group: str, value: str, per_window: int = 16, decay: float = 0.9, initial: float = 0.5, epsilon: float = 1e-4) -> DataFrame:
     """W-11, T-07 in batch: window w is scaled by an average of the root mean squares of the windows before it.
 
-    The windows' sums are aggregated first; the recursion runs over one value for each window.
+    A window takes the scale s to decay s + (1 - decay) rms, or leaves it if it is short; BLOCK windows together
+    take it to p s + q. So blocks are folded side by side, their (p, q), one row each, in order, and then each
+    block once more from the scale it begins with.
     """
     sums = df.groupBy(F.floor(F.col(group) / per_window).alias("window_id")).agg(
         F.greatest(F.sqrt(F.sum(F.col(value) * F.col(value)) / F.count("*")), F.lit(epsilon)).alias("rms"), F.count_distinct(group).alias("groups")
     )
-    all_ = sums.agg(F.array_sort(F.collect_list(F.struct("window_id", "rms", "groups"))).alias("w"))
-    past = F.transform(
-        F.col("w"),
-        lambda x, i: F.struct(
-            x["window_id"].alias("window_id"),
-            F.aggregate(F.slice(F.col("w"), F.lit(1), i), F.lit(initial), lambda s, y: F.when(y["groups"] < per_window, s).otherwise(decay * s + (1 - decay) * y["rms"])).alias("scale"),
-            x["rms"].alias("rms"),
-        ),
-    )
-    return all_.select(F.explode(past).alias("x")).select("x.*")
+    blocks = sums.groupBy(F.floor(F.col("window_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("window_id", "rms", "groups"))).alias("w"))
+    blocks = materialise(blocks, "windows")
+    step = lambda s, y: F.when(y["groups"] < per_window, s).otherwise(decay * s + (1 - decay) * y["rms"])
+    through = lambda s0, scale: F.aggregate("w", F.lit(s0), lambda s, y: F.when(y["groups"] < per_window, s).otherwise(decay * s + (scale * y["rms"])))
+    scale, starts = initial, []
+    for r in blocks.select("block", through(1.0, 0.0).alias("p"), through(0.0, 1 - decay).alias("q")).orderBy("block").toLocalIterator():
+        starts.append((r["block"], float(scale)))
+        scale = r["p"] * scale + r["q"]
+    begin = df.sparkSession.createDataFrame(starts, "block long, start double")
+    kind = "array<struct<window_id:bigint,scale:double,rms:double>>"
+    first = F.struct(F.col("start").alias("s"), F.array().cast(kind).alias("out"))
+    carried = F.aggregate(
+        "w", first,
+        lambda a, y: F.struct(step(a["s"], y).alias("s"), F.concat(a["out"], F.array(F.struct(y["window_id"].alias("window_id"), a["s"].alias("scale"), y["rms"].alias("rms")))).alias("out")),
+        lambda a: a["out"],
+    )
+    return blocks.join(F.broadcast(begin), "block").select(F.explode(carried).alias("x")).select("x.*")
+
+
+#: Windows that are folded together.
+BLOCK = 512

@@ -120,7 +120,11 @@ def _(t):
     return t.documents.select("doc_id", run.alias("longest"), (run >= 4).alias("repetitive"))
 
 
-@query("a29_character_runs")
+@query("a29_character_runs", """
+WITH c AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), '')) AS c, generate_subscripts(string_split(coalesce(text, ''), ''), 1) AS i FROM documents),
+n AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM c WHERE c <> ''),
+m AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) AS n FROM n GROUP BY doc_id, c, g) x GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(longest, 0) AS INT) AS longest, coalesce(longest, 0) >= 64 AS repetitive FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id""")
 def _(t):
     run = text.char_run(F.coalesce("text", F.lit("")))
     return t.documents.select("doc_id", run.alias("longest"), (run >= 64).alias("repetitive"))
@@ -143,17 +147,6 @@ def _(t):
     return _round(A.paired(one, two), "delta", "p_value")
 
 
-@query("a33_paired_bootstrap", """
-WITH {ATT}, v AS (SELECT row_number() OVER (ORDER BY problem_id) - 1 AS r, count(*) FILTER (success) / 32.0 AS value FROM att GROUP BY problem_id),
-n AS (SELECT count(*) AS n FROM v),
-x AS (SELECT d AS draw, CAST('0x' || left(sha256('7:' || d || ':' || i), 8) AS BIGINT) % n AS r FROM n, range(50) a(d), range((SELECT count(*) FROM v)) b(i))
-SELECT draw, round(avg(value), 9) AS mean FROM x JOIN v USING (r) GROUP BY draw""")
-def _(t):
-    each = t.attempts.groupBy("problem_id").agg((F.count_if("success") / 32.0).alias("value"))
-    rows = each.withColumn("row", F.row_number().over(W.orderBy("problem_id")) - 1).select(F.col("row").cast("long").alias("row"), "value")
-    return _round(A.bootstrap(rows, 7, 50), "mean")
-
-
 @query("a34_of_four", """
 WITH {ATT}, g AS (SELECT problem_id, bool_or(success AND attempt_index = 0) AS p1, bool_or(success AND attempt_index < 2) AS p2, bool_or(success) AS p4, count(*) FILTER (success) AS s
   FROM att WHERE attempt_index < 4 GROUP BY 1)
@@ -241,7 +234,7 @@ def _(t):
 WITH {ATT}, g AS (SELECT problem_id, count(*) FILTER (success) AS s, count(*) AS a, count(*) FILTER (success AND attempt_index < 8) AS s8 FROM att GROUP BY 1)
 SELECT problem_id, CASE s8 WHEN 1 THEN 1.2 WHEN 2 THEN 1.1 WHEN 3 THEN 1.0 WHEN 4 THEN 0.9 ELSE 0.0 END::DOUBLE AS weight8,
   round(CASE WHEN s <= 0 THEN 0.0 ELSE least(1.3, 1.0 + 0.3 * greatest(0.0, 1.0 - (s / a::DOUBLE) / 0.125)) END, 9) AS weight32,
-  round(CASE WHEN s8 = 0 OR s8 >= 5 THEN 0.0 ELSE [1.0, 0.8, 0.4, 0.2][s8] END, 9)::DOUBLE AS difficulty FROM g""")
+  round(CASE WHEN s8 = 0 OR s8 >= 5 THEN 0.0 ELSE [1.3, 1.1, 0.8, 0.6][s8] END, 9)::DOUBLE AS difficulty FROM g""")
 def _(t):
     g = t.attempts.groupBy("problem_id").agg(F.count_if("success").alias("s"), F.count("*").alias("a"), F.count_if(F.expr("success and attempt_index < 8")).alias("s8"))
     out = g.select("problem_id", scoring.problem_weight(F.col("s8"), F.lit(8)).alias("weight8"), scoring.problem_weight(F.col("s"), F.col("a")).alias("weight32"), scoring.difficulty_weight(F.col("s8"), F.lit(8)).alias("difficulty"))
@@ -257,13 +250,6 @@ def _(t):
     return _round(g.select("problem_id", scoring.rollout_priority(F.col("s"), F.col("a")).alias("priority")), "priority", digits=7)
 
 
-@query("f30_diagnostic_status", """
-WITH {ATT} SELECT event_id, CASE event_type WHEN 'error' THEN 'syntax_error' WHEN 'signup' THEN 'elaboration_error' ELSE 'elaboration_error' END AS status,
-  CASE event_type WHEN 'view' THEN 'unknown_identifier' WHEN 'click' THEN 'type_mismatch' WHEN 'error' THEN 'unexpected_token' ELSE 'unclassified_elaboration' END AS detail FROM att""")
-def _(t):
-    return t.attempts.select("event_id", scoring.diagnostics_status(F.col("diagnostics")).alias("x")).select("event_id", "x.status", "x.detail")
-
-
 @query("f39_success_coercion", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN true ELSE value > 0.5 END AS success FROM events")
 def _(t):
     return t.events.select("event_id", scoring.coerce_success(F.when(F.col("event_type") == "purchase", True), F.col("value")).alias("success"))

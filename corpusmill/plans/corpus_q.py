@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing, scanner, text
 from corpusmill.operators import dedup, gates, leakage, traces
+from corpusmill.operators.places import placed
 from corpusmill.plans.registry import query
 
 _WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -39,13 +40,6 @@ def _(t):
     return text.nfc(t.documents, "text").select("doc_id", hashing.normalized(F.col("text")).alias("normalized_hash"))
 
 
-@query("h07_theorem_group", r"""
-SELECT doc_id, 'theorem_' || sha256('theorem <DECL_NAME> : x' || doc_id % 7 || ' = 1') AS theorem_group_id FROM documents""")
-def _(t):
-    s = F.concat(F.lit("theorem  t"), F.col("doc_id"), F.lit("   :  x"), F.col("doc_id") % 7, F.lit(" = 1 :=  "))
-    return t.documents.select("doc_id", hashing.theorem_group(s).alias("theorem_group_id"))
-
-
 @query("h08_source_identity", """
 SELECT doc_id, sha256('{"qualified_name":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"n' || doc_id || '"' END || ',"repository_commit":null,"source_file":"' || source || '","source_span":"{}"}') AS source_identity_hash FROM documents""")
 def _(t):
@@ -72,7 +66,8 @@ def _(t):
     return t.documents.select("doc_id", hashing.attestation(F.col("doc_id"), F.col("lang"), F.lit(None), F.col("source")).alias("attestation_id"))
 
 
-@query("h17_environment_hash")
+@query("h17_environment_hash", """
+SELECT doc_id, sha256(unhex(printf('%016x', octet_length(encode(lang)))) || encode(lang) || unhex(printf('%016x', octet_length(encode(source)))) || encode(source)) AS environment_hash FROM documents""")
 def _(t):
     return t.documents.select("doc_id", hashing.length_prefixed(F.col("lang"), F.col("source")).alias("environment_hash"))
 
@@ -122,14 +117,6 @@ def _(t):
     return dedup.disambiguate(t.documents, "source", "doc_id", "text", "lang").select("doc_id", "unique_id")
 
 
-@query("a03_role_dedup", """
-SELECT doc_id, row_number() OVER (PARTITION BY left(text, 20), right(text, 20) ORDER BY doc_id) = 1 AS kept_pair, row_number() OVER (PARTITION BY left(text, 20) ORDER BY doc_id) = 1 AS kept_statement FROM documents""")
-def _(t):
-    rows = t.documents.select("doc_id", F.left("text", F.lit(20)).alias("s"), F.right("text", F.lit(20)).alias("p"))
-    rows = dedup.first_wins(rows, ["s", "p"], "doc_id").withColumnRenamed("kept", "kept_pair")
-    return dedup.first_wins(rows, ["s"], "doc_id").select("doc_id", "kept_pair", F.col("kept").alias("kept_statement"))
-
-
 @query("a04_quarantine_pointer", """
 SELECT doc_id, CASE WHEN row_number() OVER w > 1 THEN first_value(doc_id) OVER w END AS duplicate_of FROM documents WINDOW w AS (PARTITION BY sha256(text) ORDER BY doc_id)""")
 def _(t):
@@ -139,18 +126,6 @@ def _(t):
 _LEVELS = {0: ["doc_id"], 1: ["source", "n_chars"], 3: ["lang", "head"], 4: ["exact"]}
 
 
-@query("a05_duplicate_groups", """
-WITH d AS (SELECT *, left(text, 12) AS head, sha256(text) AS exact FROM documents),
-g AS (SELECT 0 AS level, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM d GROUP BY doc_id
- UNION ALL SELECT 1, count(*), string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FROM d GROUP BY source, n_chars
- UNION ALL SELECT 3, count(*), string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FROM d GROUP BY lang, head
- UNION ALL SELECT 4, count(*), string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FROM d GROUP BY exact)
-SELECT level, n AS record_count, ids AS record_ids FROM g WHERE n >= 2""")
-def _(t):
-    rows = t.documents.withColumn("head", F.left("text", F.lit(12))).withColumn("exact", hashing.exact(F.col("text")))
-    return dedup.duplicate_groups(rows, _LEVELS, "doc_id")
-
-
 @query("a06_canonical_pick", """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY sha256(text) ORDER BY (lang = 'en')::INT DESC, doc_id % 3 DESC, doc_id DESC) AS INT) AS rank FROM documents""")
 def _(t):
@@ -158,15 +133,6 @@ def _(t):
     return dedup.canonical(t.documents.withColumn("key", hashing.exact(F.col("text"))), ["key"], scores, "doc_id").select("doc_id", "rank")
 
 
-@query("a07_variants", """
-SELECT 'statement' AS side, left(text, 10) AS key, count(DISTINCT right(text, 10)) AS variants, count(*) AS "rows" FROM documents GROUP BY 2 HAVING count(DISTINCT right(text, 10)) >= 2
-UNION ALL SELECT 'proof', right(text, 10), count(DISTINCT left(text, 10)), count(*) FROM documents GROUP BY 2 HAVING count(DISTINCT left(text, 10)) >= 2""")
-def _(t):
-    rows = t.documents.select(F.left("text", F.lit(10)).alias("s"), F.right("text", F.lit(10)).alias("p"))
-    one = dedup.variants(rows, "s", "p").select(F.lit("statement").alias("side"), F.col("s").alias("key"), "variants", "rows")
-    return one.unionByName(dedup.variants(rows, "p", "s").select(F.lit("proof").alias("side"), F.col("p").alias("key"), "variants", "rows"))
-
-
 @query("a09_dedup_statistics", """
 WITH g AS (SELECT sha256(text) AS k, count(*) AS n FROM documents GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS records, count(*) AS canonical, count(*) FILTER (n >= 2) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, max(n) AS largest_group FROM g""")
@@ -274,33 +240,6 @@ def _(t):
     return shared("hash", "text").unionByName(shared("doc_id", "id"))
 
 
-_LEAK = """
-WITH c AS (SELECT doc_id AS id, text, left(text, 30) AS grp, sha256(left(text, 25)) AS k0, sha256(text) AS k1, sha256(lower(left(text, 40))) AS k2 FROM documents),
-p AS (SELECT sha256(left(text, 25)) AS k0, sha256(text) AS k1, sha256(lower(left(text, 40))) AS k2 FROM benchmark
-  UNION ALL SELECT sha256(left(text, 25)), sha256(text), sha256(lower(left(text, 40))) FROM documents WHERE doc_id % 20 = 0),
-h AS (SELECT id, grp, k0 IN (SELECT k0 FROM p) AS h0, k1 IN (SELECT k1 FROM p) AS h1, k2 IN (SELECT k2 FROM p) AS h2 FROM c)
-SELECT id, concat_ws(',', CASE WHEN h0 THEN '0' END, CASE WHEN h1 THEN '1' END, CASE WHEN h2 THEN '2' END) AS levels, bool_or(h0 OR h1 OR h2) OVER (PARTITION BY grp) AS removed FROM h"""
-
-
-@query("j06_leakage_levels", _LEAK)
-def _(t):
-    keys = lambda df: df.select(hashing.exact(F.left("text", F.lit(25))).alias("k0"), hashing.exact(F.col("text")).alias("k1"), hashing.exact(F.lower(F.left("text", F.lit(40)))).alias("k2"))
-    protected = keys(t.benchmark).unionByName(keys(t.documents.where("doc_id % 20 = 0")))
-    c = t.documents.select(F.col("doc_id").alias("id"), F.left("text", F.lit(30)).alias("theorem_group_id"), hashing.exact(F.left("text", F.lit(25))).alias("k0"), hashing.exact(F.col("text")).alias("k1"), hashing.exact(F.lower(F.left("text", F.lit(40)))).alias("k2"))
-    out = leakage.levels(c, protected, {0: "k0", 1: "k1", 2: "k2"})
-    return out.select("id", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), "removed")
-
-
-@query("j08_token_similarity", r"""
-WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(left(lower(text), 200), '[^\s]+')) AS s FROM documents),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM d),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM e a JOIN e b ON a.w = b.w AND b.doc_id % 10 = 0 GROUP BY 1, 2, 3, 4)
-SELECT a, b, round(i / (na + nb - i)::DOUBLE, 9) AS score FROM o WHERE i / (na + nb - i)::DOUBLE >= 0.9""")
-def _(t):
-    rows = t.documents.select(F.col("doc_id").alias("id"), F.array_distinct(F.regexp_extract_all(F.left(F.lower("text"), F.lit(200)), F.lit(r"[^\s]+"), F.lit(0))).alias("tokens"))
-    return leakage.similar_sets(rows, rows.where("id % 10 = 0")).withColumn("score", F.round("score", 9))
-
-
 @query("j15_three_way_split", """
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality = 1 THEN 'verified' ELSE 'failed' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def _(t):
@@ -308,15 +247,6 @@ def _(t):
     return j.select("doc_id", F.when(F.col("quality").isNull(), "missing").when(F.col("quality") == 1, "verified").otherwise("failed").alias("state"))
 
 
-@query("j12_key_and_field_gate", """
-SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'flag' END AS reason
-FROM (SELECT doc_id, (n_chars % 2)::INT AS flag FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN (SELECT doc_id, quality AS flag FROM labels) l ON d.doc_id = l.doc_id
-WHERE d.doc_id IS NULL OR l.doc_id IS NULL OR d.flag IS DISTINCT FROM l.flag""")
-def _(t):
-    left = t.documents.where("doc_id % 5 <> 0").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("flag"))
-    return gates.mismatched(left, t.labels.select("doc_id", F.col("quality").alias("flag")), "doc_id", "flag")
-
-
 @query("j21_reason_trace", """
 SELECT CASE WHEN l.doc_id IS NULL THEN 'unverified' WHEN l.toxic = 1 THEN 'rejected_toxic' WHEN l.quality = 0 THEN 'rejected_quality' WHEN d.n_chars > 4096 THEN 'overlength' ELSE 'accepted' END AS reason, count(*) AS n
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""")
@@ -326,15 +256,6 @@ def _(t):
     return j.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("u02_union_then_dedup", """
-WITH u AS (SELECT 0 AS f, doc_id AS i, left(text, 15) AS k FROM documents UNION ALL SELECT 1, item_id, left(text, 15) FROM benchmark)
-SELECT f AS file, i AS id, row_number() OVER (PARTITION BY k ORDER BY f * 10000000 + i) = 1 AS kept FROM u""")
-def _(t):
-    side = lambda df, f, i: df.select(F.lit(f).alias("file"), F.col(i).alias("id"), F.left("text", F.lit(15)).alias("k"))
-    u = side(t.documents, 0, "doc_id").unionByName(side(t.benchmark, 1, "item_id")).withColumn("idx", F.col("file") * 10000000 + F.col("id"))
-    return dedup.first_wins(u, ["k"], "idx").select("file", "id", "kept")
-
-
 @query("u03_id_sets", """
 WITH a AS (SELECT doc_id FROM labels WHERE quality = 1), b AS (SELECT doc_id FROM labels WHERE toxic = 1)
 SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) x UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) x
@@ -368,18 +289,6 @@ def _(t):
     return t.documents.select("doc_id", F.when(word, "forbidden").when(~F.col("text").rlike("^[A-Z]"), "prefix").when(F.col("n_chars") > 6000, "assembly").alias("reason"))
 
 
-@query("v01_declaration_prefix", r"SELECT doc_id, doc_id % 2 = 0 AS declared FROM documents")
-def _(t):
-    s = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" @[simp] private theorem t"), F.col("doc_id"))).otherwise(F.concat(F.lit("theorems "), F.col("doc_id")))
-    return t.documents.select("doc_id", text.declaration_prefix(s).alias("declared"))
-
-
-@query("v03_forbidden_tokens", "SELECT doc_id, doc_id % 4 = 0 AS forbidden FROM documents")
-def _(t):
-    s = F.when(F.col("doc_id") % 4 == 0, "by\n  sorry").when(F.col("doc_id") % 4 == 1, "by simp -- sorry").when(F.col("doc_id") % 4 == 2, 'exact "admit" /- /- sorry -/ admit -/').otherwise("rfl")
-    return scanner.flag_forbidden(t.documents.select("doc_id", s.alias("proof")), "proof").select("doc_id", "forbidden")
-
-
 @query("v06_row_validity", """
 SELECT doc_id, concat_ws(',', CASE WHEN NOT n_chars > 200 THEN 'length' END, CASE WHEN NOT lang IN ('en', 'de') THEN 'lang' END, CASE WHEN NOT source <> 'src3' THEN 'source' END) AS violations FROM documents
 WHERE NOT (n_chars > 200 AND lang IN ('en', 'de') AND source <> 'src3')""")
@@ -413,19 +322,6 @@ def _(t):
     return t.documents.where(F.col("text").contains("the ")).select("doc_id", at.alias("at"), F.substr("text", F.greatest(F.lit(1), at - 10), F.lit(24)).alias("context"))
 
 
-@query("f01_split_declaration", "SELECT doc_id, 'theorem t' || doc_id || CASE doc_id % 3 WHEN 0 THEN ' : a = b' WHEN 1 THEN ' (x : Nat := 1) : x = 1' ELSE ' : s = \":=\" /- := -/' END AS statement, 'by simp' AS proof FROM documents")
-def _(t):
-    body = F.when(F.col("doc_id") % 3 == 0, " : a = b").when(F.col("doc_id") % 3 == 1, " (x : Nat := 1) : x = 1").otherwise(' : s = ":=" /- := -/')
-    rows = t.documents.select("doc_id", F.concat(F.lit("theorem t"), F.col("doc_id"), body, F.lit(" := by simp")).alias("code"))
-    return scanner.split_declaration(rows, "code").select("doc_id", "parts.statement", "parts.proof")
-
-
-@query("f08_proof_format", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'full_proof' WHEN 1 THEN 'term_proof' WHEN 2 THEN 'tactic_body' ELSE 'full_declaration' END AS format FROM documents")
-def _(t):
-    p = F.when(F.col("doc_id") % 4 == 0, ":= by simp").when(F.col("doc_id") % 4 == 1, "fun x => x").when(F.col("doc_id") % 4 == 2, "simp\nring").otherwise("theorem a : b := c")
-    return t.documents.select("doc_id", text.proof_format(p).alias("format"))
-
-
 @query("f09_imports_and_body", r"""SELECT doc_id, 'Mathlib,A' || doc_id % 3 AS imports, 'open Nat' || chr(10) || 'theorem x' AS body FROM documents""")
 def _(t):
     src = F.concat(F.lit("import Mathlib\nimport A"), F.col("doc_id") % 3, F.lit("\nimport Mathlib\nopen Nat\ntheorem x"))
@@ -440,29 +336,17 @@ def _(t):
     return t.documents.select("doc_id", text.file_name(F.col("text")).alias("file_name"))
 
 
-@query("f25_extracted_proofs", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'by simp' WHEN 1 THEN '' ELSE 'by ring' END AS proof FROM documents")
-def _(t):
-    c = F.when(F.col("doc_id") % 3 == 0, "text\n```lean4\n:= by simp\n```\nmore").when(F.col("doc_id") % 3 == 1, "Here is the proof: by simp").otherwise("by ring\n\n### Next")
-    return t.documents.select("doc_id", text.extract_proof(c).alias("proof"))
-
-
 @query("f26_output_classes")
 def _(t):
     return t.documents.select("doc_id", text.output_class(F.coalesce("text", F.lit(""))).alias("output_class"))
 
 
-@query("f32_tactic_signatures", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'simp,ring' WHEN 1 THEN 'foo' ELSE 'norm_num' END AS signature FROM documents")
-def _(t):
-    p = F.when(F.col("doc_id") % 3 == 0, "by simp [h]; ring").when(F.col("doc_id") % 3 == 1, "foo bar").otherwise(":= by\n  norm_num")
-    return t.documents.select("doc_id", F.array_join(text.tactic_signature(p), ",").alias("signature"))
-
-
 @query("w01_run_islands", """
 WITH x AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx, role FROM conversations),
 n AS (SELECT idx, role, CASE WHEN role IS DISTINCT FROM lag(role) OVER (ORDER BY idx) OR idx = 0 THEN 1 ELSE 0 END AS n FROM x)
 SELECT idx, CAST(sum(n) OVER (ORDER BY idx) AS BIGINT) AS island FROM n""")
 def _(t):
-    rows = t.conversations.withColumn("idx", (F.row_number().over(_all("conv_id", "turn")) - 1).cast("long"))
+    rows = placed(t.conversations, "conv_id", "turn").withColumn("idx", F.col("place") - 1)
     return traces.islands(rows, "role", "idx").select("idx", "island")
 
 

@@ -107,13 +107,6 @@ def _(t):
     return t.documents.select("doc_id", R.split_last_declaration(s).alias("x")).select("doc_id", "x.context", "x.target")
 
 
-@query("f15_preambles", "SELECT doc_id, 'Mathlib' AS imports, 'open Nat' AS context, 'mystery command' AS unknown FROM documents")
-def _(t):
-    p = R.preamble(F.array(F.lit("Mathlib"), F.lit("open Nat"), F.lit("import Mathlib"), F.lit("mystery command"), F.lit(" ")))
-    rows = t.documents.select("doc_id", p.alias("p"))
-    return rows.select("doc_id", *(F.array_join(F.col(f"p.{c}"), ",").alias(c) for c in ("imports", "context", "unknown")))
-
-
 @query("f18_proof_lengths", "SELECT doc_id, length(text) AS chars, CAST(len(regexp_extract_all(text, '[0-9]+')) AS INT) AS numbers FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.length("text").cast("long").alias("chars"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("numbers"))
@@ -126,12 +119,6 @@ def _(t):
     return rows.select("conv_id", "turn", F.array_join(F.transform("h", lambda x: F.concat_ws(":", F.array_join(x["names"], " "), x["type"])), ";").alias("locals"))
 
 
-@query("f34_scored_rewards", "SELECT event_id, round(CASE WHEN event_type = 'view' THEN 0.0 WHEN event_type <> 'purchase' THEN 0.1 ELSE 1.0 + 0.2 * greatest(0.0, 1.0 - value / 512.0) * 0.5 END, 9)::DOUBLE AS reward FROM events")
-def _(t):
-    r = R.reward(F.col("event_type") != "view", F.col("event_type") == "purchase", F.col("value"), F.lit(0.5))
-    return t.events.select("event_id", F.round(r, 9).alias("reward"))
-
-
 @query("f41_prompt_sections", "SELECT doc_id, 'Informal=' || lang || '|Lean statement=' || source AS sections FROM documents")
 def _(t):
     p = F.concat(F.lit("### Informal\n"), F.col("lang"), F.lit("\n\n### Lean statement\n"), F.col("source"), F.lit("\n"))
@@ -159,19 +146,6 @@ def _(t):
     return t.documents.select("doc_id", hashing.normalized(F.concat(F.lit("  a \t b  \r\nc"), F.repeat(F.lit(" "), (F.col("doc_id") % 3).cast("int")))).alias("hash"))
 
 
-@query("h11_structural_fingerprints", "SELECT doc_id, sha256('< DECL > < DECL_NAME > : x' || doc_id % 9 || ' = 1') AS fingerprint FROM documents")
-def _(t):
-    return t.documents.select("doc_id", hashing.structural(F.concat(F.lit("lemma n"), F.col("doc_id"), F.lit(" :  x"), F.col("doc_id") % 9, F.lit(" = 1 :="))).alias("fingerprint"))
-
-
-@query("h13_token_jaccard", """
-WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(left(text, 80), '[^ ]+')) AS a, list_distinct(regexp_extract_all(right(text, 80), '[^ ]+')) AS b FROM documents)
-SELECT doc_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 9) AS score FROM d""")
-def _(t):
-    cut = lambda c: F.regexp_extract_all(c, F.lit("[^ ]+"), F.lit(0))
-    return t.documents.select("doc_id", F.round(hashing.jaccard(cut(F.left("text", F.lit(80))), cut(F.right("text", F.lit(80)))), 9).alias("score"))
-
-
 @query("h16_cache_keys", """SELECT doc_id, sha256('{"environment":"e1","proof":null,"statement":"' || source || '","timeout":30}') AS cache_key FROM documents""")
 def _(t):
     return t.documents.select("doc_id", hashing.json_hash(statement=F.col("source"), proof=F.lit(None).cast("string"), environment=F.lit("e1"), timeout=F.lit(30)).alias("cache_key"))
@@ -211,17 +185,6 @@ def _(t):
     return t.documents.select("doc_id", (text.strip(F.substring_index(p, ":= by", -1)) == "sorry").alias("proof_free"))
 
 
-@query("j05_cross_source_overlap", """
-WITH a AS (SELECT doc_id, left(text, 12) AS s, right(text, 12) AS p FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id, left(text, 12) AS s, right(text, 12) AS p FROM documents WHERE doc_id % 2 = 1)
-SELECT doc_id, (s, p) IN (SELECT (s, p) FROM b) AS pair, s IN (SELECT s FROM b) AS statement, p IN (SELECT p FROM b) AS proof FROM a""")
-def _(t):
-    d = t.documents.select("doc_id", F.left("text", F.lit(12)).alias("s"), F.right("text", F.lit(12)).alias("p"))
-    out = d.where("doc_id % 2 = 0")
-    for name, keys in (("pair", ["s", "p"]), ("statement", ["s"]), ("proof", ["p"])):
-        out = out.join(d.where("doc_id % 2 = 1").select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
-    return out.select("doc_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("pair", "statement", "proof")))
-
-
 @query("j13_verification_reuse", "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL AND l.quality = 1 THEN 'reused' ELSE 'to_verify' END AS work FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def _(t):
     known = t.labels.where("quality = 1").select("doc_id", F.lit("reused").alias("w"))

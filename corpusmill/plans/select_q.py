@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import hashing, scanner, text
 from corpusmill.operators import gates, leakage, stats, traces
 from corpusmill.operators import selection as S
+from corpusmill.operators.places import placed
 from corpusmill.plans.registry import query
 
 
@@ -159,21 +160,7 @@ def _(t):
 @query("o21_greedy_token_mixture")
 def _(t):
     rows = t.documents.select((F.col("doc_id") % 2).cast("int").alias("source_rank"), F.col("doc_id").alias("id"), F.concat("lang", (F.col("n_chars") % 50).cast("string")).alias("theorem_group_id"), F.col("n_chars").alias("tokens"))
-    return S.greedy_budget(rows, 20_000)
-
-
-@query("o22_diverse_selection", f"""
-WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY left(text, 8) ORDER BY {_key(15, 'doc_id')}, doc_id) > 1 AS again FROM documents) SELECT doc_id, again FROM r ORDER BY again, {_key(15, 'doc_id')}, doc_id LIMIT 300""")
-def _(t):
-    return S.diverse(t.documents.select("doc_id", F.left("text", F.lit(8)).alias("body")), "body", 15, "doc_id", 300).select("doc_id", "again")
-
-
-@query("o23_balanced_selection", f"""
-WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY left(text, 6) ORDER BY {_key(16, 'doc_id')}, doc_id) AS nth FROM documents),
-t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_key(16, 'doc_id')}, doc_id) AS turn FROM n WHERE nth <= 5)
-SELECT doc_id, lang FROM t ORDER BY turn, lang, doc_id LIMIT 200""")
-def _(t):
-    return S.balanced(t.documents.select("doc_id", "lang", F.left("text", F.lit(6)).alias("body")), "body", "lang", 5, 200, 16, "doc_id").select("doc_id", "lang")
+    return S.greedy_budget(rows, {0: 12_000, 1: 8_000})
 
 
 @query("o24_sequential_roles", f"""
@@ -229,7 +216,7 @@ def _(t):
 WITH a AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, role FROM conversations), b AS (SELECT row_number() OVER (ORDER BY conv_id, turn DESC) - 1 AS i, role FROM conversations)
 SELECT a.i AS row_index, 'role' AS reason FROM a JOIN b USING (i) WHERE a.role IS DISTINCT FROM b.role""")
 def _(t):
-    rows = lambda o: t.conversations.select((F.row_number().over(W.orderBy("conv_id", o)) - 1).cast("long").alias("row_index"), "role")
+    rows = lambda o: placed(t.conversations, "conv_id", o).select((F.col("place") - 1).alias("row_index"), "role")
     return gates.mismatched(rows("turn"), rows(F.desc("turn")), "row_index", "role")
 
 
@@ -283,29 +270,6 @@ def _(t):
     return g.select("conv_id", F.array_join(F.transform(F.slice("lines", 1, 3), lambda x: F.left(x, F.lit(3))), "\n").alias("prefix"))
 
 
-@query("f13_balanced_closings", "SELECT conv_id, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS INT) AS opened, repeat('end' || chr(10), CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS INT)) AS closings FROM conversations GROUP BY 1")
-def _(t):
-    g = t.conversations.groupBy("conv_id").agg(F.collect_list("role").alias("r"))
-    depth = F.aggregate("r", F.lit(0), lambda s, x: F.when(x == "user", s + 1).otherwise(s))
-    return g.select("conv_id", depth.alias("opened"), F.repeat(F.lit("end\n"), depth).alias("closings"))
-
-
-@query("f29_failure_taxonomy", """
-WITH {ATT} SELECT event_id, CASE WHEN timed_out THEN 'timeout' WHEN event_type = 'view' THEN 'missing_local_variable' WHEN event_type = 'error' THEN 'reference_syntax_error' WHEN event_type = 'signup' THEN 'reference_tactic_failure' ELSE 'unknown' END AS taxonomy FROM att""")
-def _(t):
-    d = F.col("diagnostics")
-    low, name = F.lower(d), F.regexp_extract("diagnostics", r"(?i)unknown (?:identifier|constant) [`']([^`']+)[`']", 1)
-    kind = (
-        F.when(F.col("timed_out") | low.contains("timeout") | low.contains("timed out"), "timeout")
-        .when(low.contains("pantograph") & low.rlike("server|connection|environment"), "environment_error")
-        .when((name != "") & (name.startswith("h") | (name == "this")), "missing_hypothesis").when(name.rlike("^[a-z]"), "missing_local_variable").when(name != "", "missing_import")
-        .when(low.contains("unexpected token") | (low.contains("expected") & low.contains("syntax")), "reference_syntax_error").when(low.contains("invalid `") & low.contains("notation"), "source_extraction_corruption")
-        .when(low.contains("unsolved goals"), "reference_unsolved_goals").when(low.rlike("linarith failed|made no progress|tactic|no goals to be solved"), "reference_tactic_failure")
-        .when(low.contains("unknown namespace"), "missing_namespace").when(low.rlike("unknown parser|unknown syntax"), "missing_local_notation").otherwise("unknown")
-    )
-    return t.attempts.select("event_id", kind.alias("taxonomy"))
-
-
 @query("f31_message_severity", "WITH {ATT} SELECT event_id, CAST(CASE WHEN diagnostics <> '' THEN 1 ELSE 0 END AS INT) AS errors, 1 AS warnings FROM att")
 def _(t):
     m = F.array(F.col("diagnostics"), F.lit("warning: unused variable"))

@@ -105,10 +105,16 @@ def generations(spark: SparkSession, folder: str, schema: str, pattern: str = "p
 
 
 def line_addressed(spark: SparkSession, bindings: DataFrame, path: str) -> DataFrame:
-    """I-13: bindings (path, line) with the text of that line (from 1)."""
-    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("path"))
-    lines = texts.select("path", F.posexplode(F.split("value", "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1).drop("n")
-    return bindings.join(lines, ["path", "line"], "left")
+    """I-13: bindings (path, line) with the text of that line (from 1).
+
+    Files are read in byte ranges; a line's number is its place in its range after the lines of the ranges before it.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    read = read.withColumn("nth", F.monotonically_increasing_id())
+    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    starts = read.groupBy("path", "start").agg(F.count("*").alias("n")).select("path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    lines = read.withColumn("nth", F.row_number().over(W.partitionBy("path", "start").orderBy("nth"))).join(starts, ["path", "start"])
+    return bindings.join(lines.select("path", (F.col("nth") + F.col("first")).cast("int").alias("line"), "text"), ["path", "line"], "left")
 
 
 def benchmark(spark: SparkSession, path: str, schema: str, limit: int | None = None, forbidden=("proof", "completion", "target")) -> DataFrame:
