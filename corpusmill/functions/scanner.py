@@ -201,6 +201,13 @@ def scope_at(source: str, line: int) -> dict[str, list[str]]:
     return {"namespaces": [n for k, n, _, _ in stack if k == "namespace"], "opens": opens, "variables": variables}
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("namespaces", "opens", "variables")]))
+def scopes(source: pd.Series, line: pd.Series) -> pd.DataFrame:
+    """F-20 over columns; a null source or line has an empty scope."""
+    got = [scope_at(s or "", 0 if pd.isna(n) else int(n)) for s, n in zip(source, line, strict=True)]
+    return pd.DataFrame(got, columns=["namespaces", "opens", "variables"])
+
+
 def blank_lines(source: str) -> list[str]:
     """Lines with comments and strings blanked, so that line numbers stay."""
     out, depth = [], 0
@@ -234,3 +241,9 @@ def closure(names: dict[str, list[str]], wanted: list[str]) -> list[str]:
             need.add(n)
             todo += names[n]
     return [n for n in names if n in need]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def dependencies(names: pd.Series, needs: pd.Series, wanted: pd.Series) -> pd.Series:
+    """F-21 over columns: names, what each of them needs, and the wanted ones."""
+    return pd.Series([closure({n: list(d) for n, d in zip(ns, ds, strict=True)}, list(w)) for ns, ds, w in zip(names, needs, wanted, strict=True)])

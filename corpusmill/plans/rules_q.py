@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions import hashing, scoring
+from corpusmill.functions import hashing, scanner, scoring
 from corpusmill.operators import dedup, gates, records, traces
 from corpusmill.operators import selection as S
 from corpusmill.plans.registry import query
@@ -339,3 +339,39 @@ def _(t):
     known = t.spark.createDataFrame([(i, *x) for i, x in enumerate(_CONTEXTS)], f"i long, {_CONTEXT}")
     taken = t.documents.select("doc_id").join(F.broadcast(known), F.col("doc_id") % len(_CONTEXTS) == F.col("i"))
     return taken.select("doc_id", records.context_hashes(taken).alias("x")).select("doc_id", *(f"x.{h}" for h in _HASHES))
+
+
+_SOURCE = "namespace A\nopen Nat\nsection S\nvariable (x : Nat)\n/- namespace B -/\nend S\nnamespace C\nopen Real Set -- open Foo\ntheorem t"
+by_rows(
+    "f20_scopes", "source string, line int", ["namespaces", "opens", "variables"],
+    [
+        ((_SOURCE, 1), ("", "", "")),
+        ((_SOURCE, 2), ("A", "", "")),
+        ((_SOURCE, 3), ("A", "Nat", "")),
+        ((_SOURCE, 5), ("A", "Nat", "(x : Nat)")),
+        ((_SOURCE, 6), ("A", "Nat", "(x : Nat)")),
+        ((_SOURCE, 7), ("A", "Nat", "")),
+        ((_SOURCE, 9), ("A|C", "Nat|Real|Set", "")),
+        ((_SOURCE, 99), ("A|C", "Nat|Real|Set", "")),
+        (("end\nend\nopen X\nt", 4), ("", "X", "")),
+        (("variables {a} [b]\n\"namespace Q\nt", 3), ("", "", "{a} [b]")),
+        (("", 1), ("", "", "")),
+        ((None, None), ("", "", "")),
+    ],
+    lambda: _joined(scanner.scopes(F.col("source"), F.col("line")), "namespaces", "opens", "variables"),
+)
+
+_NAMES = ["a", "b", "c", "d", "e"]
+by_rows(
+    "f21_dependencies", "names array<string>, needs array<array<string>>, wanted array<string>", ["needed"],
+    [
+        ((_NAMES, [[], ["a"], ["b"], [], ["e"]], ["c"]), ("a|b|c",)),
+        ((_NAMES, [[], ["a"], ["b"], [], ["e"]], ["e", "d"]), ("d|e",)),
+        ((_NAMES, [["e"], ["a"], ["b"], ["c"], ["d"]], ["a"]), ("a|b|c|d|e",)),
+        ((_NAMES, [[], [], [], [], []], []), ("",)),
+        ((_NAMES, [[], ["z"], [], [], []], ["b", "z"]), ("b",)),
+        ((["x"], [["x"]], ["x", "x"]), ("x",)),
+        (([], [], ["a"]), ("",)),
+    ],
+    lambda: [F.array_join(scanner.dependencies(F.col("names"), F.col("needs"), F.col("wanted")), "|")],
+)
