@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import components, materialise, shuffle_partitions, spread, text_bytes
-from corpusmill.llm.substring import Words, _mix, rolling
+from corpusmill.llm.substring import _mix, rolling, squeeze, word_hashes, word_starts
 
 SHINGLE, PERCENT = 5, 80
 BITS = 1024
@@ -94,20 +94,21 @@ class Bands:
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the shingles of each text."""
-    words = [t.lower().split() for t in texts]
-    table = Words()
-    flat = [w for d in words for w in d]
-    h = table.hashed(table.ids(flat)) if flat else np.zeros(0, np.uint64)
-    rolled = rolling(h, n) if len(h) >= n else h[:0]
-    out, at = [], 0
-    for d in words:
-        if len(d) >= n:
-            out.append(np.unique(rolled[at : at + len(d) - n + 1]))
-        elif d:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(d), seed=n)], np.uint64))
-        else:
-            out.append(np.zeros(0, np.uint64))
-        at += len(d)
+    out: list[np.ndarray] = []
+    for part in _groups_of(texts, 1 << 20):
+        words = [squeeze(t.lower()) for t in part]
+        counts = [int((w == 32).sum()) if len(w) > 1 else 0 for w in words]
+        buf = np.concatenate([w for w, c in zip(words, counts, strict=True) if c] or [np.zeros(0, np.uint8)])
+        h = word_hashes(buf, word_starts(buf))
+        rolled, at = rolling(h, n) if len(h) >= n else h[:0], 0
+        for c in counts:
+            if c >= n:
+                out.append(np.unique(rolled[at : at + c - n + 1]))
+            elif c:
+                out.append(np.array([xxhash.xxh3_64_intdigest(h[at : at + c].tobytes(), seed=n)], np.uint64))
+            else:
+                out.append(h[:0])
+            at += c
     return out
 
 

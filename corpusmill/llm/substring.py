@@ -3,10 +3,11 @@
 A window is k consecutive words. Its minimiser is the smallest hash among its m-word pieces, so
 neighbouring windows mostly share one, and so do equal windows anywhere. Consecutive windows that
 share a minimiser travel as one packed string of words to the bucket of that minimiser; there the
-windows are sorted by hash, compared word for word, and all but the earliest of equal ones are
+windows are sorted by hash, compared byte for byte, and all but the earliest of equal ones are
 marked. Before that every task settles repeats among the documents that it has just read, so a
 passage that a third of all rows hold reaches its bucket once for each chunk of input, not once for
-each row.
+each row. A first pass over all texts counts the bytes that each bucket would get; buckets over a
+bound are split by a second minimiser, of longer pieces.
 
 Order: smaller doc_id first (null before all), then the hash of the text where rows with one doc_id
 differ, then the start. Rows equal in doc_id and text are one document and do not remove each other's words.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +30,65 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import shuffle_partitions, spread, text_bytes
+from corpusmill.llm.common import free, shuffle_partitions, spread, text_bytes
 
 WINDOW = 20
-PIECE = 3
-#: Text bytes that a task works on at once, and that a bucket gets on average.
-CHUNK, BUCKET = 8 << 20, 4 << 20
+PIECE, LONG_PIECE = 3, 10
+#: Text bytes that a task works on at once, that a bucket gets on average, and times that at which it is split.
+CHUNK, BUCKET, HEAVY = 8 << 20, 4 << 20, 4
+#: Bytes hashed at once, and those of a word over which it is hashed by itself.
+BLOCK, LONG_WORD = 1 << 18, 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-_S29, _S32 = np.uint64(29), np.uint64(32)
-
-
-class Words(dict):
-    """Number of each distinct word, and its 64-bit hash by number."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return n
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-    def hashed(self, ids: np.ndarray) -> np.ndarray:
-        return np.array(self.hashes, np.uint64)[ids]
+_S29, _S32, _S33 = np.uint64(29), np.uint64(32), np.uint64(33)
+_BASE = 0x5851F42D4C957F2D
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte, the powers of an odd base, and those of its inverse."""
+    byte = _mix(np.arange(1, 257, dtype=np.uint64), np.arange(1, 257, dtype=np.uint64))
+    byte[_SPACE] = 0
+    n = 2 * BLOCK
+    power, inverse = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    power[0] = inverse[0] = 1
+    return byte, np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+
+
+def squeeze(text: bytes) -> np.ndarray:
+    """The words, each followed by one space."""
+    buf = np.frombuffer(text + b" ", np.uint8)
+    space = _SPACE[buf]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    out = buf[keep]
+    out[space[keep]] = 32
+    return out
+
+
+def word_starts(buf: np.ndarray) -> np.ndarray:
+    """Where the words of squeezed bytes begin, and their length as the last entry."""
+    return np.concatenate([[0], np.flatnonzero(buf == 32) + 1])
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word of squeezed bytes: a polynomial of its bytes, mixed."""
+    byte, power, inverse = _tables()
+    out = np.empty(len(starts) - 1, np.uint64)
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)) - 1)
+        a, b = starts[at], starts[to]
+        if b - a <= 2 * BLOCK:  # else it is one very long word
+            value = byte[buf[a:b]]
+            value *= power[: b - a]
+            out[at:to] = np.add.reduceat(value, starts[at:to] - a) * inverse[starts[at:to] - a]
+        at = to
+    sizes = np.diff(starts)
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : starts[i + 1] - 1].tobytes())
+    return _mix(out, sizes.astype(np.uint64))
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,8 +123,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def repeats(ids: np.ndarray, h: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
-    """Which of the windows that start at `at` (in order of precedence) equal one of another owner or place before them."""
+def repeats(text: bytes, starts: np.ndarray, h: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Which of the windows that start at word `at` (in order of precedence) equal one of another owner or place before them."""
     if not len(at):
         return np.zeros(0, bool)
     key = h[at]
@@ -100,25 +134,31 @@ def repeats(ids: np.ndarray, h: np.ndarray, at: np.ndarray, owner: np.ndarray, p
     new[1:] = key[order[1:]] != key[order[:-1]]
     first = np.empty(len(at), np.int64)
     first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    dup = first != np.arange(len(at))
-    i, f = np.flatnonzero(dup), first[dup]
+    del order, new
+    i = np.flatnonzero(first != np.arange(len(at)))
+    dup = np.zeros(len(at), bool)
+    if not len(i):
+        return dup
+    f = first[i]
+    x, y = at[i], at[f]
+    span = lambda u, v: text[starts[u] : starts[v + k]]
     same = np.ones(len(i), bool)
-    for j in range(k):
-        same &= ids[at[i] + j] == ids[at[f] + j]
+    for a, b in zip(*_runs((np.diff(x) != 1) | (np.diff(y) != 1)), strict=True):
+        if span(x[a], x[b]) != span(y[a], y[b]):
+            same[a : b + 1] = [span(x[j], x[j]) == span(y[j], y[j]) for j in range(a, b + 1)]
     dup[i] = same & ((owner[i] != owner[f]) | (place[i] != place[f]))
-    if not same.all():  # different windows under one hash: settle those groups by their words
-        for g in np.unique(key[i[~same]]):
-            seen: dict[bytes, int] = {}
-            for w in np.flatnonzero(key == g):
-                f0 = seen.setdefault(ids[at[w] : at[w] + k].tobytes(), int(w))
-                dup[w] = owner[w] != owner[f0] or place[w] != place[f0]
+    for g in np.unique(key[i[~same]]):  # different windows under one hash: settle them by their words
+        seen: dict[bytes, int] = {}
+        for w in np.flatnonzero(key == g):
+            f0 = seen.setdefault(span(at[w], at[w]), int(w))
+            dup[w] = owner[w] != owner[f0] or place[w] != place[f0]
     return dup
 
 
-def _runs(*changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last positions of runs; changes: True where a run begins, for all but position 0."""
-    begin = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce(changes)]))
-    return begin, np.append(begin[1:], len(changes[0]) + 1) - 1
+def _runs(change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions of runs; change: True where a run begins, for all but position 0."""
+    begin = np.flatnonzero(np.concatenate([[True], change]))
+    return begin, np.append(begin[1:], len(change) + 1) - 1
 
 
 SCHEMA = "bucket int, kind int, blob binary"
@@ -129,7 +169,7 @@ LOWEST = -(1 << 63)
 
 def _pack(doc: np.ndarray, th: np.ndarray, lo: np.ndarray, n: np.ndarray, text: bytes) -> bytes:
     head = np.array([len(doc)], np.int64)
-    return zstandard.ZstdCompressor(level=7).compress(b"".join([head.tobytes(), doc.tobytes(), th.tobytes(), lo.tobytes(), n.tobytes(), text]))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join([head.tobytes(), doc.tobytes(), th.tobytes(), lo.tobytes(), n.tobytes(), text]))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -139,78 +179,122 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return (*cols, data[8 + 32 * n :])
 
 
-def _chunk(docs: list[tuple[int, int, bytes]], buckets: int, k: int, m: int) -> Iterator[tuple[int, int, bytes]]:
+class Chunk:
+    """Documents that a task has read together: their words, the windows, and the minimisers of those."""
+
+    def __init__(self, docs: list[tuple[int, int, bytes]], k: int, m: int):
+        docs.sort(key=lambda d: d[:2])
+        parts = [squeeze(text) for _, _, text in docs]
+        counts = np.array([int((p == 32).sum()) if len(p) > 1 else 0 for p in parts], np.int64)
+        buf = np.concatenate([p for p, n in zip(parts, counts, strict=True) if n] or [np.zeros(0, np.uint8)])
+        del parts
+        self.text = buf.tobytes()
+        self.starts = word_starts(buf)
+        self.h = word_hashes(buf, self.starts)
+        end = np.cumsum(counts)
+        self.begin = end - counts
+        self.number = np.repeat(np.arange(len(docs)), counts)
+        self.at = np.flatnonzero(np.arange(len(self.h)) + k <= end[self.number]) if len(self.h) else np.zeros(0, np.int64)
+        self.low = sliding_min(rolling(self.h, m), k - m + 1) if len(self.at) else None
+        self.doc = np.array([d[0] for d in docs], np.int64)
+        self.hash = np.array([d[1] for d in docs], np.int64)
+
+    def bucket(self, at: np.ndarray, buckets: int) -> np.ndarray:
+        return ((self.low[at] * _C >> _S33) % np.uint64(buckets)).astype(np.int64)
+
+
+def _bucket_of(c: Chunk, at: np.ndarray, buckets: int, split: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, value by which windows stay together) of the windows that start at `at`; split: heavy buckets, their parts, their first part's number."""
+    goes, value = c.bucket(at, buckets), c.low[at]
+    heavy, parts, base = split
+    if len(heavy):
+        i = np.minimum(np.searchsorted(heavy, goes), len(heavy) - 1)
+        hot = heavy[i] == goes
+        if hot.any():
+            second = sliding_min(rolling(_mix(c.h, np.full(len(c.h), _A)), LONG_PIECE), k - LONG_PIECE + 1)[at[hot]]
+            goes[hot] = base[i[hot]] + ((second * _C >> _S33) % parts[i[hot]].astype(np.uint64)).astype(np.int64)
+            value = value.copy()
+            value[hot] = _mix(value[hot], second)
+    return goes, value
+
+
+def _chunk(docs: list[tuple[int, int, bytes]], buckets: int, k: int, m: int, split: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, kind, blob): kind 1 has packed runs of windows for that bucket, kind 0 spans that are settled here."""
-    docs.sort(key=lambda d: d[:2])
-    words: list[bytes] = []
-    ends = []
-    for _, _, text in docs:
-        words += text.split()
-        ends.append(len(words))
-    if len(words) < k:
-        return
-    table = Words()
-    ids = table.ids(words)
-    h = table.hashed(ids)
-    end = np.array(ends)
-    number = np.repeat(np.arange(len(docs)), np.diff(end, prepend=0))
-    begin = end - np.diff(end, prepend=0)
-    at = np.flatnonzero(np.arange(len(words)) + k <= end[number])
+    c = Chunk(docs, k, m)
+    at, number, begin = c.at, c.number, c.begin
     if not len(at):
         return
-    window, low = rolling(h, k), sliding_min(rolling(h, m), k - m + 1)
-    doc_of = np.array([d[0] for d in docs], np.int64)
-    hash_of = np.array([d[1] for d in docs], np.int64)
     # rows equal in doc_id and text are one document
-    one = np.concatenate([[0], np.cumsum((doc_of[1:] != doc_of[:-1]) | (hash_of[1:] != hash_of[:-1]))]) if len(docs) else doc_of
-    place = at - begin[number[at]]
-    dup = repeats(ids, window, at, one[number[at]], place, k)
+    one = np.concatenate([[0], np.cumsum((c.doc[1:] != c.doc[:-1]) | (c.hash[1:] != c.hash[:-1]))])
+    dup = repeats(c.text, c.starts, rolling(c.h, k), at, one[number[at]], at - begin[number[at]], k)
     if dup.any():
         d = at[dup]
-        a, b = _runs((np.diff(d) != 1) | (np.diff(number[d]) != 0)) if len(d) > 1 else (np.array([0]), np.array([0]))
+        a, b = _runs((np.diff(d) != 1) | (np.diff(number[d]) != 0))
         owner = number[d[a]]
         lo = d[a] - begin[owner]
-        yield int(xxhash.xxh32_intdigest(lo.tobytes()) % buckets), 0, _pack(doc_of[owner], hash_of[owner], lo, d[b] - d[a] + k, b"")
-    at = at[~dup]
+        yield int(xxhash.xxh32_intdigest(lo.tobytes()) % buckets), 0, _pack(c.doc[owner], c.hash[owner], lo, d[b] - d[a] + k, b"")
+        at = at[~dup]
     if not len(at):
         return
-    value = low[at]
-    a, b = _runs((np.diff(at) != 1) | (np.diff(number[at]) != 0) | (value[1:] != value[:-1])) if len(at) > 1 else (np.array([0]), np.array([0]))
-    first, last = at[a], at[b]
-    goes = (value[a] * _C >> np.uint64(33)) % np.uint64(buckets)
+    bucket, value = _bucket_of(c, at, buckets, split, k)
+    a, b = _runs((np.diff(at) != 1) | (np.diff(number[at]) != 0) | (value[1:] != value[:-1]))
+    first, last, goes = at[a], at[b], bucket[a]
+    del at, bucket, value
     order = np.argsort(goes, kind="stable")
     cut = np.flatnonzero(np.concatenate([[True], goes[order[1:]] != goes[order[:-1]], [True]]))
+    from_, to = c.starts[first], c.starts[last + k]
     for x, y in zip(cut[:-1], cut[1:], strict=True):
         mine = order[x:y]
         owner = number[first[mine]]
-        text = b"\n".join([b" ".join(words[i : j + k]) for i, j in zip(first[mine].tolist(), last[mine].tolist(), strict=True)])
-        yield int(goes[mine[0]]), 1, _pack(doc_of[owner], hash_of[owner], first[mine] - begin[owner], last[mine] - first[mine] + 1, text)
+        text = b"".join([c.text[i:j] for i, j in zip(from_[mine].tolist(), to[mine].tolist(), strict=True)])
+        yield int(goes[mine[0]]), 1, _pack(c.doc[owner], c.hash[owner], first[mine] - begin[owner], last[mine] - first[mine] + 1, text)
 
 
-def _scatter(buckets: int, k: int, m: int, chunk: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        size = 0
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for doc, th, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                held.append((LOWEST if doc is None else doc, th, text))
+                size += len(text)
+                if size >= chunk:
+                    yield held
+                    held, size = [], 0
+    yield held
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
+def _scatter(buckets: int, k: int, m: int, chunk: int, split: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs in _chunks(batches, chunk):
             rows, total = [], 0
-            for row in _chunk(held, buckets, k, m):
+            for row in _chunk(docs, buckets, k, m, split):
                 rows.append(row)
                 total += len(row[2])
-                if total > 4 << 20:
+                if total > 2 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)], schema=_OUT)
                     rows, total = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)], schema=_OUT)
 
-        for batch in batches:
-            for doc, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.append((LOWEST if doc is None else doc, th, text))
-                size += len(text)
-                if size >= chunk:
-                    yield from flush()
-                    held, size = [], 0
-        yield from flush()
+    return run
+
+
+def _weigh(buckets: int, k: int, m: int, chunk: int):
+    """(bucket, bytes): what the super-k-mers of a chunk would bring to each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs in _chunks(batches, chunk):
+            c = Chunk(docs, k, m)
+            if not len(c.at):
+                continue
+            a, b = _runs((np.diff(c.at) != 1) | (np.diff(c.number[c.at]) != 0) | (np.diff(c.low[c.at]) != 0))
+            goes = c.bucket(c.at[a], buckets)
+            order = np.argsort(goes, kind="stable")
+            cut = _runs(np.diff(goes[order]) != 0)[0]
+            load = np.add.reduceat((c.starts[c.at[b] + k] - c.starts[c.at[a]])[order], cut)
+            yield pa.RecordBatch.from_arrays([pa.array(goes[order[cut]], pa.int32()), pa.array(load, pa.int64())], names=["bucket", "bytes"])
 
     return run
 
@@ -218,27 +302,31 @@ def _scatter(buckets: int, k: int, m: int, chunk: int):
 def _gather(k: int):
     def run(rows: pa.Table) -> pa.Table:
         docs, hashes, lows, highs = [], [], [], []
-        runs, parts, table = [], [], Words()
-        for kind, blob in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True):
-            doc, th, lo, n, text = _unpack(blob)
+        runs, parts = [], []
+        for kind, blob in zip(rows.column("kind").to_pylist(), rows.column("blob"), strict=True):
+            doc, th, lo, n, text = _unpack(blob.as_buffer())
             if kind == 0:
                 docs.append(doc), hashes.append(th), lows.append(lo), highs.append(lo + n)
             else:
                 runs.append((doc, th, lo, n))
-                parts.append(table.ids(text.split()))
+                parts.append(text)
         if runs:
             doc, th, lo, n = (np.concatenate(x) for x in zip(*runs, strict=True))
-            ids = np.concatenate(parts)
+            text = b"".join(parts)
+            del runs, parts
+            buf = np.frombuffer(text, np.uint8)
+            starts = word_starts(buf)
+            h = rolling(word_hashes(buf, starts), k)
             base = np.cumsum(n + k - 1) - (n + k - 1)  # where each run's words begin
             order = np.lexsort((lo, th, doc))
             doc, th, lo, n, base = (x[order] for x in (doc, th, lo, n, base))
             each = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at, run_of = np.repeat(base, n) + each, np.repeat(np.arange(len(n)), n)
+            at, run_of = np.repeat(base, n) + each, np.repeat(np.arange(len(n), dtype=np.int32), n)
             owner = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (th[1:] != th[:-1]))])[run_of]
             place = np.repeat(lo, n) + each
-            dup = np.flatnonzero(repeats(ids, rolling(table.hashed(ids), k), at, owner, place, k))
+            dup = np.flatnonzero(repeats(text, starts, h, at, owner, place, k))
             if len(dup):
-                a, b = _runs((np.diff(dup) != 1) | (np.diff(run_of[dup]) != 0)) if len(dup) > 1 else (np.array([0]), np.array([0]))
+                a, b = _runs((np.diff(dup) != 1) | (np.diff(run_of[dup]) != 0))
                 r = run_of[dup[a]]
                 docs.append(doc[r]), hashes.append(th[r]), lows.append(place[dup[a]]), highs.append(place[dup[b]] + k)
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, hashes, lows, highs)]
@@ -262,11 +350,25 @@ def _key(docs: DataFrame, mark: Column) -> DataFrame:
     )
 
 
+def _heavy(rows: DataFrame, buckets: int, bucket: int, k: int, m: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that would get over HEAVY times their share, into how many parts each is split, and the number of its first part.
+
+    At most one bucket in HEAVY can be so heavy; three numbers of each go to the driver and on to the tasks.
+    """
+    load = rows.mapInArrow(_weigh(buckets, k, m, chunk), "bucket int, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    # a window travels in about three times its own bytes
+    got = sorted(load.where(F.col("bytes") > 3 * HEAVY * bucket).toLocalIterator(), key=lambda r: r.bucket)
+    parts = np.array([-(-r.bytes // (3 * bucket)) for r in got], np.int64)
+    return np.array([r.bucket for r in got], np.int64), parts, buckets + np.cumsum(parts) - parts
+
+
 def spans(docs: DataFrame, mark: Column, k: int = WINDOW, m: int = PIECE, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """(doc, hash, spans array<struct<lo,hi>>): word spans to remove, for documents that have any; hash is the mark of `_same_id`."""
     parts = shuffle_partitions(docs.sparkSession)
     buckets = spread(text_bytes(docs, "text"), bucket, 2 * parts)
-    packed = _key(docs, mark).mapInArrow(_scatter(buckets, k, m, chunk), SCHEMA)
+    rows = _key(docs, mark)
+    split = _heavy(rows, buckets, bucket, k, m, chunk) if k > LONG_PIECE else (np.zeros(0, np.int64),) * 3
+    packed = rows.mapInArrow(_scatter(buckets, k, m, chunk, split), SCHEMA)
     found = packed.groupBy("bucket").applyInArrow(_gather(k), "doc long, hash long, lo long, hi long")
     return found.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
@@ -285,12 +387,13 @@ def _cut(text: bytes, cuts: list[dict] | None) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def _joined(docs: DataFrame, **how) -> DataFrame:
+def _joined(docs: DataFrame, **how) -> tuple[DataFrame, str]:
+    """The documents with one more column, of the spans to cut, and its name."""
     mark = _same_id(docs)
-    found = spans(docs, mark, **how).select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans"))
+    doc, th, cuts = free(docs, "doc", "hash", "cuts")
+    found = spans(docs, mark, **how).select(F.col("doc").alias(doc), F.col("hash").alias(th), F.col("spans").alias(cuts))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    on = (key == F.col("__doc")) & (mark == F.col("__hash"))
-    return docs.join(found, on, "left").drop("__doc", "__hash")
+    return docs.join(found, (key == F.col(doc)) & (mark == F.col(th)), "left").drop(doc, th), cuts
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
@@ -304,15 +407,16 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    rows = _joined(docs.select("doc_id", "text"), **how).select("doc_id", F.col("text").cast("binary").alias("text"), "__spans")
+    joined, cuts = _joined(docs.select("doc_id", "text"), **how)
+    rows = joined.select("doc_id", F.col("text").cast("binary").alias("text"), cuts)
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     """The documents with the columns they came with; where spans go, the text is the kept words joined by one space."""
-    joined = _joined(docs, **how)
+    joined, cuts = _joined(docs, **how)
     names = joined.columns
-    text, spans_at = names.index("text"), names.index("__spans")
+    text, spans_at = names.index("text"), names.index(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
