@@ -88,13 +88,12 @@ def _stars(edges: DataFrame) -> tuple[int, bool]:
     return int(n), bad == 0
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges (a long, b long).
+def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(a, b): each node of undirected edges (a long, b long) but the smallest of its component points to that one; a written table.
 
     Alternates large-star and small-star steps until all is stars; each step is one grouped
     minimum and one join, and is written to the shared folder. The neighbours of a hub stay spread
-    over the tasks (see `_with`). Returns (node, component), the component being the smallest node
-    that is reachable. Self loops and nulls are dropped; nodes without edges are absent.
+    over the tasks (see `_with`). Self loops and nulls are dropped; nodes without edges are absent.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -116,7 +115,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(last, large)
     else:
         raise RuntimeError("connected components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).groupBy("node").agg(
-        F.min("component").alias("component")
-    )
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of undirected edges (a long, b long): (node, component), the smallest node that is reachable."""
+    return of_stars(stars(edges))
+
+
+def of_stars(now: DataFrame) -> DataFrame:
+    """(node, component) of what stars returns."""
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -14,9 +14,10 @@ The plan and m are those of least cost for the band: signatures written, and a p
 expected to stand on one shingle or none. Sets with equal shingles are one (hot groups of copies
 cost one set for each chunk of input). Sets that share a signature are candidates: all pairs of small
 groups, a star for larger ones. Parity bits of bins of the universe rule out pairs that differ in too
-many of them (two sets differ in no more bins than shingles); the rest is verified on the texts. Members of a larger group
-that are still in different components after that are paired with each other, so no link between
-components is lost, and no group is paired within a component.
+many of them (two sets differ in no more bins than shingles); the rest is verified on the texts. Members of
+a larger group that are still in different components after that are tested with each other by the
+same bits, in blocks, so no link between components is lost, no group is paired within a component,
+and no large group is in one task.
 
 Edge cases: fewer words than a shingle make one shingle of the whole sequence; null and empty texts
 have no shingles and link with nothing; copies share a component; a null doc_id never names a
@@ -37,13 +38,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import components, materialise, shuffle_partitions, spread, text_bytes
+from corpusmill.llm.common import components, discard, free, materialise, of_stars, shuffle_partitions, spread, stars, text_bytes
 from corpusmill.llm.substring import _mix, rolling, squeeze, word_hashes, word_starts
 
 SHINGLE, PERCENT = 5, 80
 BITS = 1024
 CHUNK, BUCKET = 12 << 20, 12 << 20
-SMALL = 8
+#: Up to this many sets that share a signature are paired at once; so many members of a larger group are tested together.
+SMALL, BLOCK = 8, 1024
+#: Rows of names (of 24 bytes) that are sent to every task; beyond it the texts go to the names.
+SENT = 1_000_000
+#: Bits of a signature that are kept.
+KEPT = 56
 _ONE = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -121,8 +127,12 @@ def parity_bits(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd).view(np.int64).tolist()
 
 
-def set_id(hashes: np.ndarray, salt: int) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=salt))))
+def set_id(hashes: np.ndarray, renamed: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """(name, check): 64 bits each of one 128-bit hash of the set. A renamed name stands for several sets, which are told apart by the check."""
+    both = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    name, check = both & (1 << 64) - 1, both >> 64
+    signed, check = (x - (1 << 64) * (x >> 63) for x in (name, check))
+    return _renamed(signed, check) if signed in renamed else signed, check
 
 
 def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -162,21 +172,36 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return np.concatenate(sigs), np.concatenate(owners)
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each number, all first bytes first."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+
+
+def _whole(data: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return out.view(np.uint64).reshape(n)
+
+
 def _pack(sid: np.ndarray, n: np.ndarray, sig: np.ndarray, owner: np.ndarray) -> bytes:
+    """Sets and their signatures: sorted, as differences, in planes of bytes."""
     order = np.argsort(sig)
     used, index = np.unique(owner[order], return_inverse=True)
-    head = np.array([len(used), len(sig)], np.int64)
-    parts = [head, sid[used], n[used].astype(np.int32), sig[order], index.astype(np.int32)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+    kept = sig[order] >> np.uint64(64 - KEPT)
+    wide = 2 if len(used) < 1 << 16 else 4
+    head = np.array([len(used), len(sig), wide], np.int64)
+    parts = [head.tobytes(), sid[used].tobytes(), _planes(n[used].astype(np.uint64), 4), _planes(np.diff(kept, prepend=np.uint64(0)), KEPT // 8), _planes(index.astype(np.uint64), wide)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob)
-    d, s = np.frombuffer(data, np.int64, 2)
-    sid = np.frombuffer(data, np.int64, d, 16)
-    n = np.frombuffer(data, np.int32, d, 16 + 8 * d)
-    sig = np.frombuffer(data, np.uint64, s, 16 + 12 * d)
-    index = np.frombuffer(data, np.int32, s, 16 + 12 * d + 8 * s)
+    d, s, wide = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    sid = np.frombuffer(data, np.int64, d, 24)
+    at = 24 + 8 * d
+    n = _whole(data, d, 4, at).astype(np.int64)
+    sig = np.cumsum(_whole(data, s, KEPT // 8, at + 4 * d), dtype=np.uint64)
+    index = _whole(data, s, wide, at + 4 * d + KEPT // 8 * s).astype(np.int64)
     return sig, sid[index], n[index]
 
 
@@ -192,23 +217,22 @@ def _groups_of(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
         yield held
 
 
-def _describe(n: int, salt: int):
+def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sids, sizes, bits = [], [], []
+            names, sizes, bits = [], [], []
             for texts in _groups_of(b.column(2).to_pylist(), 4 << 20):
                 for s in shingle_sets(texts, n):
                     sizes.append(len(s))
-                    sids.append(set_id(s, salt) if len(s) else None)
+                    names.append(set_id(s) if len(s) else (None, None))
                     bits.append(parity_bits(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "hash", "n", "sid", "bits"]
-            )
+            sids, checks = (pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), sids, checks, pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "hash", "n", "sid", "check", "bits"])
 
     return run
 
 
-def _scatter(n: int, salt: int, percent: int, buckets: int, chunk: int):
+def _scatter(n: int, renamed: frozenset[int], percent: int, buckets: int, chunk: int):
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +253,9 @@ def _scatter(n: int, salt: int, percent: int, buckets: int, chunk: int):
                     yield pa.RecordBatch.from_arrays([pa.array([int(goes[mine[0]])], pa.int32()), pa.array([_pack(sid, sizes, sig[mine], owner[mine])])], schema=schema)
 
         for b in batches:
-            for texts in _groups_of(b.column(2).to_pylist(), 4 << 20):
+            for texts in _groups_of(b.column(0).to_pylist(), 4 << 20):
                 for s in shingle_sets(texts, n):
-                    if not len(s) or (name := set_id(s, salt)) in seen:
+                    if not len(s) or (name := set_id(s, renamed)[0]) in seen:
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
@@ -259,7 +283,7 @@ def _gather(percent: int, small: int):
         sig, sid, n = sig[order], sid[order], n[order]
         keep = np.ones(len(sig), bool)
         keep[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
-        sig, sid, n = sig[keep], sid[keep], n[keep].astype(np.int64)
+        sig, sid, n = sig[keep], sid[keep], n[keep]
         begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(begin, len(sig)))
         pairs = []
@@ -315,50 +339,127 @@ def may_link(percent: int, x: str, y: str, nx: str, ny: str) -> str:
     return f"{percent} * greatest({nx}, {ny}) <= 100 * least({nx}, {ny}) and ({apart}) * {100 + percent} <= ({nx} + {ny}) * {100 - percent}"
 
 
-def _described(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """(doc_id, hash, n, sid, bits) of every row; sid names the set of shingles, null if there is none; bits: see parity_bits."""
+def _described(docs: DataFrame, n: int) -> tuple[DataFrame, frozenset[int]]:
+    """((doc_id, hash, n, sid, bits) of every row; renamed names): sid names the set of shingles, null if there is none; bits: see parity_bits.
+
+    Names of 64 bits that stand for two sets (about n^2 / 2^65 of n sets) are found by their checks and renamed.
+    """
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    for salt in range(8):
-        out = materialise(rows.mapInArrow(_describe(n, salt), f"doc_id {kind}, hash long, n long, sid long, bits array<long>"), "sets")
-        # another salt names the same sets: a name that two sizes share stands for two sets
-        if out.groupBy("sid").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x <> y and sid is not null").isEmpty():
-            return out, salt
-    raise RuntimeError("64-bit names of sets collide")
+    out = materialise(rows.mapInArrow(_describe(n), f"doc_id {kind}, hash long, n long, sid long, check long, bits array<long>"), "sets")
+    twice = out.where("sid is not null").groupBy("sid").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
+    renamed = frozenset(r.sid for r in twice.select("sid").toLocalIterator())
+    return _rename(out, renamed).drop("check"), renamed
+
+
+def _rename(sets: DataFrame, renamed: frozenset[int]) -> DataFrame:
+    if not renamed:
+        return sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.schema.get_field_index("sid")
+            new = [s if s not in renamed else _renamed(s, c) for s, c in zip(b.column("sid").to_pylist(), b.column("check").to_pylist(), strict=True)]
+            yield b.set_column(i, "sid", pa.array(new, pa.int64()))
+
+    return materialise(sets.mapInArrow(run, sets.schema), "sets")
+
+
+def _renamed(name: int, check: int) -> int:
+    out = xxhash.xxh3_64_intdigest((check & (1 << 64) - 1).to_bytes(8, "little"), seed=name & (1 << 64) - 1)
+    return out - (1 << 64) * (out >> 63)
+
 
+def _apart(percent: int, p: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of different components that may link: between left and right, or within left."""
+    step = max(1, (1 << 17) // max(1, len(left) if right is None else len(right)))
+    for at in range(0, len(left), step):
+        i = left[at : at + step]
+        j = left[at:] if right is None else right
+        x, y = i[:, None], j[None, :]
+        ok = (p[x] != p[y]) & (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y]))
+        if right is None:
+            ok &= np.arange(len(j))[None, :] > np.arange(len(i))[:, None]
+        u, v = np.nonzero(ok)
+        u, v = i[u], j[v]
+        odd = np.bitwise_count(bits[u] ^ bits[v]).sum(1, dtype=np.int64)
+        fits = odd * (100 + percent) <= (n[u] + n[v]) * (100 - percent)
+        yield u[fits], v[fits]
 
-def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, chunk: int = CHUNK, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(sets, edges): (doc_id, hash, n, sid) of every row, and verified links (a, b) between sids; they connect all that links connect."""
+
+def _close(percent: int):
+    """(a, b): pairs of a group's members, in different components, that parity bits do not rule out."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        col = lambda c: rows.column(c).to_numpy()
+        order = np.lexsort((col("sid"), col("y"), col("x"), col("g")))
+        g, x, y, own, sid, p, n = (col(c)[order] for c in ("g", "x", "y", "own", "sid", "p", "n"))
+        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(order), -1)[order]
+        begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        found = []
+        for a, b in zip(begin, np.append(begin[1:], len(g)), strict=True):
+            at = np.arange(a, b)
+            if x[a] == y[a]:
+                got = _apart(percent, p, n, bits, at, None)
+            else:
+                got = _apart(percent, p, n, bits, at[own[a:b] == x[a]], at[own[a:b] == y[a]])
+            found += [np.stack([np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v])], 1) for u, v in got if len(u)]
+        two = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(two[:, 0]), "b": pa.array(two[:, 1])})
+
+    return run
+
+
+def _between(part: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): what members of groups (g, sid, p, n, bits) may link with members of other components p; large groups in pairs of blocks."""
+    sizes = part.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    buckets = spread(192 * part.count(), 4 << 20, shuffle_partitions(part.sparkSession))
+    cut = part.join(sizes, "g").withColumn("own", F.expr("cast(pmod(xxhash64(sid), k) as int)"))
+    cut = cut.selectExpr("*", "explode(sequence(0, k - 1)) as other").selectExpr("g", "least(own, other) as x", "greatest(own, other) as y", "own", "sid", "p", "n", "bits")
+    cut = cut.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(g, x, y), {buckets}) as int)"))
+    return cut.groupBy("bucket").applyInArrow(_close(percent), "a long, b long").distinct()
+
+
+def _texts(docs: DataFrame, known: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(sid, text) of one row for each wanted sid; known: (sid, d, h) names a row of each set."""
+    rows = materialise(known.select("sid", "d", "h").join(wanted, "sid", "left_semi"), "representatives")
+    one = F.broadcast(rows) if rows.count() <= SENT else rows
+    key = docs.select("doc_id", "text").withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = key.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("sid", F.col("text").cast("binary").alias("text"))
+    texts = materialise(texts.dropDuplicates(["sid"]) if repeated else texts, "texts")
+    discard(rows)
+    return texts
+
+
+def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, chunk: int = CHUNK, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(sets, edges): (doc_id, hash, n, sid) of every row, and edges (a, b) between sids that connect all that verified links connect, and no more."""
     spark = docs.sparkSession
-    sets, salt = _described(docs, n)
+    sets, renamed = _described(docs, n)
     buckets = spread(text_bytes(docs, "text"), bucket, shuffle_partitions(spark))
-    rows = docs.select(F.lit(0), F.lit(0), F.coalesce("text", F.lit("")).cast("binary"))
-    packed = rows.toDF("x", "y", "text").mapInArrow(_scatter(n, salt, percent, buckets, chunk), "bucket int, blob binary")
+    packed = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_scatter(n, renamed, percent, buckets, chunk), "bucket int, blob binary")
     found = materialise(packed.groupBy("bucket").applyInArrow(_gather(percent, small), "g long, a long, b long"), "candidates")
     pairs = found.where("g is null").select("a", "b").distinct()
-    known = materialise(sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "names")
+    known = sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "hash")).alias("s"))
+    known = materialise(known.selectExpr("sid", "n", "bits", "s.doc_id as d", "s.hash as h"), "names")
     side = lambda k: known.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
     first = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(percent, "xa", "xb", "na", "nb")).select("a", "b"), "pairs")
     wide = found.where("g is not null").select("g", F.col("a").alias("sid")).distinct()
-    wanted = first.select(F.col("a").alias("sid")).union(first.select(F.col("b").alias("sid"))).union(wide.select("sid")).distinct()
-    one = sets.groupBy("sid").agg(F.min(F.struct("doc_id", "hash")).alias("s")).join(wanted, "sid", "left_semi")
-    one = materialise(one.selectExpr("sid", "s.doc_id as d", "s.hash as h"), "representatives")
-    key = docs.select("doc_id", "text").withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = key.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("sid", F.col("text").cast("binary").alias("text"))
-    texts = materialise(texts.dropDuplicates(["sid"]) if _repeated(sets) else texts, "texts")
+    wanted = first.select(F.col("a").alias("sid")).union(first.select(F.col("b").alias("sid"))).union(wide.select("sid"))
+    texts = _texts(docs, known, wanted, _repeated(sets))
     edges = materialise(verify(first, texts, n, percent), "links")
     if not wide.isEmpty():
-        part = wide.join(components(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        part = part.join(known, "sid")
-        mixed = part.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("g")
-        part = materialise(part.join(mixed, "g", "left_semi"), "mixed")
-        left = part.select("g", F.col("sid").alias("a"), F.col("component").alias("p"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-        right = part.select("g", F.col("sid").alias("b"), F.col("component").alias("q"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-        # in the join's own condition, so pairs that are too far apart are never written
-        fits = F.expr(f"l.g = r.g and a < b and p <> q and {may_link(percent, 'xa', 'xb', 'na', 'nb')}")
-        more = left.alias("l").join(right.alias("r"), fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+        links, edges = edges, stars(edges)
+        discard(links)
+        part = wide.join(of_stars(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("p", F.coalesce("component", "sid")).select("g", "sid", "p")
+        part = materialise(part, "groups")
+        mixed = part.groupBy("g").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("g")
+        left = materialise(part.join(mixed, "g", "left_semi").join(known.select("sid", "n", "bits"), "sid"), "mixed")
+        more = materialise(_between(left, percent, block).join(first, ["a", "b"], "left_anti"), "pairs")
+        discard(part, left)
         edges = edges.union(materialise(verify(more, texts, n, percent), "links"))
-    return sets, edges
+        discard(more)
+    discard(found, known, first, texts)
+    return sets.drop("bits"), edges
 
 
 def _repeated(sets: DataFrame) -> bool:
@@ -380,14 +481,13 @@ def join(docs: DataFrame, **how) -> DataFrame:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents, with the columns they came with, of the smallest doc_id of each component; all without shingles stay."""
-    found = join(docs, **how)
-    found = materialise(found, "components")
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = materialise(join(docs, **how), "components")
+    doc, th, key = free(docs, "doc", "hash", "key")
+    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias(doc), F.col("hash").alias(th)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
     if _repeated(found):
-        keyed = keyed.dropDuplicates(["doc_id", "__key"])
-    on = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__hash"))
-    return keyed.join(stay, on, "left_semi").drop("__key")
+        keyed = keyed.dropDuplicates(["doc_id", key])
+    return keyed.join(stay, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left_semi").drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
