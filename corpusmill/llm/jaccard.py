@@ -45,7 +45,7 @@ SHINGLE, PERCENT = 5, 80
 BITS = 1024
 CHUNK, BUCKET = 12 << 20, 12 << 20
 #: Up to this many sets that share a signature are paired at once; so many members of a larger group are tested together.
-SMALL, BLOCK = 8, 1024
+SMALL, BLOCK = 8, 256
 #: Rows of names (of 24 bytes) that are sent to every task; beyond it the texts go to the names.
 SENT = 1_000_000
 #: Bits of a signature that are kept.
