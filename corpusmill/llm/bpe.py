@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.common import turn_to
+
 #: Distinct words kept between chunks by one Python worker, and text bytes of a chunk.
 KEPT, CHUNK = 700_000, 4 << 20
 
@@ -256,6 +258,10 @@ def encoder(path: str) -> TrieEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    _ENCODERS.clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -288,6 +294,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
     text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("bpe", forget)
         bpe = encoder(path)
         was = gc.isenabled()
         gc.disable()  # what is kept has no cycles, and there is much of it

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,29 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def turn_to(name: str, clear: Callable[[], None] | None = None) -> None:
+    """In a Python worker, before a task: what other operators have kept there from task to task is given up.
+
+    Workers are used again by whatever comes next; without this one that has encoded texts would hold its
+    words while it scores others. clear forgets what the operator of this name keeps.
+    """
+    others = [k for k in _KEPT if k != name]
+    for k in others:
+        _KEPT.pop(k)()
+    if clear is not None:
+        if _KEPT.get(name, clear) != clear:
+            _KEPT[name]()
+        _KEPT[name] = clear
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+
+
 def spread(n_bytes: int, per_task: int, least: int) -> int:
     """Number of tasks for n_bytes of input at per_task bytes each."""
     return max(least, -(-int(n_bytes) // per_task))

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import components, discard, free, materialise, of_stars, shuffle_partitions, spread, stars, text_bytes
+from corpusmill.llm.common import components, discard, free, materialise, of_stars, shuffle_partitions, spread, stars, text_bytes, turn_to
 from corpusmill.llm.substring import _mix, rolling, squeeze, word_hashes, word_starts
 
 SHINGLE, PERCENT = 5, 80
@@ -219,6 +219,7 @@ def _groups_of(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
 
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("jaccard")
         for b in batches:
             names, sizes, bits = [], [], []
             for texts in _groups_of(b.column(2).to_pylist(), 4 << 20):
@@ -236,6 +237,7 @@ def _scatter(n: int, renamed: frozenset[int], percent: int, buckets: int, chunk:
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("jaccard")
         bands = Bands(percent)
         held: list[np.ndarray] = []
         names: list[int] = []

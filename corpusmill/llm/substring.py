@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import free, shuffle_partitions, spread, text_bytes
+from corpusmill.llm.common import free, shuffle_partitions, spread, text_bytes, turn_to
 
 WINDOW = 20
 PIECE, LONG_PIECE = 3, 10
@@ -251,6 +251,7 @@ def _chunk(docs: list[tuple[int, int, bytes]], buckets: int, k: int, m: int, spl
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    turn_to("substring")
     held: list[tuple[int, int, bytes]] = []
     size = 0
     for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import free
+from corpusmill.llm.common import free, turn_to
 
 TRAIN_ROWS = 1500
 THRESHOLD = 0.3
@@ -231,6 +231,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
+        turn_to("toxicity", own.known.clear)
         for b in batches:
             s = own.scores([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*names, column])
