@@ -28,6 +28,8 @@ SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
 #: Hashes that are broadcast together (of 12 bytes; about 40 in the executors' table).
 MOST = 2_000_000
+#: Up to so many hashes stand in the plan too, so that places which cannot hit are left out before they become rows.
+FEW = 20_000
 
 
 def _words(text: str) -> str:
@@ -69,13 +71,16 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, most: int = MO
     hashes = windows.select(F.col("len").alias("k"), F.col("h").alias("key_hash")).distinct()
     counts = hashes.groupBy("k").count().collect()  # one row for each length up to n
     lengths = sorted(r["k"] for r in counts)
-    blocks = max(1, -(-sum(r["count"] for r in counts) // most))
+    total = sum(r["count"] for r in counts)
+    blocks = max(1, -(-total // most))
     words = _exact("coalesce(text, '')")
-    tries = ", ".join(
-        f"transform(if(size(w) >= {k}, sequence(1, greatest(1, size(w) - {k - 1})), cast(array() as array<int>)), "
-        f"i -> named_struct('pos', i, 'len', {k}, 'h', xxhash64(slice(w, i, {k}))))"
-        for k in lengths
-    ) or "cast(array() as array<struct<pos:int,len:int,h:bigint>>)"
+    places_of = {k: f"if(size(w) >= {k}, sequence(1, greatest(1, size(w) - {k - 1})), cast(array() as array<int>))" for k in lengths}
+    if total <= FEW:
+        for k in lengths:
+            own = ", ".join(f"{r.key_hash}L" for r in hashes.where(F.col("k") == k).select("key_hash").collect())
+            places_of[k] = f"filter({places_of[k]}, i -> xxhash64(slice(w, i, {k})) in ({own}, 0L))"
+    tries = ", ".join(f"transform({places_of[k]}, i -> named_struct('pos', i, 'len', {k}, 'h', xxhash64(slice(w, i, {k}))))" for k in lengths)
+    tries = tries or "cast(array() as array<struct<pos:int,len:int,h:bigint>>)"
     cut = docs.select("doc_id", "text", _mark().alias("mark")).selectExpr("doc_id", "text", "mark", f"transform(array({words}), w -> concat({tries}))[0] as c")
     places = cut.selectExpr("doc_id", "text", "mark", "explode(c) as x").selectExpr("doc_id", "text", "mark", "x.pos as pos", "x.len as len", "x.h as h")
 
