@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, decontaminate, jaccard, shard, substring, toxicity
 from corpusmill.llm.common import components
@@ -90,11 +91,67 @@ def test_repeats_edges(spark, docs, empty):
             assert r.text == texts(docs)[r.doc_id]
 
 
+def test_heavy_buckets_are_split(spark, monkeypatch):
+    """Three frequent words in every window: their bucket would hold nearly all, and is dealt out by longer pieces."""
+    rnd = random.Random(4)
+    texts_ = [" ".join(w for _ in range(rnd.randint(8, 60)) for w in ("the", "of", "and", *(f"w{rnd.randrange(40)}" for _ in range(4)))) for _ in range(60)]
+    texts_ += [texts_[3] + " tail", "head " + texts_[7]]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    mark = substring._same_id(docs)
+    split = substring._heavy(substring._key(docs, mark), 16, 500, 20, 3, 4000)
+    assert len(split[0]) and (split[1] > 1).all()
+    monkeypatch.setattr(substring, "HEAVY", 1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(docs, chunk=4000, bucket=300).collect()}
+    assert got == brute_repeats(dict(enumerate(texts_)), 20)
+
+
+CLASHING = ("__doc", "__hash", "__spans", "__key", "__hit", "__row", "__score", "doc", "mark", "key", "cuts", "score", "Hash")
+
+
+def test_columns_of_any_name_stay(spark, docs):
+    own = docs.where("doc_id < 30 or doc_id > 80").select("doc_id", "text", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in CLASHING))
+    items = spark.createDataFrame([(1, "same same same same same same same same same same")], ITEM)
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for out in (substring.remove_repeats(own), jaccard.keep_one(own), decontaminate.drop_contaminated(own, items), toxicity.drop_toxic(own, labels, steps=2)):
+        assert out.columns == own.columns
+        assert all(r[n] == f"{n} {r.doc_id}" for r in out.collect() for n in CLASHING)
+
+
+def test_names_of_sets_that_collide_are_renamed(spark, docs):
+    """By its check, and to the same name where rows are described and where signatures are made."""
+    a, b = jaccard.shingle_sets([b"a b c d e f", b"u v w x y z"], 5)
+    (name, check), (_, other) = jaccard.set_id(a), jaccard.set_id(b)
+    assert jaccard.set_id(a, frozenset([name])) == (jaccard._renamed(name, check), check)
+    assert jaccard._renamed(name, check) not in (name, jaccard._renamed(name, other))
+    sets, renamed = jaccard._described(docs, 5)
+    assert not renamed and "check" not in sets.columns
+    rows = spark.createDataFrame([(name, check), (name, other), (3, 4), (None, None)], "sid long, check long")
+    got = [r.sid for r in jaccard._rename(rows, frozenset([name])).orderBy("check").collect()]
+    assert sorted(got, key=str) == sorted([jaccard._renamed(name, check), jaccard._renamed(name, other), 3, None], key=str)
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_copies_in_one_large_group(spark, block):
+    """Hundreds of near copies, not all of which link with each other."""
+    rnd = random.Random(block)
+    base = [f"w{i}" for i in range(60)]
+    data = {}
+    for i in range(160):
+        w = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+        data[i] = " ".join(w)
+    docs = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, small=3, block=block).collect()}
+    assert got == brute_components(data, 80)
+
+
 def test_windows_under_one_hash_are_told_apart():
     import numpy as np
 
-    ids = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.int32)
-    got = substring.repeats(ids, np.zeros(7, np.uint64), np.array([0, 3, 6]), np.array([0, 1, 2]), np.zeros(3, np.int64), 3)
+    text = b"1 2 3 1 2 4 1 2 3 "
+    starts = substring.word_starts(np.frombuffer(text, np.uint8))
+    got = substring.repeats(text, starts, np.zeros(7, np.uint64), np.array([0, 3, 6]), np.array([0, 1, 2]), np.zeros(3, np.int64), 3)
     assert got.tolist() == [False, False, True]
 
 
@@ -192,20 +249,22 @@ def brute_leaks(data, items, n):
     return out
 
 
-@pytest.mark.parametrize("bound", [20_000, 0])
-def test_leaks(spark, docs, bound):
+@pytest.mark.parametrize("bound", [2_000_000, 5])
+def test_leaks(spark, docs, bound, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FEW", 0 if bound == 5 else 20_000)
     data = texts(docs)
     long = [t for t in data.values() if t and len(t.split()) > 40]
     items = [(1, " ".join(long[0].split()[3:18])), (2, "B-C"), (10, long[1].upper()), (3, None), (4, "?!"), (5, long[2].replace(" ", ", ")), (5, "É ßa"), (6, " ".join(long[3].split()[:9]))]
     got = {
         r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
-        for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, ITEM), set_bound=bound).collect()
+        for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, ITEM), most=bound).collect()
     }
     assert got == brute_leaks(data, items, 10)
 
 
-@pytest.mark.parametrize("bound", [20_000, 0])
-def test_leaks_with_capital_sigma(spark, bound):
+@pytest.mark.parametrize("bound", [2_000_000, 5])
+def test_leaks_with_capital_sigma(spark, bound, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FEW", 0 if bound == 5 else 20_000)
     """lower() of a whole text and of its words alone differ in a final sigma, which must not hide a passage."""
     passage = "Η ΕΤΑΙΡΕΙΑ Δ.Σ. της ΟΔΟΣ: των Σ' και ΛΟΓΟΣ. Kelvin \u212a İ ẞ end"
     data = {1: f"before {passage} after", 2: passage.lower(), 3: passage.replace("Kelvin", "kELVIN"), 4: "nothing", 5: None}
@@ -213,7 +272,7 @@ def test_leaks_with_capital_sigma(spark, bound):
     docs = spark.createDataFrame(list(data.items()), "doc_id long, text string")
     got = {
         r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
-        for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, ITEM), set_bound=bound).collect()
+        for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, ITEM), most=bound).collect()
     }
     assert got == brute_leaks(data, items, 10) and got[1][2] == 2
 
@@ -316,3 +375,20 @@ def test_toxicity(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
     assert toxicity.drop_toxic(docs, known.where("false")).columns == docs.columns
     assert toxicity.predict(docs.where("false"), known.where("false")).count() == 0
+
+
+def test_nulls_repeats_and_very_long_texts(spark):
+    """A null doc_id, rows that stand twice and a text of half a million characters: one defined row each."""
+    long = " ".join(f"word{i % 5000}" for i in range(60_000))
+    data = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None), (None, None), (3, long)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    shards = shard.assign(docs).collect()
+    assert sorted((str(r.doc_id), r["size"]) for r in shards) == sorted((str(i), len((t or "").encode()) + 1) for i, t in data)
+    scores = toxicity.predict(docs, labels, steps=3).collect()
+    assert sorted(str(r.doc_id) for r in scores) == sorted(str(i) for i, _ in data) and all(not r.held_out for r in scores if r.doc_id is None)
+    items = spark.createDataFrame([(1, " ".join(long.split()[20_000:20_012])), (None, "a b")], ITEM)
+    leaks = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs, items).collect())
+    assert leaks == sorted([("None", 2, 2, 0, True), ("1", 2, 2, 0, True), ("1", 2, 2, 0, True), ("2", 0, 0, 0, False), ("None", 0, 0, 0, False), ("3", 60_000, 12 * 12, 1, True)])
+    assert {r.doc_id: r.n_removed for r in substring.dedup(docs).collect()}[3] == 55_000
+    assert {r.doc_id: r.n_shingles for r in jaccard.join(docs).collect()}[3] == 5000

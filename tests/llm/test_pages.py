@@ -283,3 +283,23 @@ def test_vectors_edges(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in covertree.near_duplicates(two).collect())
     assert got == [(4, 2, 4, True), (4, 2, 4, True), (9, 2, 4, False)]
     assert covertree.near_duplicates(two.withColumn("label", F.lit(None).cast("int"))).where("n_links > 0").count() == 0
+
+
+def test_very_long_pages(spark):
+    body = " ".join(f"w{i}" for i in range(80_000))
+    data = [(1, "http://h.example.com/1", f"<nav>menu</nav><article><p>{body}</p></article>"), (2, "http://h.example.com/2", f"<div>{body}</div><div>{'x' * 300_000}</div>")]
+    got = {r.page_id: r.text for r in html.extract(frame(spark, data)).collect()}
+    assert got == {1: body, 2: f"{body} {'x' * 300_000}"}
+    back = {r.page_id: r for r in warc.round_trip(frame(spark, data)).collect()}
+    assert {i: back[i].payload_digest for i in back} == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in data}
+
+
+@pytest.mark.parametrize("url", ["http://h/a%20b", "http://h/a%2Fb?x=%C3%A9", "http://h/ä b", "http://h/%", "u\nv", ""])
+def test_urls_come_back_as_they_were(spark, url):
+    assert [r.url for r in warc.round_trip(frame(spark, [(1, url, "x")])).collect()] == [url]
+
+
+def test_ties_between_languages(spark):
+    docs = spark.createDataFrame([(1, "aaa bbb", "xx"), (2, "aaa bbb", "aa")], "doc_id long, text string, lang string")
+    got = language.identify(frame(spark, [(1, "http://h/1", "<article>aaa bbb</article>")]), docs).collect()
+    assert [r.lang for r in got] == ["aa"] and abs(got[0].probability - 0.5) < 0.35
