@@ -19,8 +19,10 @@ import gc
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +76,9 @@ class TrieEncoder:
             if n >= 3 and self.longest.get(key, 2) < n:
                 self.longest[key] = n
         self.halves: dict[str, tuple[str, str] | None] = {}
-        # ids and names of the tokens of each run of text and of each piece
+        # ids of the tokens of each run of text and of each piece
         self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _symbols(self, token: str) -> tuple[str, ...]:
         if (s := self.symbols_of.get(token)) is None:
@@ -225,23 +226,23 @@ class TrieEncoder:
         new = {p for x in parts.values() for special, p in x if not special and p not in self.pieces}
         vocab = self.vocab
         for piece, tokens in self.encode_words(new):
-            self.pieces[piece] = (b"".join([vocab[t].to_bytes(4, "little") for t in tokens]), " ".join(tokens))
+            self.pieces[piece] = b"".join([vocab[t].to_bytes(4, "little") for t in tokens])
         for w, x in parts.items():
             if len(x) == 1 and not x[0][0]:
-                self.ids[w], self.text[w] = self.pieces[x[0][1]]
+                self.ids[w] = self.pieces[x[0][1]]
             else:
-                got = [(self.special[p].to_bytes(4, "little"), p) if special else self.pieces[p] for special, p in x]
-                self.ids[w], self.text[w] = b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+                self.ids[w] = b"".join([self.special[p].to_bytes(4, "little") if special else self.pieces[p] for special, p in x])
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, bytes, str]]:
         """(number of tokens, ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
         cut = [self._runs(t) for t in texts]
         if len(self.ids) > KEPT:
-            self.ids.clear(), self.text.clear(), self.pieces.clear()
+            self.ids.clear(), self.pieces.clear()
         self.learn(set().union(*cut).difference(self.ids))
+        name = self.names.__getitem__
         for c in cut:
             data = b"".join(map(self.ids.__getitem__, c))
-            yield len(data) // 4, data, " ".join(map(self.text.__getitem__, c))
+            yield len(data) // 4, data, " ".join(map(name, array("I", data)))
 
     def decode(self, ids: bytes) -> str:
         """Names of the tokens, joined by a space: the file names no decoder."""
@@ -280,18 +281,20 @@ def _groups(texts: list[str | None], chunk: int) -> Iterator[list[str]]:
         yield held
 
 
-def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests: bool = True) -> DataFrame:
-    """The documents with n_tokens, and as asked token_ids (array), ids_sha256 and decoded_sha256.
+def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests: bool = True, texts: bool = True) -> DataFrame:
+    """The documents (as asked without their text) with n_tokens, and as asked token_ids (array), ids_sha256 and decoded_sha256.
 
     A column of the input with one of these names gives way to the new one.
     """
     path = path or default_path()
-    new = [("n_tokens", T.LongType(), pa.int64())]
-    new += [("token_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] * ids
-    new += [("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())] * digests
-    docs = docs.drop(*(n for n, _, _ in new))
+    new = [("n_tokens", T.LongType())]
+    new += [("token_ids", T.ArrayType(T.IntegerType()))] * ids
+    new += [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] * digests
+    docs = docs.drop(*(n for n, _ in new))
     names = docs.columns
     text = names.index("text")
+    out = [f for f in docs.schema.fields if texts or f.name != "text"]
+    stay = [names.index(f.name) for f in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("bpe", forget)
@@ -302,22 +305,28 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
             for b in batches:
                 at = 0
                 for group in _groups(b.column(text).to_pylist(), CHUNK):
-                    rows = []
+                    counts, parts, shas, decoded_shas = [], [], [], []
                     for n, data, decoded in bpe.encode_texts(group):
-                        row: list = [n]
+                        counts.append(n)
                         if ids:
-                            row.append(memoryview(data).cast("I").tolist())
+                            parts.append(data)
                         if digests:
-                            row += [hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                        rows.append(row)
-                    cols = [pa.array(c, t) for c, (_, _, t) in zip(zip(*rows, strict=True), new, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*b.slice(at, len(group)).columns, *cols], names=[*names, *(n for n, _, _ in new)])
+                            shas.append(hashlib.sha256(data).hexdigest())
+                            decoded_shas.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    cols = [pa.array(counts, pa.int64())]
+                    if ids:
+                        ends = np.cumsum([0, *counts], dtype=np.int32)
+                        cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32))))
+                    if digests:
+                        cols += [pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string())]
+                    own = b.slice(at, len(group)).columns
+                    yield pa.RecordBatch.from_arrays([*(own[i] for i in stay), *cols], names=[*(names[i] for i in stay), *(n for n, _ in new)])
                     at += len(group)
         finally:
             if was:
                 gc.enable()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t, _ in new)]))
+    return docs.mapInArrow(run, T.StructType([*out, *(T.StructField(n, t) for n, t in new)]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -338,4 +347,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, ids=False).drop("text")
+    return encode(docs, ids=False, texts=False)
