@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import free
+from corpusmill.llm.common import free, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII but digits and letters.
@@ -124,7 +124,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, most: int
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, most: int = MOST) -> DataFrame:
     """The documents, with the columns they came with, that hold no benchmark window."""
     doc, th = free(docs, "doc", "hash")
-    found = find_hits(docs, items, n, most).select(F.col("doc_id").alias(doc), F.col("mark").alias(th))
+    found = materialise(find_hits(docs, items, n, most).select(F.col("doc_id").alias(doc), F.col("mark").alias(th)), "leaks")
+    if found.count() <= most:  # else the documents go to their marks
+        found = F.broadcast(found)
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (_mark() == F.col(th)), "left_anti")
 
 
