@@ -30,7 +30,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the tokens of each text, and digests of the ids and of the text they decode to."""
-    return bpe.encode(docs.select("doc_id", "text")).drop("text")
+    return bpe.encode(docs.select("doc_id", "text"), texts=False)
 
 
 STAGES = [
