@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, covertree, decontaminate, html, jaccard, language, shard, substring, toxicity, warc
+from corpusmill.llm import bpe, covertree, decontaminate, divergence, html, jaccard, language, shard, substring, toxicity, warc, whitening
 
 _MODULES = {
     "op1_html_extraction": html,
@@ -15,6 +15,8 @@ _MODULES = {
     "op8_decontaminate": decontaminate,
     "op9_bpe": bpe,
     "op10_warc": warc,
+    "op12_whitening": whitening,
+    "op13_divergence": divergence,
 }
 
 
