@@ -31,22 +31,21 @@ SCALE, PRIOR = 1_000_000_000, 5
 #: Rows of `langs`, times their sources, that are sent to every task; beyond it the join is shuffled.
 SENT = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A term: letters of ASCII and all that is not ASCII.
-TERM = r"[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: What separates terms: ASCII but letters.
+SEPARATORS = r"[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, d): occurrences of a term in a group, and the group's documents that have it."""
-    rows = docs.selectExpr("coalesce(lang, '') as lang", "coalesce(source, '') as source", f"sort_array(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}', 0)) as w")
-    # sorted, so the first of equal terms is where the entry before differs
-    marked = rows.selectExpr("lang", "source", "inline(transform(w, (x, i) -> named_struct('term', x, 'first', if(i = 0 or w[i - 1] <> x, 1, 0))))")
-    return marked.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("d"))
+def _terms_of(docs: DataFrame, terms: str) -> DataFrame:
+    """(lang, source, term): a row for each of these terms of each text; terms is SQL over its words w."""
+    words = f"split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}')"
+    return docs.selectExpr("coalesce(lang, '') as lang", "coalesce(source, '') as source", f"explode({terms.format(w=words)}) as term").where("term <> ''")
 
 
-def wide_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def wide_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, total, at): kept terms with their count in each source that has them, by source."""
-    of = counts.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("at"))
-    return of.where(F.col("d") >= min_docs).select("lang", "term", "total", "at")
+    kept = _terms_of(docs, "array_distinct({w})").groupBy("lang", "term").count().where(F.col("count") >= min_docs).select("lang", "term")
+    counts = _terms_of(docs, "{w}").groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
+    return counts.join(kept, ["lang", "term"]).groupBy("lang", "term").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("at"))
 
 
 def languages(docs: DataFrame, wide: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def _terms(terms: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: pairs of sources by distance, and the terms that a source has more of than its language."""
-    wide = materialise(wide_terms(term_counts(docs), min_docs), "wide")
+    wide = materialise(wide_terms(docs, min_docs), "wide")
     langs = materialise(languages(docs, wide), "languages")
     size = langs.agg(F.coalesce(F.sum(F.size("sources")), F.lit(0))).first()[0]
     small = (F.broadcast(langs) if size <= SENT else langs).withColumnRenamed("total", "every")
