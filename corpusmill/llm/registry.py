@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, covertree, decontaminate, divergence, html, jaccard, language, shard, substring, toxicity, warc, whitening
+from corpusmill.llm import bpe, covertree, decontaminate, divergence, html, jaccard, language, pitman_yor, shard, substring, toxicity, warc, whitening
 
 _MODULES = {
     "op1_html_extraction": html,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_decontaminate": decontaminate,
     "op9_bpe": bpe,
     "op10_warc": warc,
+    "op11_lm_scoring": pitman_yor,
     "op12_whitening": whitening,
     "op13_divergence": divergence,
 }
