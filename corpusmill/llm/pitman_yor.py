@@ -123,24 +123,33 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 #: Nodes of y c along the cut, evenly in its logarithm.
-_CUT = np.arange(-20, 5, 0.125)
+_CUT = np.arange(-16, 4.6, 0.4)
 
 
-def stirling_near(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """log S_d(c, t) = log of c! / (t! d^t) [z^c] (1 - (1 - z)^d)^t, for many customers.
+class Stirling:
+    """log S_d(c, t) = log of c! / (t! d^t) [z^c] (1 - (1 - z)^d)^t, for many customers c, which are given once, and any t.
 
     With few tables, up to 3 c^d, the coefficient is integrated along the cut z = 1 + y; with more of them the saddle point is near enough.
     """
-    value = np.empty(len(c))
-    few = (t <= 3 * c**d) & (t <= 0.8 * c)
-    for at in np.array_split(np.flatnonzero(few), max(1, few.sum() // 4096)):
-        y = np.exp(_CUT) / c[at, None]
-        f = np.exp(t[at, None] * np.log1p(-(y**d) * np.exp(-1j * math.pi * d)) - (c[at, None] + 1) * np.log1p(y)).imag * y
-        total = f.sum(1) * (_CUT[1] - _CUT[0]) / math.pi
-        few[at[total <= 0]] = False
-        value[at] = np.log(np.maximum(total, 1e-300))
-    value[~few] = _saddle(c[~few], t[~few], d)
-    return np.where(t >= c, 0.0, value + log_gamma(c + 1.0) - log_gamma(t + 1.0) - t * math.log(d))
+
+    def __init__(self, c: np.ndarray, d: float):
+        self.c, self.d = c.astype(np.float64), d
+        y = np.exp(_CUT) / self.c[:, None]
+        base = np.log1p(-(y**d) * np.exp(-1j * math.pi * d))
+        self.real, self.angle = base.real, base.imag
+        self.weight = np.log(y * (_CUT[1] - _CUT[0]) / math.pi) - (self.c[:, None] + 1) * np.log1p(y)
+        self.few = np.minimum(3 * self.c**d, 0.8 * self.c)
+        self.log_c = log_gamma(self.c + 1)
+
+    def __call__(self, t: np.ndarray) -> np.ndarray:
+        t = t.astype(np.float64)
+        value, few = np.empty(len(t)), t <= self.few
+        n = t[few, None]
+        total = (np.exp(n * self.real[few] + self.weight[few]) * np.sin(n * self.angle[few])).sum(1)
+        value[few] = np.log(np.maximum(total, 1e-300))
+        few[few] = total > 0
+        value[~few] = _saddle(self.c[~few], t[~few], self.d)
+        return np.where(t >= self.c, 0.0, value + self.log_c - log_gamma(t + 1) - t * math.log(self.d))
 
 
 def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
@@ -165,7 +174,8 @@ class Restaurants:
         self.t = np.ones(len(c), np.int64)
         many = np.flatnonzero(c > 1)
         self.some = [many[c[many] == x] for x in np.unique(c[many]) if x <= EXACT]
-        self.large = many[c[many] > EXACT]
+        large = many[c[many] > EXACT]
+        self.large = [(at, Stirling(c[at], d)) for at in (large[0::2], large[1::2])]
         self.begun = False
 
     def tables(self) -> np.ndarray:
@@ -173,14 +183,15 @@ class Restaurants:
 
     def sweep(self, h: np.ndarray) -> None:
         """Each dish of more than one customer is drawn anew, half of them at a time given the other half. h: the parent's probability of each dish."""
-        if len(self.large) and not self.begun:
-            self._begin(h)
+        if not self.begun:
+            for at, stirling in self.large:
+                self._begin(at, stirling, h)
         self.begun = True
         for half in (0, 1):
             total = self.tables()
             for at in self.some:
                 self._draw(at[half::2], total, h)
-            self._walk(self.large[half::2], total, h)
+            self._walk(*self.large[half], total, h)
 
     def _others(self, at: np.ndarray, total: np.ndarray) -> np.ndarray:
         return self.s + self.d * np.maximum(total[self.k[at]] - self.t[at], 0)
@@ -194,29 +205,27 @@ class Restaurants:
         p = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
         self.t[at] = 1 + (p < (self.rng.random(len(at)) * p[:, -1])[:, None]).sum(1)
 
-    def _log_weight(self, at: np.ndarray, t: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        t = t.astype(np.float64)
-        return log_gamma(x / self.d + t) - log_gamma(x / self.d) + t * (math.log(self.d) + np.log(h[at])) + stirling_near(self.c[at].astype(np.float64), t, self.d)
+    def _log_weight(self, stirling: Stirling, t: np.ndarray, x: np.ndarray, log_h: np.ndarray) -> np.ndarray:
+        return log_gamma(x / self.d + t) - log_gamma(x / self.d) + t * (math.log(self.d) + log_h) + stirling(t)
 
-    def _begin(self, h: np.ndarray) -> None:
+    def _begin(self, at: np.ndarray, stirling: Stirling, h: np.ndarray) -> None:
         """Large dishes begin at the likeliest of some numbers between 1 and their customers."""
-        at, total = self.large, self.tables()
-        x, best, value = self._others(at, total), np.ones(len(at), np.int64), np.full(len(at), -np.inf)
+        x, best, value = self._others(at, self.tables()), np.ones(len(at), np.int64), np.full(len(at), -np.inf)
         for share in np.linspace(0, 1, 25):
             t = np.maximum(1, np.round(np.exp(share * np.log(self.c[at])))).astype(np.int64)
-            v = self._log_weight(at, t, x, h)
+            v = self._log_weight(stirling, t, x, np.log(h[at]))
             best, value = np.where(v > value, t, best), np.maximum(v, value)
         self.t[at] = best
 
-    def _walk(self, at: np.ndarray, total: np.ndarray, h: np.ndarray) -> None:
+    def _walk(self, at: np.ndarray, stirling: Stirling, total: np.ndarray, h: np.ndarray) -> None:
         if not len(at):
             return
-        x, wide = self._others(at, total), np.maximum(1.0, self.c[at] ** (self.d / 2))
-        now = self._log_weight(at, self.t[at], x, h)
+        x, wide, log_h = self._others(at, total), np.maximum(1.0, self.c[at] ** (self.d / 2)), np.log(h[at])
+        now = self._log_weight(stirling, self.t[at], x, log_h)
         for i in range(STEPS):
             t = self.t[at] + np.round(self.rng.normal(0, wide / 4 ** (i % 3))).astype(np.int64)
             inside = (t >= 1) & (t <= self.c[at])
-            then = self._log_weight(at, np.clip(t, 1, self.c[at]), x, h)
+            then = self._log_weight(stirling, np.clip(t, 1, self.c[at]), x, log_h)
             take = inside & (np.log(self.rng.random(len(at))) < then - now)
             self.t[at], now = np.where(take, t, self.t[at]), np.where(take, then, now)
 
