@@ -178,60 +178,6 @@ def compose(statement: pd.Series, proof: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([compose_one(s or "", p or "") for s, p in zip(statement, proof, strict=True)], columns=["code", "error"])
 
 
-def scope_at(source: str, line: int) -> dict[str, list[str]]:
-    """Namespaces, opens and variables in force at a line (F-20): a stack of namespaces and sections."""
-    stack: list[tuple[str, str, int, int]] = []
-    opens: list[str] = []
-    variables: list[str] = []
-    for text in blank_lines(source)[: max(0, line - 1)]:
-        m = re.match(r"\s*(namespace|section|end|open|variable|variables)\b\s*(.*?)\s*$", text)
-        if not m:
-            continue
-        kind, rest = m[1], m[2]
-        if kind in ("namespace", "section"):
-            stack.append((kind, rest, len(opens), len(variables)))
-        elif kind == "end":
-            if stack:
-                _, _, o, v = stack.pop()
-                del opens[o:], variables[v:]
-        elif kind == "open":
-            opens += rest.split()
-        else:
-            variables.append(rest)
-    return {"namespaces": [n for k, n, _, _ in stack if k == "namespace"], "opens": opens, "variables": variables}
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("namespaces", "opens", "variables")]))
-def scopes(source: pd.Series, line: pd.Series) -> pd.DataFrame:
-    """F-20 over columns; a null source or line has an empty scope."""
-    got = [scope_at(s or "", 0 if pd.isna(n) else int(n)) for s, n in zip(source, line, strict=True)]
-    return pd.DataFrame(got, columns=["namespaces", "opens", "variables"])
-
-
-def blank_lines(source: str) -> list[str]:
-    """Lines with comments and strings blanked, so that line numbers stay."""
-    out, depth = [], 0
-    for text in source.split("\n"):
-        kept, at = [], 0
-        for m in re.finditer(r'--|/-|-/|"(?:\\.|[^"\\])*"', text):
-            if m.start() < at:
-                continue
-            if depth:
-                depth += {"/-": 1, "-/": -1}.get(m[0], 0)
-                at = m.end()
-                continue
-            kept.append(text[at : m.start()])
-            at = m.end()
-            if m[0] == "--":
-                at = len(text)
-                break
-            depth += m[0] == "/-"
-        if not depth:
-            kept.append(text[at:])
-        out.append("".join(kept))
-    return out
-
-
 def closure(names: dict[str, list[str]], wanted: list[str]) -> list[str]:
     """All variables that the wanted ones depend on, directly or not, in their own order (F-21)."""
     need, todo = set(), list(wanted)

@@ -184,11 +184,13 @@ CONTEXT_PARTS = {
 }
 
 
-def context_hashes(df: DataFrame) -> Column:
-    """H-15: imports_hash, namespace_hash, scope_hash, variable_context_hash and context_hash of a context's columns; a field that is absent is an empty list."""
-    field = lambda c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) if c in df.columns else F.array().cast("array<string>")
+def context_hashes(df: DataFrame, inside: str | None = None) -> Column:
+    """H-15: imports_hash, namespace_hash, scope_hash, variable_context_hash and context_hash of a context's columns, or of those of a struct; a field that is absent is an empty list."""
+    kinds = {f.name: f.dataType for f in (df.schema[inside].dataType if inside else df.schema)}
+    at = lambda c: F.col(f"{inside}.{c}" if inside else c)
+    field = lambda c: F.coalesce(at(c), F.array().cast(kinds[c])) if c in kinds else F.array().cast("array<string>")
     part = lambda name: F.struct(*(field(c).alias(k) for k, c in sorted(CONTEXT_PARTS[name].items())))
-    one = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    one = lambda c: at(c).cast("string") if c in kinds else F.lit(None).cast("string")
     hashed = lambda c: hashing.exact(F.to_json(c, {"ignoreNullFields": "false"}))
     whole = F.struct(
         field("active_commands").alias("active_commands"), field("closing_commands").alias("closing_commands"), part("namespace").alias("namespace"),

@@ -341,26 +341,6 @@ def _(t):
     return taken.select("doc_id", records.context_hashes(taken).alias("x")).select("doc_id", *(f"x.{h}" for h in _HASHES))
 
 
-_SOURCE = "namespace A\nopen Nat\nsection S\nvariable (x : Nat)\n/- namespace B -/\nend S\nnamespace C\nopen Real Set -- open Foo\ntheorem t"
-by_rows(
-    "f20_scopes", "source string, line int", ["namespaces", "opens", "variables"],
-    [
-        ((_SOURCE, 1), ("", "", "")),
-        ((_SOURCE, 2), ("A", "", "")),
-        ((_SOURCE, 3), ("A", "Nat", "")),
-        ((_SOURCE, 5), ("A", "Nat", "(x : Nat)")),
-        ((_SOURCE, 6), ("A", "Nat", "(x : Nat)")),
-        ((_SOURCE, 7), ("A", "Nat", "")),
-        ((_SOURCE, 9), ("A|C", "Nat|Real|Set", "")),
-        ((_SOURCE, 99), ("A|C", "Nat|Real|Set", "")),
-        (("end\nend\nopen X\nt", 4), ("", "X", "")),
-        (("variables {a} [b]\n\"namespace Q\nt", 3), ("", "", "{a} [b]")),
-        (("", 1), ("", "", "")),
-        ((None, None), ("", "", "")),
-    ],
-    lambda: _joined(scanner.scopes(F.col("source"), F.col("line")), "namespaces", "opens", "variables"),
-)
-
 _NAMES = ["a", "b", "c", "d", "e"]
 by_rows(
     "f21_dependencies", "names array<string>, needs array<array<string>>, wanted array<string>", ["needed"],

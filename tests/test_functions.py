@@ -54,10 +54,7 @@ def test_compose():
     assert scanner.compose_one("theorem t : a", " ")[1] == "empty proof RHS"
 
 
-def test_scope_and_closure():
-    src = "namespace A\nopen Nat\nsection\nvariable (x : Nat)\n/- namespace B -/\nend\nnamespace C\ntheorem t"
-    assert scanner.scope_at(src, 5)["variables"] == ["(x : Nat)"]
-    assert scanner.scope_at(src, 8) == {"namespaces": ["A", "C"], "opens": ["Nat"], "variables": []}
+def test_closure():
     assert scanner.closure({"a": [], "b": ["a"], "c": ["b"], "d": []}, ["c"]) == ["a", "b", "c"]
 
 
