@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text
+
 K_VALUES = (1, 4, 8, 16, 32)
 # fixed values: error patterns, in the order in which they are tried
 API = {
@@ -119,7 +121,7 @@ def step_scale(effective: Column, slots: int = 16, most: float = 1.5) -> Column:
 
 def reward(proof: Column, forbidden: Column, compiled: Column, tokens: Column, reference_tokens: Column) -> Column:
     """F-34: the components format, compile and brevity, and their sum; brevity is the share by which a compiled proof is shorter."""
-    formed = (F.trim(F.coalesce(proof, F.lit(""))) != "") & ~forbidden
+    formed = (text.strip(F.coalesce(proof, F.lit(""))) != "") & ~forbidden
     shorter = compiled & (reference_tokens > 0) & (tokens < reference_tokens)
     parts = {
         "format": F.when(formed, FORMAT).otherwise(0.0),
@@ -188,7 +190,7 @@ def diagnostics_status(message: Column, **flags: Column) -> Column:
     """
     case = lambda status, detail: F.struct(F.lit(status).alias("status"), F.lit(detail).alias("detail"))
     flag = lambda name: flags.get(name, F.lit(False))
-    message = F.trim(F.coalesce(message, F.lit("")))
+    message = text.strip(F.coalesce(message, F.lit("")))
     environment = flag("environment_error") | message.rlike(_ENVIRONMENT)
     cases = [
         (flag("success"), case("success", "none")),

@@ -146,3 +146,22 @@ def routes(attempts: DataFrame) -> DataFrame:
         F.count_if(F.expr("success and place <= 8")).alias("initial"), F.count_if("success").alias("total"), F.count("*").alias("attempts")
     )
     return each.withColumn("route", scoring.screen_route(F.col("initial"), F.col("total"), F.col("attempts")))
+
+
+def staged(receipts: dict[str, DataFrame], stages: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """U-01: the receipts of all stages (name, offset, attempts a problem), numbered on from stage to stage; the number within the stage stays as source_attempt_index."""
+    out = None
+    for name, offset, _ in stages:
+        part = receipts[name].withColumns({"source_attempt_index": F.col("attempt_index"), "stage": F.lit(name)}).withColumn("attempt_index", (F.col("attempt_index") + offset).cast("int"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stage_violations(merged: DataFrame, stages: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """U-01: (problem_id, attempt_index, stage, reason) of what `staged` may not hold: numbers outside a stage, attempts there twice, problems with too few or many."""
+    wanted = F.create_map(*(F.lit(x) for name, _, n in stages for x in (name, n)))[F.col("stage")]
+    row = lambda df, index, reason: df.select("problem_id", index.cast("int").alias("attempt_index"), "stage", F.lit(reason).alias("reason"))
+    outside = row(merged.where((F.col("source_attempt_index") < 0) | (F.col("source_attempt_index") >= wanted) | F.col("source_attempt_index").isNull()), F.col("attempt_index"), "invalid local attempt")
+    twice = merged.groupBy("problem_id", "attempt_index").agg(F.count("*").alias("n"), F.min("stage").alias("stage")).where("n > 1")
+    counts = merged.groupBy("problem_id", "stage").agg(F.count("*").alias("n")).where(F.col("n") != wanted)
+    return outside.unionByName(row(twice, F.col("attempt_index"), "duplicate merged attempt")).unionByName(row(counts, F.lit(None), "incomplete per-problem attempt set"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text
+
 
 class GateError(ValueError):
     """A gate had violations."""
@@ -49,8 +51,10 @@ LEAK_FIELDS = {
         "reference_proof_length_characters", "reference_proof_length_lines", "has_reference_proof",
     ),
 }
-#: Where a column that is there is enough; elsewhere only a value that is not blank.
+#: Where a column that is there is enough; elsewhere a value is needed.
 BY_COLUMN = frozenset({"trainer"})
+#: Where any value that is not null is enough, a blank one too.
+BY_VALUE = frozenset({"reference_only"})
 
 
 def leaked_fields(df: DataFrame, place: str) -> Column:
@@ -60,7 +64,8 @@ def leaked_fields(df: DataFrame, place: str) -> Column:
         return F.array().cast("array<string>")
     if place in BY_COLUMN:
         return F.array(*map(F.lit, fields))
-    return F.array_compact(F.array(*(F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "", F.lit(c)) for c in fields)))
+    given = lambda c: F.col(c).isNotNull() if place in BY_VALUE else text.strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+    return F.array_compact(F.array(*(F.when(given(c), F.lit(c)) for c in fields)))
 
 
 def leakage_violations(overlaps: DataFrame, **allowed: bool) -> DataFrame:

@@ -15,7 +15,8 @@ def levels(candidates: DataFrame, protected: DataFrame, keys: dict[int, str], id
         out = out.join(known, F.col(key).eqNullSafe(F.col(f"__k{level}")), "left").withColumn(f"__hit{level}", F.col(f"__k{level}").isNotNull()).drop(f"__k{level}")
     found = F.array_compact(F.array(*(F.when(F.col(f"__hit{k}"), F.lit(k)) for k in keys)))
     out = out.withColumn("levels", found).drop(*(f"__hit{k}" for k in keys))
-    return out.withColumn("removed", F.max(F.size("levels") > 0).over(W.partitionBy(group)))
+    gone = out.where(F.size("levels") > 0).select(F.col(group).alias("__group")).distinct()  # joined, so a large group is not in one task
+    return out.join(gone, F.col(group).eqNullSafe(F.col("__group")), "left").withColumn("removed", F.col("__group").isNotNull()).drop("__group")
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float = 0.9) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scoring
+from corpusmill.operators.places import placed
 from corpusmill.sources.shared import materialise
 
 
@@ -87,12 +88,14 @@ def shaped(success: Column, successes: Column, attempts: Column, factor: Column,
 def lagged_scale(df: DataFrame, group: str, value: str, per_window: int = 16, decay: float = 0.9, initial: float = 0.5, epsilon: float = 1e-4) -> DataFrame:
     """W-11, T-07 in batch: window w is scaled by an average of the root mean squares of the windows before it.
 
+    A window is so many groups, counted as they come in the order of their ids; only the last one can be short.
     A window takes the scale s to decay s + (1 - decay) rms, or leaves it if it is short; BLOCK windows together
     take it to p s + q. So blocks are folded side by side, their (p, q), one row each, in order, and then each
     block once more from the scale it begins with.
     """
-    sums = df.groupBy(F.floor(F.col(group) / per_window).alias("window_id")).agg(
-        F.greatest(F.sqrt(F.sum(F.col(value) * F.col(value)) / F.count("*")), F.lit(epsilon)).alias("rms"), F.count_distinct(group).alias("groups")
+    each = df.groupBy(group).agg(F.sum(F.col(value) * F.col(value)).alias("squares"), F.count("*").alias("n"))
+    sums = placed(each, group).groupBy(F.floor((F.col("place") - 1) / per_window).alias("window_id")).agg(
+        F.greatest(F.sqrt(F.sum("squares") / F.sum("n")), F.lit(epsilon)).alias("rms"), F.count("*").alias("groups")
     )
     blocks = sums.groupBy(F.floor(F.col("window_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("window_id", "rms", "groups"))).alias("w"))
     blocks = materialise(blocks, "windows")

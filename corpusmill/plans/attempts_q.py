@@ -284,7 +284,8 @@ def _(t):
 
 @query("w11_lagged_scale", """
 WITH RECURSIVE {ATT}, x AS (SELECT problem_id, CASE WHEN success THEN 1.0 ELSE 0.0 END - avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY problem_id) AS v FROM att),
-s AS (SELECT problem_id // 16 AS w, greatest(sqrt(sum(v * v) / count(*)), 0.0001) AS rms, count(DISTINCT problem_id) AS g FROM x GROUP BY 1),
+y AS (SELECT *, (dense_rank() OVER (ORDER BY problem_id) - 1) // 16 AS w FROM x),
+s AS (SELECT w, greatest(sqrt(sum(v * v) / count(*)), 0.0001) AS rms, count(DISTINCT problem_id) AS g FROM y GROUP BY 1),
 o AS (SELECT *, row_number() OVER (ORDER BY w) AS i FROM s),
 r AS (SELECT i, w, rms, g, CAST(0.5 AS DOUBLE) AS scale FROM o WHERE i = 1 UNION ALL
   SELECT o.i, o.w, o.rms, o.g, CASE WHEN r.g < 16 THEN r.scale ELSE 0.9 * r.scale + (1 - 0.9) * r.rms END FROM r JOIN o ON o.i = r.i + 1)
@@ -352,16 +353,27 @@ def _(t):
     return _round(t.attempts.agg(e.alias("extraction"), l.alias("length_ratio"), ((e >= 0.9) & (l <= 0.3)).alias("passed")), "extraction", "length_ratio")
 
 
-@query("u01_staged_receipts", """
-WITH {ATT} SELECT problem_id, CAST(attempt_index % 8 + CASE WHEN attempt_index < 8 THEN 0 WHEN attempt_index < 16 THEN 8 ELSE 16 END AS INT) AS attempt_index,
-  CASE WHEN attempt_index < 8 THEN 'pass8' WHEN attempt_index < 16 THEN 'pass16' ELSE 'pass32' END AS stage, success FROM att WHERE attempt_index < 24""")
+#: Stages of a merge of receipts: name, where its attempts begin, how many a problem has in it.
+STAGES = (("pass8", 0, 8), ("pass16", 8, 8), ("pass32", 16, 16))
+_STAGED = """st AS (SELECT problem_id, attempt_index, success, CASE WHEN attempt_index < 8 THEN 'pass8' WHEN attempt_index < 16 THEN 'pass16' ELSE 'pass32' END AS stage,
+  attempt_index - CASE WHEN attempt_index < 8 THEN 0 WHEN attempt_index < 16 THEN 8 ELSE 16 END AS source_attempt_index FROM att)"""
+
+
+def _receipts(t):
+    """The attempts as the receipts of each stage, numbered from 0 in each."""
+    return {name: t.attempts.where((F.col("attempt_index") >= begin) & (F.col("attempt_index") < begin + n)).withColumn("attempt_index", F.col("attempt_index") - begin) for name, begin, n in STAGES}
+
+
+@query("u01_staged_receipts", f"WITH {{ATT}}, {_STAGED} SELECT problem_id, CAST(attempt_index AS INT) AS attempt_index, CAST(source_attempt_index AS INT) AS source_attempt_index, stage, success FROM st")
+def _(t):
+    return A.staged(_receipts(t), STAGES).select("problem_id", "attempt_index", "source_attempt_index", "stage", "success")
+
+
+@query("u01_stage_violations", f"""
+WITH {{ATT}}, {_STAGED}, n AS (SELECT problem_id, stage, count(*) AS n FROM st GROUP BY 1, 2)
+SELECT problem_id, CAST(NULL AS INT) AS attempt_index, stage, 'incomplete per-problem attempt set' AS reason FROM n WHERE n <> CASE stage WHEN 'pass32' THEN 16 ELSE 8 END""")
 def _(t):
-    a, out = t.attempts, None
-    for stage, offset in (("pass8", 0), ("pass16", 8), ("pass32", 16)):
-        part = a.where((F.col("attempt_index") >= offset) & (F.col("attempt_index") < offset + 8)).withColumn("attempt_index", F.col("attempt_index") % 8)
-        part = part.select("problem_id", (F.col("attempt_index") + offset).alias("attempt_index"), F.lit(stage).alias("stage"), "success")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return A.stage_violations(A.staged(_receipts(t), STAGES), STAGES)
 
 
 @query("k07_success_projection", """

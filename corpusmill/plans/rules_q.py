@@ -82,6 +82,7 @@ by_rows(
         (_run("unsolved goals", "success"), ("success", "none")),
         (_run("unsolved goals", "timed_out", "internal_error"), ("timeout", "timeout")),
         (_run("  ", "extraction_error"), ("extraction_error", "empty_generation")),
+        (_run("\n\t\u00a0", "extraction_error"), ("extraction_error", "empty_generation")),
         (_run("two fences", "extraction_error"), ("extraction_error", "proof_extraction_failed")),
         (_run("sorry", "forbidden_token"), ("forbidden_token", "forbidden_declaration")),
         (_run("", "environment_error"), ("environment_error", "environment_unavailable")),
@@ -199,11 +200,11 @@ def _leaks(place: str, rows: Sequence[tuple[tuple, str]]) -> None:
         return taken.select("doc_id", F.array_join(gates.leaked_fields(taken, place), ",").alias("leaked"))
 
 
-_GIVEN = [(None,) * 5, ("p", None, None, None, None), ("  ", "c", " ", None, "h"), (None, None, "t", "r", None), ("p", "c", "t", "r", "h")]
+_GIVEN = [(None,) * 5, ("p", None, None, None, None), (" \n\t", "c", "\n", None, "h"), (None, None, "t", "r", None), ("p", "c", "t", "r", "h")]
 _leaks("benchmark", list(zip(_GIVEN, ["", "proof", "completion", "text,reference_proof", "proof,completion,text,reference_proof"], strict=True)))
 _leaks("rollout", list(zip(_GIVEN, ["", "proof", "completion", "reference_proof", "proof,completion,reference_proof"], strict=True)))
 _leaks("trainer", [(g, "proof,completion,text,reference_proof") for g in _GIVEN])
-_leaks("reference_only", list(zip(_GIVEN, ["", "proof", "completion,reference_proof_hash", "reference_proof", "proof,completion,reference_proof,reference_proof_hash"], strict=True)))
+_leaks("reference_only", list(zip(_GIVEN, ["", "proof", "proof,completion,reference_proof_hash", "reference_proof", "proof,completion,reference_proof,reference_proof_hash"], strict=True)))
 
 
 @query("v21_leakage_policy", """

@@ -220,15 +220,6 @@ def _(t):
     return gates.mismatched(rows("turn"), rows(F.desc("turn")), "row_index", "role")
 
 
-@query("j07_structural_matches", r"""
-WITH d AS (SELECT doc_id, 'x' || doc_id % 40 AS s FROM documents), p AS (SELECT DISTINCT 'x' || item_id AS s FROM benchmark WHERE item_id % 2 = 0)
-SELECT doc_id FROM d WHERE s IN (SELECT s FROM p)""")
-def _(t):
-    s = lambda i: hashing.structural(F.concat(F.lit("theorem name"), F.col(i), F.lit(" : x"), F.col(i) % 40, F.lit(" = 1 :=")))
-    p = t.benchmark.where("item_id % 2 = 0 and item_id < 40").select(s("item_id").alias("h")).distinct()
-    return t.documents.select("doc_id", s("doc_id").alias("h")).join(p, "h", "left_semi").select("doc_id")
-
-
 @query("f12_composed_theorems", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'theorem t : a = b := by' || chr(10) || '  simp' || chr(10) || '  ring' WHEN 1 THEN 'theorem t : a = b := fun x => x' END AS code, CASE WHEN doc_id % 3 = 2 THEN 'empty proof RHS' END AS error FROM documents")
 def _(t):
     p = F.when(F.col("doc_id") % 3 == 0, "simp\nring").when(F.col("doc_id") % 3 == 1, ":= fun x => x").otherwise(" ")
@@ -327,10 +318,3 @@ SELECT lang, v[CAST(round_even((n - 1) * 0.9, 0) AS INT) + 1] AS half_even, v[CA
 def _(t):
     g = t.documents.groupBy("lang").agg(F.sort_array(F.collect_list("n_chars")).alias("v"))
     return g.select("lang", stats.half_even(F.col("v"), 0.9).alias("half_even"), stats.floor(F.col("v"), 0.9).alias("floor90"), stats.ceil(F.col("v"), 0.9).alias("ceil90"))
-
-
-@query("j09_group_removal", "SELECT lang AS theorem_group_id, count(*) AS removed FROM documents WHERE lang IN (SELECT lang FROM documents WHERE doc_id IN (SELECT doc_id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id < 3))) GROUP BY 1")
-def _(t):
-    d = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("theorem_group_id"), hashing.exact(F.col("text")).alias("k1"))
-    out = leakage.levels(d, d.where("id < 3"), {1: "k1"})
-    return out.where("removed").groupBy("theorem_group_id").agg(F.count("*").alias("removed"))

@@ -36,8 +36,7 @@ def _halves(df, *columns):
 _HALVES = "sha256(left(text, length(text) // 2)) AS s, sha256(substr(text, length(text) // 2 + 1)) AS p"
 
 
-@query("j06_leakage_levels")
-def _(t):
+def _leaks(t, *levels):
     """Protected: all of benchmark, and the documents that labels hold for evaluation; level 0 by id, 1 by exact and 2 by normalised text."""
     keys = lambda df, kind, id_, *more: text.nfc(df.withColumn("k1", hashing.exact(F.col("text"))), "text").select(
         *more, F.concat(F.lit(kind), F.col(id_)).alias("k0"), "k1", hashing.normalized(F.col("text")).alias("k2"), hashing.theorem_group(F.col("text")).alias("theorem_group_id")
@@ -45,8 +44,25 @@ def _(t):
     c = keys(t.documents, "documents:", "doc_id", F.col("doc_id").alias("id"))
     held = c.join(t.labels.select(F.col("doc_id").alias("id")), "id", "left_semi").drop("id")  # the hashes are shuffled, not the texts
     protected = keys(t.benchmark, "benchmark:", "item_id").unionByName(held)
-    out = leakage.levels(c, protected, {0: "k0", 1: "k1", 2: "k2"})
-    return out.select("id", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), "removed")
+    return leakage.levels(c, protected, {k: f"k{k}" for k in levels})
+
+
+@query("j06_leakage_levels")
+def _(t):
+    return _leaks(t, 0, 1, 2).select("id", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), "removed")
+
+
+@query("j09_group_removal")
+def _(t):
+    """Whole groups that go because one of their members is protected by id, text or normalised text."""
+    return _leaks(t, 0, 1, 2).where("removed").groupBy("theorem_group_id").agg(F.count("*").alias("removed"))
+
+
+@query("j07_structural_matches")
+def _(t):
+    """Documents whose tokens, without kind and name of the declaration, are those of a benchmark item."""
+    form = lambda df, i: text.nfc(df.select(i, "text"), "text").select(i, hashing.structural(F.col("text")).alias("h"))
+    return form(t.documents, "doc_id").join(form(t.benchmark, "item_id").select("h").distinct(), "h", "left_semi").select("doc_id")
 
 
 @query("h13_token_jaccard", r"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text
 from corpusmill.operators.gates import enforce
 
 # fixed values: roles of protected files, in the order in which they are tried
@@ -83,7 +84,7 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """I-08: fails on a line that isn't a JSON object."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(text.strip(F.col("value")) != "")
     enforce(lines.where(F.coalesce(~F.col("value").rlike(r"^\s*\{"), F.lit(True)) | F.from_json("value", "map<string,string>").isNull()), f"{path} has lines that are not objects")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -131,7 +132,7 @@ def benchmark(spark: SparkSession, path: str, schema: str, limit: int | None = N
 def rollout(rows: DataFrame, kind: str) -> DataFrame:
     """I-16: minimal sft or grpo rows (row_index, id, prompt, ...); proofs are hidden or refused, repeated ids get their index."""
     if kind == "grpo" and "proof" in rows.columns:
-        enforce(rows.where("proof is not null and trim(proof) <> ''").select("id"), "grpo rows carry proofs")
+        enforce(rows.where(text.strip(F.col("proof")) != "").select("id"), "grpo rows carry proofs")
     again = F.row_number().over(W.partitionBy("id").orderBy("row_index")) > 1
     named = rows.withColumn("id", F.when(again, F.concat_ws("-", "id", "row_index")).otherwise(F.col("id")))
     return named.drop("completion", "proof")

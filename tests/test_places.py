@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import places, traces
+from corpusmill.operators import attempts, places, traces
 from corpusmill.operators import selection as S
 
 
@@ -90,12 +90,27 @@ def test_weighted_draws_follow_the_weights(spark):
 def test_lagged_scale_is_a_fold(spark, monkeypatch):
     monkeypatch.setattr(traces, "BLOCK", 3)
     rnd = random.Random(9)
-    data = [(g, rnd.uniform(-1, 1)) for g in range(16 * 11 + 5) for _ in range(4) if g % 37]
+    ids = [g + 10**9 * (g % 5) for g in range(16 * 11 + 5) if g % 37]  # far apart: a window is so many groups, not so many ids
+    data = [(g, rnd.uniform(-1, 1)) for g in ids for _ in range(1 + g % 3)]
     got = {r.window_id: r.scale for r in traces.lagged_scale(spark.createDataFrame(data, "g long, v double"), "g", "v").collect()}
     scale, want = 0.5, {}
-    for w in range(12):
-        own = [(g, v) for g, v in data if g // 16 == w]
+    ids.sort()
+    for w in range(math.ceil(len(ids) / 16)):
+        members = set(ids[16 * w : 16 * w + 16])
+        own = [v for g, v in data if g in members]
         want[w] = scale
-        if len({g for g, _ in own}) == 16:
-            scale = 0.9 * scale + 0.1 * max(1e-4, math.sqrt(sum(v * v for _, v in own) / len(own)))
+        if len(members) == 16:
+            scale = 0.9 * scale + 0.1 * max(1e-4, math.sqrt(sum(v * v for v in own) / len(own)))
     assert got.keys() == want.keys() and all(math.isclose(got[w], want[w], rel_tol=1e-12) for w in want)
+
+
+def test_stages_and_what_breaks_them(spark):
+    stages = (("pass8", 0, 2), ("pass16", 2, 2), ("pass32", 4, 3))
+    rows = lambda *xs: spark.createDataFrame([(p, i, True) for p, i in xs], "problem_id long, attempt_index int, success boolean")
+    given = {"pass8": rows((1, 0), (1, 1), (2, 0), (2, 0)), "pass16": rows((1, 0), (1, 1), (2, 0), (2, 2)), "pass32": rows((1, 0), (1, 1), (1, 2), (2, 0))}
+    merged = attempts.staged(given, stages)
+    assert sorted((r.problem_id, r.attempt_index) for r in merged.collect() if r.problem_id == 1) == [(1, i) for i in range(7)]
+    got = {(r.problem_id, r.attempt_index, r.stage, r.reason) for r in attempts.stage_violations(merged, stages).collect()}
+    assert got == {
+        (2, 4, "pass16", "invalid local attempt"), (2, 0, "pass8", "duplicate merged attempt"), (2, 4, "pass16", "duplicate merged attempt"), (2, None, "pass32", "incomplete per-problem attempt set"),
+    }

@@ -117,3 +117,12 @@ def test_text_operators_read_the_texts(tables):
     assert groups[0] != groups[4] and groups[1] != groups[2]
     prints = run("h11_structural_fingerprints")
     assert prints[0] != prints[4] and prints[1] != prints[2]
+
+
+def test_groups_go_whole_and_structures_match(tables):
+    documents = ("doc_id long, text string", [(1, "theorem a : x = 1 := by simp"), (2, "theorem b : x = 1 := by simp"), (3, "theorem c : y := z"), (4, None), (5, "theorem q : x =  1 :="), (50, "lemma e : x = 1 := ring")])
+    rest = {"benchmark": ("item_id long, text string", [(7, "theorem a : x = 1 := by simp"), (9, "theorem zz : y := z")]), "labels": ("doc_id long, quality int", [(3, 1)])}
+    matches = {r.doc_id for r in tables("j07_structural_matches", documents=documents, **rest)}
+    assert matches == {1, 2, 3}
+    gone = {r.theorem_group_id: r.removed for r in tables("j09_group_removal")}
+    assert sum(gone.values()) == 3 and sorted(gone.values()) == [1, 2]
