@@ -46,6 +46,8 @@ BITS = 1024
 CHUNK, BUCKET = 12 << 20, 12 << 20
 #: Up to this many sets that share a signature are paired at once; so many members of a larger group are tested together.
 SMALL, BLOCK = 8, 1024
+#: Smallest groups of a set that go with it, so that two sets which share several groups are a pair in the first of them only.
+LOWEST = 16
 #: Rows of names (of 24 bytes) that are sent to every task; beyond it the texts go to the names.
 SENT = 1_000_000
 #: Bits of a signature that are kept.
@@ -389,14 +391,28 @@ def _apart(percent: int, p: np.ndarray, n: np.ndarray, bits: np.ndarray, left: n
         yield u[fits], v[fits]
 
 
+def _met_before(u: np.ndarray, v: np.ndarray, low: np.ndarray, g: int) -> np.ndarray:
+    """Whether two sets share a group below g, as far as their lowest groups tell; never so in the lowest group that they share."""
+    out = np.zeros(len(u), bool)
+    for at in range(0, len(u), 1 << 15):
+        x, y = low[u[at : at + (1 << 15)]], low[v[at : at + (1 << 15)]]
+        out[at : at + (1 << 15)] = ((x[:, :, None] == y[:, None, :]) & (x < g)[:, :, None]).any((1, 2))
+    return out
+
+
 def _close(percent: int):
-    """(a, b): pairs of a group's members, in different components, that parity bits do not rule out."""
+    """(a, b): pairs of a group's members, in different components, that parity bits do not rule out and that no lower group has."""
 
     def run(rows: pa.Table) -> pa.Table:
         col = lambda c: rows.column(c).to_numpy()
         order = np.lexsort((col("sid"), col("y"), col("x"), col("g")))
         g, x, y, own, sid, p, n = (col(c)[order] for c in ("g", "x", "y", "own", "sid", "p", "n"))
         bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(order), -1)[order]
+        lists = rows.column("low").combine_chunks()
+        low = np.full((len(order), LOWEST), np.iinfo(np.int64).max)
+        sizes = np.diff(lists.offsets.to_numpy())
+        low[np.repeat(np.arange(len(order)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
+        low = low[order]
         begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
         found = []
         for a, b in zip(begin, np.append(begin[1:], len(g)), strict=True):
@@ -405,7 +421,9 @@ def _close(percent: int):
                 got = _apart(percent, p, n, bits, at, None)
             else:
                 got = _apart(percent, p, n, bits, at[own[a:b] == x[a]], at[own[a:b] == y[a]])
-            found += [np.stack([np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v])], 1) for u, v in got if len(u)]
+            for u, v in got:
+                new = ~_met_before(u, v, low, g[a])
+                found.append(np.stack([np.minimum(sid[u[new]], sid[v[new]]), np.maximum(sid[u[new]], sid[v[new]])], 1))
         two = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(two[:, 0]), "b": pa.array(two[:, 1])})
 
@@ -413,11 +431,16 @@ def _close(percent: int):
 
 
 def _between(part: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): what members of groups (g, sid, p, n, bits) may link with members of other components p; large groups in pairs of blocks."""
+    """(a, b): what members of groups (g, sid, p, n, bits) may link with members of other components p; large groups in pairs of blocks.
+
+    Sets of one cluster share many groups; a pair leaves the lowest of those only (and seldom another), whatever their number.
+    """
+    lowest = part.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("g")), 1, LOWEST).alias("low"))
+    part = part.join(lowest, "sid")
     sizes = part.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     buckets = spread(192 * part.count(), 4 << 20, shuffle_partitions(part.sparkSession))
     cut = part.join(sizes, "g").withColumn("own", F.expr("cast(pmod(xxhash64(sid), k) as int)"))
-    cut = cut.selectExpr("*", "explode(sequence(0, k - 1)) as other").selectExpr("g", "least(own, other) as x", "greatest(own, other) as y", "own", "sid", "p", "n", "bits")
+    cut = cut.selectExpr("*", "explode(sequence(0, k - 1)) as other").selectExpr("g", "least(own, other) as x", "greatest(own, other) as y", "own", "sid", "p", "n", "bits", "low")
     cut = cut.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(g, x, y), {buckets}) as int)"))
     return cut.groupBy("bucket").applyInArrow(_close(percent), "a long, b long").distinct()
 
