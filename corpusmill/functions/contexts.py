@@ -191,3 +191,84 @@ def state_locals(state: str | None) -> dict:
 @F.pandas_udf(LOCALS)
 def locals_of(state: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([state_locals(s) for s in state], columns=LOCALS.names)
+
+
+# fixed values: what an identifier is, brackets of binders, and the one class whose space may come in by its measure's notation
+IDENTIFIER = re.compile(r"(?:[^\W\d]|_)[\w']*")
+PAIRS = {"(": ")", "{": "}", "[": "]"}
+SPACE, SPACE_SIGNS = "MeasurableSpace", ("Measure ", "∂", "μ")
+_UNIVERSE = re.compile(r"(?:\bType\s+|\.\{)([a-z][A-Za-z0-9_]*)")
+
+
+def balanced(fragment: str) -> bool:
+    """F-22: every bracket closes the one that was opened last."""
+    open_: list[str] = []
+    for mark in re.findall(r"[(){}\[\]]", fragment):
+        if mark in PAIRS:
+            open_.append(PAIRS[mark])
+        elif not open_ or open_.pop() != mark:
+            return False
+    return not open_
+
+
+def bound_names(statement: str) -> set[str]:
+    """F-22: names before the first colon of each outermost binder; only its own kind of bracket counts within it."""
+    out: set[str] = set()
+    at = 0
+    while first := re.compile(r"[({\[]").search(statement, at):
+        depth, colon, at = 0, None, len(statement)
+        for m in re.compile(rf"[{re.escape(first[0] + PAIRS[first[0]])}:]").finditer(statement, first.start()):
+            if m[0] == ":":
+                colon = m.start() if depth == 1 and colon is None else colon
+                continue
+            depth += 1 if m[0] == first[0] else -1
+            if not depth:
+                at = m.end()
+                break
+        if not depth and colon is not None:
+            out.update(IDENTIFIER.findall(statement, first.end(), colon))
+    return out
+
+
+def needed(statement: str | None, variables: list[dict], instances: list[str]) -> dict:
+    """F-21: the section variables that a declaration needs, those that their types name and so on, then instances and universes that go with them."""
+    statement = statement or ""
+    rows = [(v["name"] or "", v["type"] or "") for v in variables]
+    names = {n for n, _ in rows if n}
+    uses: dict[str, set[str]] = {}
+    for n, kind in rows:
+        uses.setdefault(n, set()).update(names.intersection(IDENTIFIER.findall(kind)))
+    closed: set[str] = set()
+    todo = names.intersection(IDENTIFIER.findall(statement)) - bound_names(statement)
+    while todo:
+        closed |= todo
+        todo = set().union(*(uses[n] for n in todo)) - closed
+    chosen = set(closed)
+    for n, kind in rows:
+        kind = kind.strip()
+        if kind.startswith(f"{SPACE} ") and any(x in statement for x in SPACE_SIGNS) and set(IDENTIFIER.findall(kind)) - {SPACE} <= chosen:
+            chosen.add(n)
+    own = [i.strip() for i in instances if balanced(i.strip()) and chosen.intersection(IDENTIFIER.findall(i))]
+    texts = [kind for n, kind in rows if n in chosen] + own
+    order = lambda some: list(dict.fromkeys(n for n, _ in rows if n in some))
+    return {"closed": order(closed), "names": order(chosen), "instances": own, "universes": sorted({u for x in texts for u in _UNIVERSE.findall(x)})}
+
+
+NEEDED = T.StructType([T.StructField(c, _STRINGS) for c in ("closed", "names", "instances", "universes")])
+
+
+@F.pandas_udf(NEEDED)
+def needed_variables(statement: pd.Series, variables: pd.Series, instances: pd.Series) -> pd.DataFrame:
+    listed = lambda x: [] if x is None else list(x)
+    return pd.DataFrame([needed(s, listed(v), listed(i)) for s, v, i in zip(statement, variables, instances, strict=True)], columns=NEEDED.names)
+
+
+@F.pandas_udf(_STRINGS)
+def free_names(statement: pd.Series) -> pd.Series:
+    """Identifiers of a statement that it does not bind itself."""
+    return pd.Series([sorted(set(IDENTIFIER.findall(s or "")) - bound_names(s or "")) for s in statement])
+
+
+@F.pandas_udf(_STRINGS)
+def identifiers(fragment: pd.Series) -> pd.Series:
+    return pd.Series([sorted(set(IDENTIFIER.findall(s or ""))) for s in fragment])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import contexts as C
 from corpusmill.functions import hashing, scanner, text
 from corpusmill.operators.records import context_hashes
+from corpusmill.sources.shared import materialise
 
 # fixed values: what a partial context warns of
 PARTIAL_WARNINGS = (
@@ -154,3 +155,23 @@ def assembled(df: DataFrame) -> DataFrame:
     none = F.size(active) == 0
     parts = F.concat(F.when(none, own).otherwise(active), F.array("_x.code"), F.when(none, each(F.reverse(spaces), "end ")).otherwise(closing))
     return df.withColumns({"assembled": F.when(F.col("_x.error").isNull(), text.strip(F.array_join(parts, "\n\n"))), "assembly_error": F.col("_x.error")}).drop("_x")
+
+
+def needed_by_joins(df: DataFrame, key: str) -> DataFrame:
+    """F-21 as an iterated join: (key, name) of the variables that each row's statement needs, of df (key, statement, variables).
+
+    Round by round the names that the types of the last round's variables use are added, until none is new;
+    rounds are as many as the longest chain of types, and each is written, so the plan stays small.
+    """
+    rows = df.select(key, F.explode("variables").alias("v")).select(key, F.col("v.name").alias("name"), F.col("v.type").alias("type")).where("name <> ''")
+    names = rows.select(key, "name").distinct()
+    uses = rows.select(key, "name", F.explode(C.identifiers("type")).alias("to")).distinct()
+    uses = materialise(uses.join(names.withColumnRenamed("name", "to"), [key, "to"], "left_semi"), "uses")
+    last = df.select(key, F.explode(C.free_names("statement")).alias("name")).distinct()
+    last = materialise(last.join(names, [key, "name"], "left_semi"), "needed")
+    every = last
+    while not last.isEmpty():
+        found = uses.join(last, [key, "name"]).select(key, F.col("to").alias("name")).distinct()
+        last = materialise(found.join(every, [key, "name"], "left_anti"), "needed")
+        every = materialise(every.unionByName(last), "needed")
+    return every

@@ -94,3 +94,23 @@ def _(t):
     )
     x = K.from_states(kept, steps).select("record_id", "context.*")
     return x.select("record_id", *(F.array_join(F.transform(c, lambda v: F.concat_ws(":", v["name"], v["type"], v["binder"])), ";").alias(c) for c in ("variables", "hypotheses")), F.array_join("local_instances", ";").alias("instances"), F.array_join("recovery_sources", ",").alias("recovery_sources"), "source_hash")
+
+
+def _statements(t):
+    """(doc_id, statement, variables, local_instances): a statement over some of the names that a file's variables have, and the variables in force where it stands."""
+    lines = t.documents.select("doc_id", _lines().alias("lines"))
+    x = lines.select("doc_id", "lines", C.contexts(F.array_join("lines", "\n"), (F.size("lines") + 1).cast("int")).alias("x"))
+    names = F.filter(F.transform("x.variables", lambda v: v["name"]), lambda n: F.pmod(F.xxhash64(n), F.lit(3)) == 0)
+    statement = F.concat(F.lit("theorem t (x : Nat) {"), F.coalesce(F.get(names, F.lit(0)), F.lit("y")), F.lit(" : Type u} : "), F.array_join(names, " = "), F.lit(" μ"))
+    return x.select("doc_id", statement.alias("statement"), "x.variables", "x.local_instances")
+
+
+@query("f21_needed_variables")
+def _(t):
+    x = _statements(t).select("doc_id", C.needed_variables("statement", "variables", "local_instances").alias("x"))
+    return x.select("doc_id", *(F.array_join(f"x.{c}", "|").alias(c) for c in C.NEEDED.names))
+
+
+@query("f21_needed_by_joins")
+def _(t):
+    return K.needed_by_joins(_statements(t), "doc_id")

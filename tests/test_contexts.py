@@ -190,3 +190,45 @@ def test_partial_contexts_are_never_replayed(spark):
 
 def test_empty_tables(spark):
     assert K.assembled(K.applied(K.from_sources(spark.createDataFrame([], RECORD)), "e")).isEmpty()
+
+
+def test_bound_names_and_brackets():
+    assert C.bound_names("theorem t (a b : Nat) {c : (d : e)} [Inst f] [g : H] (no colon) (i : j : k") == {"a", "b", "c", "g"}
+    assert C.bound_names("(x [y : z] : w)") == {"x", "y"} and C.bound_names("") == set()
+    assert [C.balanced(x) for x in ("", "(a {b} [c])", "(]", "(", ")", "([)]", "a")] == [True, True, False, False, False, False, True]
+
+
+def brute_needed(statement, variables):
+    free = set(re.findall(r"(?:[^\W\d]|_)[\w']*", statement)) - C.bound_names(statement)
+    chosen = {n for n, _ in variables if n in free}
+    for _ in variables:
+        text = " ".join(k for n, k in variables if n in chosen)
+        chosen |= {n for n, _ in variables if n in re.findall(r"(?:[^\W\d]|_)[\w']*", text)}
+    return chosen
+
+
+def test_needed_variables_two_ways(spark):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(200):
+        names = [f"v{k}" for k in range(rnd.randint(0, 9))]
+        variables = [(rnd.choice(names), rnd.choice(["Type u", "Type*", *(f"Foo {rnd.choice(names)} ({rnd.choice(names)})" for _ in range(4))])) for _ in names]
+        statement = "theorem t " + rnd.choice(["", "(v1 : Nat) ", "{v0 v2 : T} "]) + ": " + " ".join(rnd.choices([*names, "z"], k=2))
+        rows.append((i, statement, [("explicit", n, "", k) for n, k in variables], [f"Ring {n}" for n in names[:2]] + ["Bad (v1"]))
+    rows += [(900, None, None, None), (901, "a", [("explicit", "a", "", "b"), ("explicit", "b", "", "a")], [])]
+    df = spark.createDataFrame(rows, "id long, statement string, variables array<struct<binder:string,name:string,raw:string,type:string>>, local_instances array<string>").repartition(3)
+    got = {r.id: r.x for r in df.select("id", C.needed_variables("statement", "variables", "local_instances").alias("x")).collect()}
+    joined = {}
+    for r in K.needed_by_joins(df, "id").collect():
+        joined.setdefault(r.id, set()).add(r.name)
+    for i, statement, variables, instances in rows:
+        want = brute_needed(statement or "", [(v[1], v[3]) for v in variables or []])
+        assert set(got[i].closed) == want == joined.get(i, set()) and len(got[i].closed) == len(want)
+        assert got[i].instances == [x for x in instances or [] if x.startswith("Ring") and x[5:] in want]
+        assert got[i].universes == (["u"] if any(v[1] in want and v[3] == "Type u" for v in variables or []) else [])
+
+
+def test_spaces_of_measures_come_along():
+    variables = [{"name": "α", "type": "Type u"}, {"name": "m", "type": "MeasurableSpace α"}, {"name": "n", "type": "MeasurableSpace β"}]
+    assert C.needed("theorem t (f : α) : μ f", variables, ["Foo α", "Foo β"])["names"] == ["α", "m"]
+    assert C.needed("theorem t (f : α) : f", variables, [])["names"] == ["α"]
