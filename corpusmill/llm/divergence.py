@@ -28,7 +28,7 @@ from corpusmill.llm.common import materialise
 
 MIN_DOCS, TOP = 30, 50
 SCALE, PRIOR = 1_000_000_000, 5
-#: Sources of all `langs`, and kept terms, that are sent to every task; beyond it the joins are shuffled.
+#: Sources of all `langs` that are sent to every task; beyond it the join is shuffled.
 SENT = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates terms: ASCII but letters.
@@ -43,11 +43,9 @@ def _terms_of(docs: DataFrame, terms: str) -> DataFrame:
 
 def wide_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, total, at): kept terms with their count in each source that has them, by source."""
-    kept = materialise(_terms_of(docs, "array_distinct({w})").groupBy("lang", "term").count().where(F.col("count") >= min_docs).select("lang", "term"), "kept")
-    if kept.count() <= SENT:  # then other terms are left out before they are counted
-        kept = F.broadcast(kept)
-    counts = _terms_of(docs, "{w}").join(kept, ["lang", "term"], "left_semi").groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
-    return counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("at"))
+    kept = _terms_of(docs, "array_distinct({w})").groupBy("lang", "term").count().where(F.col("count") >= min_docs).select("lang", "term")
+    counts = _terms_of(docs, "{w}").groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
+    return counts.join(kept, ["lang", "term"]).groupBy("lang", "term").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("at"))
 
 
 def languages(docs: DataFrame, wide: DataFrame) -> DataFrame:
