@@ -1,20 +1,26 @@
 """HTML extraction: an article element shields its text; a suffix array over each host finds the boilerplate around it.
 
-A page is cut into blocks of visible text. Blocks inside an article (else inside a main element) are
-shielded: repetition never removes them, since articles share passages and the text is to be whole.
+A page is cut into blocks of visible text. The prose of an article (else of a main element) is
+shielded: repetition never removes it, since articles share passages and the text is to be whole.
+Not shielded is what an article sets off in a box: a block in an element with a class, id or role that
+holds less than half of the article's words, if all such boxes together hold less than half.
 All other blocks of all pages of a host are concatenated into token streams, each block led by a token
 for its element, so that menus of single words have runs too. The suffixes of the streams are sorted,
 and runs of at least `RUN` tokens that stand on two or more distinct pages of the host are boilerplate.
-A block that such runs cover whole is repeated; a block with a run of its own stays whole.
+A block that such runs cover whole is repeated; a block with a run of its own stays whole. Pages of a
+host with equal blocks are copies and count as one page, so a copied page keeps its text.
 
-* A page with a shield: its text is the shielded blocks.
+* A page with a shield: its text is the prose and, in their places, the boxes that the array leaves.
 * A page without one: its text is the blocks that the array leaves, but for those that markup itself
-  calls something else (nav, footer, form, ... and class names that say so in every part, for what
-  stands on one page only, which no array can tell from text).
+  calls something else, for what stands on one page only, which no array can tell from text.
+
+Markup calls a block something else by its element (nav, footer, form, ...), its role, a comment's
+microdata, or a class name or id with a telling word and none but neutral words beside it: user-comments
+and adBox go, search-results and comments-open stay. This holds in articles too.
 
 White space is what the HTML standard calls so, and U+00A0 and the other spaces of Unicode (str.split).
 
-Suffixes are dealt to buckets by the smallest hash in their first tokens, so a host with a third of
+Copies are known by 64 bits of a hash, as tokens are. Suffixes are dealt to buckets by the smallest hash in their first tokens, so a host with a third of
 all pages spreads over many tasks; each task first settles what repeats among the pages it reads, and
 sends one occurrence of it on. A bucket sorts its suffixes by prefix doubling.
 
@@ -42,6 +48,7 @@ RUN, PIECE = 8, 3
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?/][^>]*+>""", re.S
 )
+_BOX = re.compile(r"(?:^|\s)(?:class|id|role)\s*=", re.I)
 _ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # fixed values: elements of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,15 +62,23 @@ CLOSES_P = frozenset(
 #: Elements that are never article text, and those that aren't outside an article.
 DROP = frozenset("head nav footer aside form noscript template dialog menu button select object svg math canvas audio video".split())
 DROP_OUTSIDE = frozenset(["header"])
-#: Words of class, id and role that name boilerplate; the second set counts outside an article only.
+#: Words of class and id that name boilerplate; the second set counts outside an article only, the third beside a word of the others.
 NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsored promo sidebar aside nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer comment comments disqus cookie cookies consent gdpr notice newsletter popup modal overlay pagination pager contentinfo complementary dialog".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion sidebar aside nav navbar navigation menu breadcrumb breadcrumbs "
+    "banner masthead topbar toolbar footer comment comments disqus reply replies cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login "
+    "share sharing social popup modal overlay pagination pager contentinfo complementary dialog".split()
 )
-NAMED_OUTSIDE = frozenset(
-    "header banner masthead topbar toolbar form sponsor promotion reply replies notices alert subscribe subscription related recommended share sharing social login signup search widget".split()
+NAMED_OUTSIDE = frozenset("header form alert related recommended search widget".split())
+NEUTRAL = frozenset(
+    "area article bar block body bottom box button buttons container content group holder icons inner inline item items left link links list page panel post reader readers "
+    "right row section site slot text thread top unit user users widget wp wrap wrapper".split()
 )
-_WORD = re.compile(r"[a-z0-9]+")
+# fixed values: roles of parts of a page that are not its article
+ROLES = frozenset("alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+_WORD = re.compile(r"[a-z]+|[0-9]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_COMMENT = re.compile(r"(?:^|[/ ])(?:comment|usercomments?)(?= |$)", re.I)
+_REMARK = frozenset("comment comments reply replies".split())
 SAME_CLOSES = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr table", "th": "tr table", "option": "select datalist"}
 
 
@@ -77,11 +92,14 @@ def _kind(name: str, attrs: str, inside: bool) -> int:
         return 1
     got = _attributes(attrs) if attrs else {}
     if got:
-        named = " ".join([got.get("class", ""), got.get("id", ""), got.get("role", "")]).lower()
-        if (name not in ("html", "body", "article", "main") and name not in INLINE) or "comment" in named:
-            # a name counts only if all its parts do: ad-notice, but not search-results
+        named = _HUMP.sub("-", f"{got.get('class', '')} {got.get('id', '')}").lower()
+        if name not in ("html", "body", "main") and (name not in INLINE or "comment" in named):
+            if ROLES.intersection(got.get("role", "").lower().split()) or _COMMENT.search(f"{got.get('itemtype', '')} {got.get('itemprop', '')}"):
+                return 1
+            # an article's own names tell of its text, but for a reader's comment
+            telling = _REMARK if name == "article" else NAMED if inside else NAMED | NAMED_OUTSIDE
             for words in map(_WORD.findall, named.split()):
-                if words and all(w in NAMED or (not inside and w in NAMED_OUTSIDE) for w in words):
+                if any(w in telling for w in words) and all(w in telling or w in NEUTRAL or w.isdigit() for w in words):
                     return 1
         if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
             return 1
@@ -92,11 +110,14 @@ def _kind(name: str, attrs: str, inside: bool) -> int:
     return {"article": 2, "main": 3}.get(name, 0)
 
 
-def blocks(page: str) -> list[tuple[int, str, str]]:
-    """(zone, element, text) in page order; zone 2: in an article, 3: in a main element, 0: elsewhere, 1: boilerplate by markup."""
-    out: list[tuple[int, str, str]] = []
+def blocks(page: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
+    """(zone, element, text, boxes) in page order; zone 2: in an article, 3: in a main element, 0: elsewhere, 1: boilerplate by markup.
+
+    boxes: the elements with a class, id or role within the article (or main element) that the block stands in, as numbers.
+    """
+    out: list[tuple[int, str, str, tuple[int, ...]]] = []
     held: list[str] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int]] = []
     depth = [0, 0, 0, 0]
     zone = at = 0
 
@@ -104,11 +125,11 @@ def blocks(page: str) -> list[tuple[int, str, str]]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append((zone, next((n for n, _ in reversed(stack) if n not in INLINE), ""), text))
+                out.append((zone, next((n for n, _, _ in reversed(stack) if n not in INLINE), ""), text, tuple(b for _, _, b in stack if b)))
             held.clear()
 
     def pop_to(i: int) -> None:
-        for _, k in stack[i:]:
+        for _, k, _ in stack[i:]:
             depth[k] -= 1
         del stack[i:]
 
@@ -141,7 +162,7 @@ def blocks(page: str) -> list[tuple[int, str, str]]:
                 if name not in INLINE:
                     flush()
                 continue
-            if name not in INLINE or any(k for _, k in stack[i:]):
+            if name not in INLINE or any(k for _, k, _ in stack[i:]):
                 flush()
             pop_to(i)
         else:
@@ -157,7 +178,8 @@ def blocks(page: str) -> list[tuple[int, str, str]]:
                 if i is not None and stack[i][0] == name:
                     pop_to(i)
             if not attrs.endswith("/") or name not in ("svg", "math"):
-                stack.append((name, kind))
+                boxed = kind == 0 and depth[2] + depth[3] > 0 and name not in INLINE and _BOX.search(attrs)
+                stack.append((name, kind, m.start() if boxed else 0))
                 depth[kind] += 1
         zone = 1 if depth[1] else 2 if depth[2] else 3 if depth[3] else 0
     flush()
@@ -176,28 +198,55 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def settle(page: str) -> tuple[str | None, list[str], list[bool]]:
-    """(text, or None where there is no shield; blocks of the host's stream, each led by its element's mark; which of them may be text)."""
+def set_off(own: list[tuple[str, tuple[int, ...]]]) -> list[bool]:
+    """Which of an article's (text, boxes) stand in a box of less than half of its words; none if these are half of it together."""
+    sizes = [len(t.split()) for t, _ in own]
+    held: dict[int, int] = {}
+    for n, (_, boxes) in zip(sizes, own, strict=True):
+        for b in boxes:
+            held[b] = held.get(b, 0) + n
+    off = [any(2 * held[b] < sum(sizes) for b in boxes) for _, boxes in own]
+    return off if 2 * sum(n for n, o in zip(sizes, off, strict=True) if o) < sum(sizes) else [False] * len(own)
+
+
+def settle(page: str) -> tuple[str | None, list[str], list[bool], list[str] | None]:
+    """(text, or None where the array is asked; blocks of the host's stream, each led by its element's mark; which of them may be text; the prose before each of them and at the end, where there is a shield)."""
     got = blocks(page)
-    own = next((z for z in (2, 3) if any(zone == z for zone, _, _ in got)), None)
-    rest = [(z, f"\0{e} {t}") for z, e, t in got if z != own]
-    if own is None and not any(z == 0 for z, _ in rest):  # nothing that may be text
-        return "", [t for _, t in rest], []
-    return None if own is None else " ".join(t for z, _, t in got if z == own), [t for _, t in rest], [z == 0 for z, _ in rest]
+    own = next((z for z in (2, 3) if any(b[0] == z for b in got)), None)
+    off = iter(set_off([(t, boxes) for z, _, t, boxes in got if z == own]))
+    stream, may, prose = [], [], [""]
+    for z, e, t, _ in got:
+        if z == own and not next(off):
+            prose[-1] += f" {t}" if prose[-1] else t
+        else:
+            stream.append(f"\0{e} {t}")
+            may.append(z == own or (own is None and z == 0))
+            prose.append("")
+    if any(may):
+        return None, stream, may, None if own is None else prose
+    return " ".join(filter(None, prose)), stream, [], None
+
+
+def _copy(host: str, got: tuple) -> int:
+    """A number for a page of a host that its copies have too."""
+    name = xxhash.xxh3_64(host)
+    for part in (got[3] or [got[0] or ""]) + got[1]:
+        name.update("\1" + part)
+    return name.intdigest() - (1 << 63)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            got = [settle(h or "") for h in part.column(3).to_pylist()]
-            hosts = [host_of(u) for u in part.column(2).to_pylist()]
+            got = [settle(h or "") for h in part.column(2).to_pylist()]
+            hosts = [host_of(u) for u in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(1), part.column(2), pa.array(hosts, pa.string()), pa.array([g[0] for g in got], pa.string()),
-                    pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([g[2] for g in got], pa.list_(pa.bool_())),
+                    pa.array(map(_copy, hosts, got), pa.int64()), part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array([g[0] for g in got], pa.string()),
+                    pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([g[2] for g in got], pa.list_(pa.bool_())), pa.array([g[3] for g in got], pa.list_(pa.string())),
                 ],
-                names=["uid", "page_id", "url", "host", "text", "blocks", "open"],
+                names=["uid", "page_id", "url", "host", "text", "blocks", "open", "prose"],
             )
 
 
@@ -235,6 +284,7 @@ def _deal(buckets: int, run: int, chunk: int = 1 << 20):
     """Suffix runs of a chunk of pages: settled spans, and for the rest the tokens from lo on that a bucket needs."""
 
     def work(pages: list[tuple[int, str, list[str]]]) -> Iterator[tuple]:
+        pages = list({p[0]: p for p in pages}.values())  # copies are one page
         tokens, owner, start = [], [], []
         for i, (_, host, texts) in enumerate(pages):
             own = [xxhash.xxh3_64_intdigest(w, seed=len(host)) ^ xxhash.xxh3_64_intdigest(host) for t in texts for w in t.split()]
@@ -330,41 +380,47 @@ def repeated_runs(pages: DataFrame, run: int = RUN) -> DataFrame:
     return found.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
 
-def keep_unique(texts: list[str], open_: list[bool], spans: list[dict] | None) -> tuple[str, int, int]:
-    """(the open blocks that repeated runs do not cover whole; blocks that they cover; other blocks that go by their markup)."""
+def keep_unique(texts: list[str], open_: list[bool], prose: list[str] | None, spans: list[dict] | None) -> tuple[str, int, int, int]:
+    """(the prose, and in their places the open blocks that repeated runs do not cover whole; blocks that they cover; open ones of these; other blocks that go by their markup)."""
     sizes = [len(t.split()) for t in texts]
     covered = np.zeros(sum(sizes) + 1, bool)
     for s in spans or ():
         covered[s["lo"] : s["hi"]] = True
-    out, at, repeated, named = [], 0, 0, 0
-    for text, is_open, n in zip(texts, open_, sizes, strict=True):
+    prose = prose or [""] * (len(texts) + 1)
+    out, at, repeated, decided, named = [], 0, 0, 0, 0
+    for text, is_open, n, before in zip(texts, open_, sizes, prose, strict=False):
+        out.append(before)
         if covered[at : at + n].all():
             repeated += 1
+            decided += is_open
         elif is_open:
             out.append(text[text.index(" ") + 1 :])
         else:
             named += 1
         at += n
-    return " ".join(out), repeated, named
+    return " ".join(filter(None, [*out, prose[-1]])), repeated, decided, named
 
 
 def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     """page_id, url, text, n_chars, host, settled_by, n_repeated, n_named for every page row.
 
-    settled_by: shield (an article or main element), else repetition (the array removed a block), else
-    markup. n_repeated, null under a shield: blocks that the array finds on other pages of the host, and
-    n_named those that only their markup tells from text.
+    settled_by: shield (an article or main element, of which the array removed nothing), repetition (the
+    array removed a block), else markup. n_repeated, null where the array was not asked: blocks that it finds
+    on other pages of the host, and n_named those that only their markup tells from text.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("uid"), "page_id", "url", "html")
+    rows = pages.select("page_id", "url", "html")
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = materialise(rows.mapInArrow(_parse, f"uid long, page_id {kind}, url string, host string, text string, blocks array<string>, open array<boolean>"), "pages")
+    parsed = materialise(
+        rows.mapInArrow(_parse, f"uid long, page_id {kind}, url string, host string, text string, blocks array<string>, open array<boolean>, prose array<string>"), "pages"
+    )
     shielded = parsed.where("text is not null").selectExpr("page_id", "url", "text", "host", "if(text = '', 'markup', 'shield') as settled_by", "cast(null as int) as n_repeated", "cast(null as int) as n_named")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [keep_unique(*x) for x in zip(*(b.column(c).to_pylist() for c in ("blocks", "open", "spans")), strict=True)]
-            by = ["repetition" if g[1] else "markup" for g in got]
-            text, repeated, named = (pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32())))
+            prose = b.column("prose").to_pylist()
+            got = [keep_unique(*x) for x in zip(b.column("blocks").to_pylist(), b.column("open").to_pylist(), prose, b.column("spans").to_pylist(), strict=True)]
+            by = [("repetition" if g[2] else "shield") if p else ("repetition" if g[1] else "markup") for g, p in zip(got, prose, strict=True)]
+            text, repeated, named = (pa.array([g[i] for g in got], t) for i, t in ((0, pa.string()), (1, pa.int32()), (3, pa.int32())))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), text, b.column("host"), pa.array(by, pa.string()), repeated, named], names=["page_id", "url", "text", "host", "settled_by", "n_repeated", "n_named"])
 
     rest = parsed.where("text is null").join(repeated_runs(parsed, run), "uid", "left")

@@ -99,8 +99,8 @@ def page_evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> Data
             for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 host = html.host_of(url)
                 labels = host.split(".")
-                text, other, _ = html.settle(page or "")
-                g = trigrams(text if text is not None else " ".join(t[t.index(" ") + 1 :] for t in other))
+                text, other, _, prose = html.settle(page or "")
+                g = trigrams(text if text is not None else " ".join(prose) if prose else " ".join(t[t.index(" ") + 1 :] for t in other))
                 ll = t[:, g].sum(1, dtype=np.float64) * (min(1.0, WEIGHT / len(g)) if len(g) else 0.0)
                 hosts.append(host), parents.append(".".join(labels[-3:] if len(labels) > 3 else labels[1:])), suffixes.append(labels[-1])
                 said.append(primary(html.declared(page or "")))

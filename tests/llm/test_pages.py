@@ -20,8 +20,9 @@ def frame(spark, data):
 
 
 def only(page):
-    text, _, _ = html.settle(page)
-    return text
+    """The text of a page whose host has no other."""
+    text, stream, may, prose = html.settle(page)
+    return html.keep_unique(stream, may, prose, None)[0] if text is None else text
 
 
 @pytest.mark.parametrize(
@@ -37,6 +38,10 @@ def only(page):
         ("<article>never closed <b>bold", "never closed bold"),
         ("", ""),
         ("<title>only a title</title>", ""),
+        ("<article><p>a b c</p><div class='user-comments'>no</div><div id='newsletterBox'>no</div><section class='sponsored-content'>no</section></article>", "a b c"),
+        ("<article><div role='banner'>no</div><p>a</p><ul class='share-buttons x'><li>no</ul><div role='search'>no</div><div class='ad_1'>no</div></article>", "a"),
+        ("<article class='post comments-open has-sidebar'><p>a</p><article class='comment'>no</article><div itemscope itemtype='https://schema.org/Comment'>no</div></article>", "a"),
+        ("<article class='post'><div class='entry-content comments-open'><p>a</p><p id='notice-2'>no</p><p class='noticed adverse'>b</p></div></article>", "a b"),
     ],
 )
 def test_markup(page, want):
@@ -156,6 +161,29 @@ def test_repeats_settle_pages_without_containers(spark):
     assert html.extract(frame(spark, data).where("false")).count() == 0
 
 
+def test_boxes_of_articles_are_settled_by_repetition(spark):
+    """A box without a telling name goes where the host's other pages have it too; prose and copied pages stay whole."""
+    rnd = random.Random(4)
+    text = lambda n: " ".join("".join(rnd.choice("klmnopqr") for _ in range(6)) for _ in range(n))
+    page = lambda *parts: f"<body><article><h1>{parts[0]}</h1><p>{parts[1]}</p><div class='x7'>{parts[2]}</div><p>{parts[3]}</p></article></body>"
+    shared, box, data, want = text(60), text(12), [], {}
+    for i in range(24):
+        head, end = text(4), text(30)
+        own = text(12) if i % 4 == 0 else box
+        data.append((i, f"http://h{i % 2}.example.com/{i}", page(head, shared, own, end)))
+        want[i] = " ".join([head, shared] + [own] * (i % 4 == 0) + [end])
+    copied = page(text(4), text(60), text(12), text(30))
+    for i in (50, 51, 52):
+        data.append((i, f"http://h0.example.com/{i}", copied))
+    sections = "".join(f"<section id='s{k}'>{t}</section>" for k, t in enumerate([shared, box, text(9)]))  # all of the article is boxes: none is set off
+    data.append((60, "http://h1.example.com/60", f"<article>{sections}</article>"))
+    got = {r.page_id: r for r in html.extract(frame(spark, data).repartition(5)).collect()}
+    assert {i: got[i].text for i in want} == want
+    assert all(got[i].settled_by == ("shield" if i % 4 == 0 else "repetition") for i in want)
+    assert len({got[i].text for i in (50, 51, 52)}) == 1 and len(got[50].text.split()) == 106
+    assert got[60].text.split()[:60] == shared.split() and len(got[60].text.split()) == 81
+
+
 def test_suffix_order():
     rnd = np.random.default_rng(1)
     t = rnd.integers(0, 4, 300).astype(np.uint64)
