@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import contexts as C
-from corpusmill.functions import hashing, text
+from corpusmill.functions import hashing, standalone, text
 from corpusmill.operators import contexts as K
 from corpusmill.plans.registry import query
 
@@ -97,12 +97,12 @@ def _(t):
 
 
 def _statements(t):
-    """(doc_id, statement, variables, local_instances): a statement over some of the names that a file's variables have, and the variables in force where it stands."""
+    """(doc_id, statement, variables, local_instances, source): a statement over some of the names that a file's variables have, and the variables in force where it stands."""
     lines = t.documents.select("doc_id", _lines().alias("lines"))
     x = lines.select("doc_id", "lines", C.contexts(F.array_join("lines", "\n"), (F.size("lines") + 1).cast("int")).alias("x"))
     names = F.filter(F.transform("x.variables", lambda v: v["name"]), lambda n: F.pmod(F.xxhash64(n), F.lit(3)) == 0)
     statement = F.concat(F.lit("theorem t (x : Nat) {"), F.coalesce(F.get(names, F.lit(0)), F.lit("y")), F.lit(" : Type u} : "), F.array_join(names, " = "), F.lit(" μ"))
-    return x.select("doc_id", statement.alias("statement"), "x.variables", "x.local_instances")
+    return x.select("doc_id", statement.alias("statement"), "x.variables", "x.local_instances", F.array_join("lines", "\n").alias("source"))
 
 
 @query("f21_needed_variables")
@@ -114,3 +114,39 @@ def _(t):
 @query("f21_needed_by_joins")
 def _(t):
     return K.needed_by_joins(_statements(t), "doc_id")
+
+
+@query("f22_standalone_commands")
+def _(t):
+    """Instances come cut off after their bracket, as an older reading left them; the file has them whole."""
+    source = F.regexp_replace("source", r"\[Monoid (\w+)\]", "[Monoid (M $1)]")
+    cut = F.transform("local_instances", lambda i: F.regexp_replace(i, r"^Monoid .*", "Monoid (M"))
+    x = _statements(t).select("doc_id", standalone.standalone("statement", "variables", cut, source).alias("x"))
+    return x.select("doc_id", F.size("x").alias("n_commands"), F.size(F.filter("x", lambda c: c.startswith("variable ["))).alias("n_instances"), hashing.exact(F.array_join("x", "\n")).alias("commands_sha256"))
+
+
+@query("f22_qualified_texts")
+def _(t):
+    """Every text with the names qualified that its own file declares."""
+    x = t.documents.select("doc_id", "text", standalone.qualified("text", F.concat("lang", F.lit(".Lp")), F.array_join(_lines(), "\n")).alias("q"))
+    return x.select("doc_id", (F.length("q") - F.length("text")).alias("n_added"), hashing.exact(F.col("q")).alias("text_sha256"))
+
+
+@query("f22_plain_opens")
+def _(t):
+    """A text's words as entries of an open command, some of which begin or end a selection."""
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(9)) == 0, F.concat(F.lit("("), w)).when(F.pmod(F.xxhash64(w), F.lit(9)) == 1, F.concat(w, F.lit(")"))).otherwise(w))
+    x = t.documents.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("n_entries"), F.filter("words", lambda w: ~w.rlike(r"[()\s]") & (w != "")).alias("plain"), standalone.plain_opens(F.col("words")).alias("x"))
+    return x.select("doc_id", "n_entries", F.size("plain").alias("n_plain"), F.size("x").alias("n_kept"), hashing.exact(F.array_join("x", " ")).alias("kept_sha256"))
+
+
+@query("f23_theorems")
+def _(t):
+    """Each turn of a conversation as a proof state: its first word is a local, its text a hypothesis of as many lines as it has."""
+    name = F.regexp_replace(F.substring_index(text.strip(F.col("text")), " ", 1), r"[\s:(),{}\[\]]", "_")
+    state = F.concat(
+        F.lit("case h\n"), name, F.lit("✝ b : Type u_1\ninst✝¹ : Monoid (Type ?u.12) "), name, F.lit("✝\n"), F.when(F.col("turn") % 5 != 4, F.lit("h : ")).otherwise(""), "text",
+        F.when(F.col("role") != "system", F.concat(F.lit("\n⊢ "), name, F.lit("✝ = b"))).otherwise(""),
+    )
+    x = t.conversations.select("conv_id", "turn", standalone.theorems(state, F.concat(F.lit("leandojo_"), "conv_id", F.lit("_"), "turn")).alias("x"))
+    return x.select("conv_id", "turn", "x.error", hashing.exact(F.col("x.statement")).alias("statement_sha256"), F.array_join("x.universes", "|").alias("universes"), F.array_join(F.map_keys("x.replacements"), "|").alias("renamed"))
