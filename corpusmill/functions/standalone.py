@@ -71,8 +71,12 @@ def qualify(value: str | None, namespace: str, source: str | None) -> str | None
         return value
 
     def one(m: re.Match) -> str:
-        ends = (e for e in range(m.end(), m.start(), -1) if value[m.start() : e] in names and _EDGE.match(value, e))
-        return f"{namespace}.{m[0]}" if next(ends, None) else m[0]
+        word = m[0]
+        if "'" in word:  # a border lies within
+            hit = any(value[m.start() : e] in names and _EDGE.match(value, e) for e in range(m.end(), m.start(), -1))
+        else:
+            hit = word in names and _EDGE.match(value, m.end())
+        return f"{namespace}.{word}" if hit else word
 
     return _WORD.sub(one, value)
 

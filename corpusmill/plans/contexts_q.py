@@ -25,13 +25,10 @@ def _lines():
     name = lambda w: F.regexp_replace(w, "[^A-Za-z0-9_]", "_")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
 
+    forms = F.array(*(F.lit(form.format(n="\1")) for form in LINES))
+
     def line(w):
-        out, n = None, name(w)
-        for i, form in enumerate(LINES):
-            begin, *rest = form.format(n="\0").split("\0")
-            made = F.concat(F.lit(begin), *(x for r in rest for x in (n, F.lit(r))))
-            out = (F if out is None else out).when(F.pmod(F.xxhash64(w), F.lit(len(LINES))) == i, made)
-        return out
+        return F.replace(F.get(forms, F.pmod(F.xxhash64(w), F.lit(len(LINES))).cast("int")), F.lit("\1"), name(w))
 
     return F.transform(words, line)
 
