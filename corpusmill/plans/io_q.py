@@ -8,7 +8,7 @@ from corpusmill.functions import text
 from corpusmill.operators import dedup
 from corpusmill.operators import records as R
 from corpusmill.plans.registry import Tables, query
-from corpusmill.sources import records, sinks
+from corpusmill.sources import json_arrays, records, sinks
 from corpusmill.sources.shared import folder
 from corpusmill.streaming import attempts as stream
 
@@ -62,6 +62,14 @@ def _(t):
     return records.attempt_log(t.spark, path, "problem_id long, attempt_index int, success boolean")
 
 
+@query("i10_json_array_objects", "SELECT doc_id, lang, source, sha256(text) AS text_sha256 FROM documents")
+def _(t):
+    path = folder(t.spark, "arrays")
+    json_arrays.write(t.documents.select("doc_id", "lang", "source", "text"), path)
+    rows = json_arrays.read(t.spark, path, "doc_id long, lang string, source string, text string", range_bytes=8 << 20)
+    return rows.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("i11_wanted_declarations", "SELECT conv_id AS path, role AS full_name, max(turn) AS code FROM conversations WHERE role <> 'user' GROUP BY 1, 2")
 def _(t):
     corpus = t.conversations.orderBy("conv_id", "turn").select(F.col("conv_id").alias("path"), F.array(F.struct(F.col("role").alias("full_name"), F.col("turn").alias("code"))).alias("premises"))

@@ -63,7 +63,7 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
 
 
 def json_list(spark: SparkSession, path: str, schema: str | None = None, keys=("data", "train", "validation", "test")) -> DataFrame:
-    """I-03, I-10: a top-level list, or the first list under one of the keys."""
+    """I-03: a top-level list, or the first list under one of the keys; a file is a row here (larger arrays: json_arrays)."""
     if not schema:
         raw = spark.read.option("multiLine", True).json(path)
         found = [k for k in keys if k in raw.columns and raw.schema[k].dataType.typeName() == "array"]
