@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import attempts_q, contexts_q, corpus_q, io_q, records_q, rules_q, select_q, whole_q  # noqa: F401
+from corpusmill.plans import attempts_q, contexts_q, corpus_q, io_q, layers_q, records_q, rules_q, select_q, whole_q  # noqa: F401
 from corpusmill.plans.registry import QUERIES, SQL, Query
 
 
