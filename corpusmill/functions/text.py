@@ -152,7 +152,7 @@ def extract_proof(c: Column) -> Column:
     return F.when(prose, F.lit("")).otherwise(proof_rhs(t))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body of a value that is computed once, however often body names it (a plain Column is pasted into each lambda)."""
     return F.transform(F.array(value), body)[0]
 
@@ -162,7 +162,7 @@ def output_class(c: Column) -> Column:
     t = strip(c)
     words = F.regexp_extract_all(t, F.lit(r"(?U)\S+"), F.lit(0))
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda i: F.array_join(F.slice(w, i, F.lit(3)), "\x00"))
-    few = _let(words, lambda w: (F.size(w) >= 24) & (F.size(F.array_distinct(grams(w))) / (F.size(w) - 2) < 0.55))
+    few = let(words, lambda w: (F.size(w) >= 24) & (F.size(F.array_distinct(grams(w))) / (F.size(w) - 2) < 0.55))
     full = F.array_sort(F.filter(F.transform(lines(t), strip), lambda x: x != ""))
     often = (F.size(words) >= 24) & (longest_run(full) >= 3)
     return (

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +26,15 @@ PREMISE_NAMES = ("qualified_name", "full_name", "name", "declaration")
 STEP = ("state_before", "tactic", "state_after")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfc(c: pd.Series) -> pd.Series:
-    return c.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfc(c: pa.Array) -> pa.Array:
+    values = c.flatten()
+    other = pc.fill_null(pc.invert(pc.string_is_ascii(values)), False)
+    if pc.any(other).as_py():
+        values = pc.replace_with_mask(values, other, pa.array([unicodedata.normalize("NFC", x) for x in values.filter(other).to_pylist()], values.type))
+    lengths = pc.fill_null(pc.list_value_length(c), 0)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(lengths.to_numpy(zero_copy_only=False)))), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values, mask=c.is_null() if c.null_count else None)
 
 
 def nfc(c: Column) -> Column:
@@ -36,8 +44,10 @@ def nfc(c: Column) -> Column:
 
 def display(c: Column) -> Column:
     """F-44: line ends as line feeds, no white space before them or at the ends, on text in NFC."""
-    feeds = F.regexp_replace(c, r"\r\n?", "\n")
-    return text.strip(F.regexp_replace(feeds, r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]++(?=\n|\z)", ""))
+    feeds = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]++(?=\n|\z)", "")
+    lined = F.when(c.contains("\n") | c.contains("\r"), feeds).otherwise(c)
+    # patterns over Unicode classes cost most of this, so what has no line ends, or no blank end, is spared them
+    return text.let(lined, lambda x: F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(r"(?U)\s"), text.strip(x)).otherwise(x))
 
 
 def style(proof: Column, declared: Column) -> Column:
@@ -105,11 +115,11 @@ def normalised(rows: DataFrame) -> DataFrame:
         "training_statement": F.col("training_statement"), "training_proof": F.col("training_proof"),
         "training_declaration": F.concat("training_statement", F.lit(" := "), "training_proof"),
         "proof_style": style(F.col("training_proof"), column("proof_style")),
-        "statement_hash_exact": hashing.exact(column("statement")), "statement_hash_normalized": hashing.statement(form), "theorem_group_id": hashing.theorem_group(form),
+        "statement_hash_exact": hashing.exact(column("statement")), "statement_hash_normalized": hashing.statement(form),
         "proof_hash_exact": hashing.exact(column("proof")), "proof_hash_normalized": hashing.normalized(F.get("__nfc", F.lit(1))),
         "declaration_hash_exact": hashing.exact(F.col("__declared")),
         "source_identity_hash": identity(column("repository_commit", "source_commit", "mathlib_commit"), column("source_file"), column("qualified_name", "source_declaration"), span if span is not None else F.lit(None).cast("string")),
-        "premise_set_canonical": premise_names(raw), "premise_set_hash": hashing.exact(F.to_json(premise_names(raw))),
+        "premise_set_canonical": premise_names(raw),
         "verification_status": F.when(success & ~late, "verified_default_timeout").when(late, "timeout_quarantine").otherwise("compile_failure_quarantine"),
         "verification_class": F.coalesce(category, F.when(success, "success").otherwise("unknown")),
         "normalization_version": F.lit(VERSION), "normalized_tactic_trace": F.col("normalized_tactic_trace"), "tactic_trace_validation": validation(F.col("normalized_tactic_trace")),
@@ -117,14 +127,21 @@ def normalised(rows: DataFrame) -> DataFrame:
     meta = F.when(F.col("metadata").isNotNull(), F.col("metadata").withField("normalization_layers", layers)) if "metadata" in have else F.struct(layers.alias("normalization_layers"))
     out["metadata"] = F.coalesce(meta, F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema["metadata"].dataType.fields), layers.alias("normalization_layers"))) if "metadata" in have else meta
     df = df.withColumns({k: F.when(F.col("error").isNull(), v) for k, v in out.items()})
+    df = df.withColumns({"theorem_group_id": F.concat(F.lit("theorem_"), "statement_hash_normalized"), "premise_set_hash": hashing.exact(F.to_json("premise_set_canonical"))})
     return df.drop("__trace", "__nfc", "__shown", "__declared")
 
 
 def validation(trace: Column) -> Column:
     """Of a normalised trace: steps numbered from 0 without gaps, each beginning with the state that the last left, the last with no goals."""
-    steps = F.filter(trace, lambda s: s.isNotNull())
-    n = F.size(steps)
-    indices = F.forall(F.transform(steps, lambda s, i: F.coalesce(s["step_index"] == i, F.lit(False))), lambda x: x)
-    meets = F.forall(F.transform(steps, lambda s, i: F.coalesce((i == 0) | (F.get(steps, i - 1)["normalized_state_after"] == s["normalized_state_before"]), F.lit(True))), lambda x: x)
-    ends = F.coalesce(F.lower(F.get(steps, n - 1)["normalized_state_after"]), F.lit("")).isin("no goals", "")
-    return F.struct(indices.alias("step_indices_continuous"), meets.alias("adjacent_states_aligned"), ends.alias("final_goal_closed"), n.alias("step_count"))
+
+    def checks(steps):
+        n = F.size(steps)
+        indices = F.transform(steps, lambda s: s["step_index"])
+        meets = F.zip_with(F.slice(steps, 1, F.greatest(n - 1, F.lit(0))), F.slice(steps, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.coalesce(a["normalized_state_after"] == b["normalized_state_before"], F.lit(True)))
+        last = F.coalesce(F.lower(F.get(steps, n - 1)["normalized_state_after"]), F.lit(""))
+        return F.struct(
+            F.forall(F.transform(indices, lambda x, i: F.coalesce(x == i, F.lit(False))), lambda x: x).alias("step_indices_continuous"),
+            F.forall(meets, lambda x: x).alias("adjacent_states_aligned"), last.isin("no goals", "").alias("final_goal_closed"), n.alias("step_count"),
+        )
+
+    return text.let(F.filter(trace, lambda s: s.isNotNull()), checks)
