@@ -39,7 +39,7 @@ def _nfc(c: pa.Array) -> pa.Array:
 
 def nfc(c: Column) -> Column:
     """An array of strings in NFC; only rows with other than ASCII characters carry their strings to Python."""
-    return F.coalesce(_nfc(F.when(F.exists(c, lambda x: x.rlike(r"[^\x00-\x7F]")), c)), c)
+    return F.coalesce(_nfc(F.when(F.exists(c, lambda x: F.octet_length(x) != F.length(x)), c)), c)
 
 
 def display(c: Column) -> Column:
@@ -63,7 +63,7 @@ def premise_names(c: Column) -> Column:
         fields = (F.nullif(F.get_json_object(p, f"$.{k}"), F.lit("")) for k in PREMISE_NAMES)
         return F.when(p.startswith("{"), F.coalesce(*fields, hashing.exact(p))).otherwise(p)
 
-    return hashing.premises(F.transform(F.filter(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda p: p.isNotNull()), name))
+    return F.sort_array(F.array_distinct(F.transform(F.filter(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda p: p.isNotNull()), name)))
 
 
 def identity(commit: Column, file: Column, name: Column, span: Column) -> Column:
@@ -91,7 +91,8 @@ def normalised(rows: DataFrame) -> DataFrame:
     category = F.nullif(F.col("verification.error_category"), F.lit("")) if check else F.lit(None).cast("string")
 
     strings = F.concat(F.array(column("statement"), column("proof")), F.flatten(F.transform(trace, lambda s: F.array(*(s[k] for k in STEP)))))
-    df = rows.withColumns({"__trace": trace, "__nfc": nfc(strings), "__declared": column("declaration_source", "raw_declaration")})
+    df = rows.withColumns({"__trace": trace, "__strings": strings, "__declared": column("declaration_source", "raw_declaration")})
+    df = df.withColumn("__nfc", nfc(F.col("__strings")))
     df = df.withColumn("__shown", F.transform("__nfc", display))
     at = lambda i, k: F.get("__shown", F.lit(2) + i * 3 + F.lit(k))
     named = lambda s, i: [F.when(s.isNotNull(), i).alias("normalized_step_index"), *(at(i, k).alias(f"normalized_{c}") for k, c in enumerate(STEP))]
@@ -128,7 +129,7 @@ def normalised(rows: DataFrame) -> DataFrame:
     out["metadata"] = F.coalesce(meta, F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema["metadata"].dataType.fields), layers.alias("normalization_layers"))) if "metadata" in have else meta
     df = df.withColumns({k: F.when(F.col("error").isNull(), v) for k, v in out.items()})
     df = df.withColumns({"theorem_group_id": F.concat(F.lit("theorem_"), "statement_hash_normalized"), "premise_set_hash": hashing.exact(F.to_json("premise_set_canonical"))})
-    return df.drop("__trace", "__nfc", "__shown", "__declared")
+    return df.drop("__trace", "__strings", "__nfc", "__shown", "__declared")
 
 
 def validation(trace: Column) -> Column:
