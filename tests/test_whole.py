@@ -126,3 +126,18 @@ def test_groups_go_whole_and_structures_match(tables):
     assert matches == {1, 2, 3}
     gone = {r.theorem_group_id: r.removed for r in tables("j09_group_removal")}
     assert sum(gone.values()) == 3 and sorted(gone.values()) == [1, 2]
+
+
+def test_similar_sets_send_no_set_for_each_pair(spark, tmp_path):
+    """Near copies with common words: the right pairs, two classes under one number apart, and keys only where sets are near."""
+    from corpusmill.operators import leakage
+
+    common = [f"the{i}" for i in range(30)]
+    near = [[*common, f"x{i}"] for i in range(40)]
+    far = [[*common, *(f"y{i}_{j}" for j in range(12))] for i in range(300)]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(near + far)], "id int, tokens array<string>")
+    got = {(r.a, r.b): r.score for r in leakage.similar_sets(rows, rows).collect()}
+    assert got == {(i, j): 1.0 if i == j else 30 / 32 for i in range(40) for j in range(40)} | {(i, i): 1.0 for i in range(40, 340)}
+    keys = rows.selectExpr("cast(id as long) as c", "cast(size(tokens) as long) as n", "transform(tokens, w -> xxhash64(w)) as h").mapInArrow(leakage._part_keys(0.9), "key long, c long, own boolean")
+    shared = keys.where("c >= 40").groupBy("key").count().where("count > 1")
+    assert shared.agg({"count": "max"}).first()[0] is None or shared.count() < 20
