@@ -93,11 +93,16 @@ def screen_route(initial: Column, total: Column, attempts: Column) -> Column:
     )
 
 
+def scarcity_weight(successes: Column, attempts: Column) -> Column:
+    """F-35: the weight by the rate alone, whatever the number of attempts."""
+    rare = F.least(F.lit(1.30), 1.0 + 0.30 * F.greatest(F.lit(0.0), 1.0 - (successes / attempts) / 0.125))
+    return F.when((successes <= 0) | (attempts <= 0), 0.0).otherwise(rare)
+
+
 def problem_weight(successes: Column, attempts: Column) -> Column:
     """F-35."""
     table = F.coalesce(*(F.when(successes == k, v) for k, v in WEIGHTS_E2.items()), F.lit(0.0))
-    rare = F.least(F.lit(1.30), 1.0 + 0.30 * F.greatest(F.lit(0.0), 1.0 - (successes / attempts) / 0.125))
-    return F.when((successes <= 0) | (attempts <= 0), 0.0).when(attempts == 8, table).otherwise(rare)
+    return F.when((successes <= 0) | (attempts <= 0), 0.0).when(attempts == 8, table).otherwise(scarcity_weight(successes, attempts))
 
 
 def difficulty_weight(successes: Column, attempts: Column, anchors=WEIGHTS_V2) -> Column:

@@ -102,6 +102,24 @@ def test_attempts_of_a_hot_problem_are_all_there(tables):
     assert last == pytest.approx(0.9 * 0.5 + 0.1 * ((20 * 0.64 + 27 * 0.04) / 47) ** 0.5)
 
 
+def _same_as_sql(tables, name, events):
+    duckdb = pytest.importorskip("duckdb")
+    from corpusmill.plans import catalog
+
+    kinds = "event_id long, user_id long, event_type string, value double"
+    got = [tuple(r) for r in tables(name, events=(kinds + ", ts timestamp", [(*e, None) for e in events]))]
+    con = duckdb.connect()
+    con.execute("create table events (event_id bigint, user_id bigint, event_type varchar, value double, ts timestamp)")
+    con.executemany("insert into events values (?, ?, ?, ?, null)", events)
+    assert sorted(got) == sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
+    return got
+
+
+def test_weights_of_problems_with_eight_attempts_are_those_of_the_sql(tables):
+    events = [(10 * u + i, u, "purchase" if i < u else "view", 1.0) for u in range(1, 5) for i in range(8)]
+    assert {r[2] for r in _same_as_sql(tables, "f35_problem_weights", events)} == {1.0}
+
+
 def test_text_operators_read_the_texts(tables):
     long = "word " * 20_000
     data = [(0, "theorem a : b := by simp"), (1, long + "\nsorry"), (2, long + '"sorry" -- admit'), (4, "theorem a : b := by ring"), (8, ""), (12, None)]
