@@ -120,6 +120,13 @@ def test_weights_of_problems_with_eight_attempts_are_those_of_the_sql(tables):
     assert {r[2] for r in _same_as_sql(tables, "f35_problem_weights", events)} == {1.0}
 
 
+def test_budget_orders_sums_of_doubles_as_the_sql_does(tables):
+    pair = lambda u, *values: [(100 * u + i, u, "purchase" if i == 0 else "view", v) for i, v in enumerate(values)]
+    events = [e for u in range(40) for e in (pair(u, 0.1, 0.2) if u % 2 else pair(u, 0.3))]  # 0.30000000000000004 and 0.3
+    first = {r[0] for r in _same_as_sql(tables, "o07_budget_with_cooldown", events) if r[1] <= 20}
+    assert first == set(range(1, 40, 2))
+
+
 def test_text_operators_read_the_texts(tables):
     long = "word " * 20_000
     data = [(0, "theorem a : b := by simp"), (1, long + "\nsorry"), (2, long + '"sorry" -- admit'), (4, "theorem a : b := by ring"), (8, ""), (12, None)]
