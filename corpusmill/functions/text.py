@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.functions.rows import by_slices
+
 # fixed values: the token, declaration and fence patterns
 TOKEN = r"(?U)[A-Za-z_\u0080-\uffff][\w'.\u0080-\uffff]*|\d+|:=|=>|->|[^\s]"
 TACTICS = (
@@ -51,9 +52,9 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(c: pd.Series) -> pd.Series:
-    return c.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+@by_slices(T.StringType())
+def _nfc(t):
+    return None if t is None else unicodedata.normalize("NFC", t)
 
 
 def nfc(df: DataFrame, column: str) -> DataFrame:

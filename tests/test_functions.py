@@ -140,3 +140,22 @@ def test_runs(spark):
     assert one(spark, text.output_class(F.lit("by x\nby y"))) == "multiple_proofs"
     assert one(spark, text.output_class(F.lit("a b c " * 20))) == "repetitive_output"
     assert one(spark, text.output_class(F.lit("```x"))) == "unterminated_code_fence"
+
+
+def test_values_of_a_batch_become_objects_by_slices(monkeypatch):
+    """An Arrow batch of 1,000 texts is turned into Python objects 64 rows at a time; nulls, structs and empty batches pass."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from corpusmill.functions import rows, text
+
+    seen = []
+    made = rows.by_slices(T.StructType([T.StructField("x", T.StringType()), T.StructField("n", T.ArrayType(T.LongType()))]))(lambda a, b: seen.append(a) or {"x": a, "n": [b]})
+    texts = pa.array([None, *map(str, range(999))])
+    sizes = []
+    monkeypatch.setattr(rows.pa, "concat_arrays", lambda parts: sizes.extend(map(len, parts)) or pa.chunked_array(parts).combine_chunks())
+    got = made.func(texts, pa.array(range(1000)))
+    assert max(sizes) == rows.SLICE == 64 and sum(sizes) == len(seen) == 1000
+    assert got[0].as_py() == {"x": None, "n": [0]} and got[-1].as_py() == {"x": "998", "n": [999]}
+    assert len(made.func(texts[:0], texts[:0])) == 0
+    assert text._nfc.func(pa.array(["é", None])).to_pylist() == ["é", None]
