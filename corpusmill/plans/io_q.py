@@ -100,7 +100,7 @@ def _(t):
 def _(t):
     path = folder(t.spark, "shards")
     sinks.shard_by_problem(t.attempts.select("problem_id", "attempt_index"), path)
-    # the folder's name is the column problem
+    # each line names its problem
     return t.spark.read.schema("attempt_index int, problem string").json(path).groupBy("problem").agg(F.count("*").alias("n"))
 
 

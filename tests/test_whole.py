@@ -127,6 +127,25 @@ def test_budget_orders_sums_of_doubles_as_the_sql_does(tables):
     assert first == set(range(1, 40, 2))
 
 
+def test_problems_share_folders_and_none_is_in_two(spark, tmp_path):
+    import glob
+    import json
+    import zlib
+
+    from corpusmill.sources import sinks
+
+    path = f"{tmp_path}/shards"
+    sinks.shard_by_problem(spark.range(6000).selectExpr("id div 2 as problem_id", "cast(id % 2 as int) as attempt_index"), path)
+    files = glob.glob(f"{path}/shard=*/*.json")
+    assert len(files) <= sinks.FOLDERS < 3000
+    held = {}
+    for f in files:
+        for line in open(f):
+            row = json.loads(line)
+            held.setdefault(row["problem"], []).append((int(f.split("shard=")[1].split("/")[0]), row["attempt_index"]))
+    assert {p: sorted(v) for p, v in held.items()} == {str(p): [(zlib.crc32(str(p).encode()) % sinks.FOLDERS, i) for i in (0, 1)] for p in range(3000)}
+
+
 def test_text_operators_read_the_texts(tables):
     long = "word " * 20_000
     data = [(0, "theorem a : b := by simp"), (1, long + "\nsorry"), (2, long + '"sorry" -- admit'), (4, "theorem a : b := by ring"), (8, ""), (12, None)]
