@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing, scoring
 
+#: Indices of a bootstrap that one row stands for, and about how many a task draws.
+BLOCK, TASK = 1 << 16, 1 << 22
+
+
 def by_problem():
     return W.partitionBy("problem_id")
 
@@ -80,13 +84,18 @@ def mcnemar(discordant_a: Column, discordant_b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+def paired_counts(x: Column, y: Column) -> list[Column]:
+    """What `paired` counts over rows in which x and y say whether either model solved a problem."""
+    return [
+        F.count("*").alias("problems"), F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_left"),
+        F.count_if(~x & y).alias("only_right"), F.count_if(~x & ~y).alias("neither"),
+    ]
+
+
 def paired(left: DataFrame, right: DataFrame) -> DataFrame:
     """J-22, A-31, A-32: (problem_id, solved) of two models on the same problems; one row."""
     both = left.select("problem_id", F.col("solved").alias("x")).join(right.select("problem_id", F.col("solved").alias("y")), "problem_id")
-    out = both.agg(
-        F.count("*").alias("problems"), F.count_if(F.expr("x and y")).alias("both"), F.count_if(F.expr("x and not y")).alias("only_left"),
-        F.count_if(F.expr("not x and y")).alias("only_right"), F.count_if(F.expr("not x and not y")).alias("neither"),
-    )
+    out = both.agg(*paired_counts(F.col("x"), F.col("y")))
     return out.withColumn("delta", (F.col("only_right") - F.col("only_left")) / F.col("problems")).withColumn("p_value", mcnemar(F.col("only_left"), F.col("only_right")))
 
 
@@ -104,21 +113,34 @@ def bootstrap(values: DataFrame, seed: int, draws: int) -> DataFrame:
 
 
 def paired_interval(left: DataFrame, right: DataFrame, seed: int, draws: int = 10_000, level: float = 0.95) -> DataFrame:
-    """A-33: (problem_id, solved) of two models: mean difference right - left, and the bootstrap interval of it over all draws; one row.
+    """A-33: (problem_id, solved) of two models: mean difference right - left, and the bootstrap interval of it over all draws; one row."""
+    both = left.select("problem_id", F.col("solved").alias("x")).join(right.select("problem_id", F.col("solved").alias("y")), "problem_id")
+    return paired_intervals(both, {0: (F.col("x"), F.col("y"))}, seed, draws, level).drop("k")
+
+
+def paired_intervals(both: DataFrame, pairs: dict[int, tuple[Column, Column]], seed: int, draws: int = 10_000, level: float = 0.95) -> DataFrame:
+    """A-33 for several comparisons k over the same problems, one row of `both` each: the intervals of y - x; one row for each k.
 
     A difference is -1, 0 or 1, so problems are numbered by their difference and three counts say what a drawn index is worth; no row is joined.
+    All comparisons take the same indices, so each is drawn once.
     """
-    got = paired(left, right).select("problems", "only_left", "only_right").first()
-    n, down, up, spark = got.problems, got.only_left, got.only_right, left.sparkSession
+    counts = both.agg(*(F.struct(*paired_counts(x, y)).alias(str(k)) for k, (x, y) in pairs.items())).first().asDict()
+    n, spark = next(iter(counts.values())).problems, both.sparkSession
     if not n:
-        return spark.createDataFrame([(0, None, None, None)], "problems long, delta double, low double, high double")
-    picks = spark.range(draws).withColumnRenamed("id", "draw").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    at = F.conv(F.left(hashing.order_key(seed, F.col("draw"), F.col("i")), F.lit(8)), 16, 10).cast("long") % n
-    worth = F.when(at < down, -1).when(at < down + up, 1).otherwise(0)
-    sums = picks.groupBy("draw").agg(F.sum(worth).alias("sum")).agg(F.sort_array(F.collect_list("sum")).alias("s"))
-    place = lambda q: F.element_at("s", int(q * (draws - 1)) + 1) / F.lit(n)
+        return spark.createDataFrame([(k, 0, None, None, None) for k in pairs], "k int, problems long, delta double, low double, high double")
+    # rows of at most BLOCK indices, in tasks of about TASK of them
+    row = -(-n // BLOCK)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, draws * n // TASK)
+    blocks = spark.range(0, draws * row, 1, min(tasks, draws * row)).select(F.floor(F.col("id") / row).alias("draw"), (F.col("id") % row * BLOCK).alias("first"))
+    picks = blocks.select("draw", F.explode(F.sequence("first", F.least(F.col("first") + (BLOCK - 1), F.lit(n - 1)))).alias("i"))
+    picks = picks.select("draw", (F.conv(F.left(hashing.order_key(seed, F.col("draw"), F.col("i")), F.lit(8)), 16, 10).cast("long") % n).alias("at"))
+    worth = lambda c: F.when(F.col("at") < c.only_left, -1).when(F.col("at") < c.only_left + c.only_right, 1).otherwise(0)
+    sums = picks.groupBy("draw").agg(*(F.sum(worth(c)).alias(k) for k, c in counts.items())).agg(*(F.sort_array(F.collect_list(k)).alias(k) for k in counts))
     tail = round((1 - level) / 2, 12)
-    return sums.select(F.lit(n).cast("long").alias("problems"), F.lit((up - down) / n).alias("delta"), place(tail).alias("low"), place(1 - tail).alias("high"))
+    place = lambda k, q: F.element_at(F.col(k), int(q * (draws - 1)) + 1) / F.lit(n)
+    delta = lambda c: F.lit((c.only_right - c.only_left) / n)
+    each = (F.struct(F.lit(int(k)).alias("k"), F.lit(n).cast("long").alias("problems"), delta(c).alias("delta"), place(k, tail).alias("low"), place(k, 1 - tail).alias("high")) for k, c in counts.items())
+    return sums.select(F.inline(F.array(*each)))
 
 
 def resume_work(problems: DataFrame, k: int, done: DataFrame) -> DataFrame:

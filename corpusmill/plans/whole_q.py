@@ -144,9 +144,10 @@ def _(t):
 @query("a33_paired_bootstrap")
 def _(t):
     """95 % intervals of pass@1 and pass@4 between the first and the last attempts of 32, as in a31, from 10,000 draws."""
-    solved = lambda low, k: t.attempts.groupBy("problem_id").agg(F.bool_or(F.col("success") & F.col("attempt_index").between(low, low + k - 1)).alias("solved"))
-    one, four = (A.paired_interval(solved(0, k), solved(28, k), 7).select(F.lit(k).alias("k"), "*") for k in (1, 4))
-    return one.unionByName(four)
+    solved = lambda low, k: F.bool_or(F.col("success") & F.col("attempt_index").between(low, low + k - 1))
+    ends = {f"{side}{k}": solved(low, k).alias(f"{side}{k}") for k in (1, 4) for side, low in (("x", 0), ("y", 28))}
+    both = t.attempts.where(F.col("problem_id").isNotNull()).groupBy("problem_id").agg(*ends.values())
+    return A.paired_intervals(both, {k: (F.col(f"x{k}"), F.col(f"y{k}")) for k in (1, 4)}, 7)
 
 
 @query("v03_forbidden_tokens")

@@ -1,6 +1,7 @@
 """Queries over whole texts and all rows, against brute force on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -87,6 +88,19 @@ def test_bootstrap_gives_the_paired_interval(tables, spark):
     assert {(r.k, r.problems, r.delta, r.low, r.high) for r in rows} == {(1, 3, 1.0, 1.0, 1.0), (4, 3, 1.0, 1.0, 1.0)}
 
 
+def test_bootstrap_draws_once_for_all_comparisons(spark, monkeypatch):
+    from corpusmill.operators import attempts as A
+
+    monkeypatch.setattr(A, "BLOCK", 4)
+    both = spark.createDataFrame([(i, i % 3 == 0, i % 2 == 0, i % 5 > 0) for i in range(11)], "problem_id int, x boolean, y boolean, z boolean")
+    got = A.paired_intervals(both, {1: (F.col("x"), F.col("y")), 4: (F.col("x"), F.col("z"))}, 3, 300)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    side = lambda c: both.select("problem_id", F.col(c).alias("solved"))
+    alone = {k: A.paired_interval(side("x"), side(c), 3, 300).first() for k, c in ((1, "y"), (4, "z"))}
+    assert {r.k: r[1:] for r in got.collect()} == {k: tuple(r) for k, r in alone.items()}
+    assert [tuple(r) for r in A.paired_intervals(both.where("false"), {1: (F.col("x"), F.col("y"))}, 3).collect()] == [(1, 0, None, None, None)]
+
+
 def test_attempts_of_a_hot_problem_are_all_there(tables):
     events = [(i, 1 if i < 100 else i, "purchase" if i == 90 else "view", float(i), None) for i in range(140)]
     rows = ("event_id long, user_id long, event_type string, value double, ts timestamp", events)
