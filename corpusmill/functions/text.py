@@ -63,16 +63,32 @@ def nfc(df: DataFrame, column: str) -> DataFrame:
     return df.where(~F.coalesce(other, F.lit(False))).unionByName(df.where(other).withColumn(column, _nfc(column)))
 
 
+def _trim(c: Column) -> Column:
+    """`strip`, whose pattern only reads a text that has white space at an end."""
+    return let(c, lambda x: F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(r"(?U)\s"), strip(x)).otherwise(x))
+
+
 def normalize_lexical(c: Column) -> Column:
-    """Line ends, spaces at line ends and runs of blanks, on text already in NFC (H-05)."""
-    t = F.regexp_replace(c, r"\r\n|\r", "\n")
-    t = F.regexp_replace(t, r"(?Um)[^\S\n]+$", "")
-    return strip(F.regexp_replace(t, r"[ \t]+", " "))
+    """Line ends, spaces at line ends and runs of blanks, on text already in NFC (H-05).
+
+    Patterns over Unicode classes cost most of this, so each reads only texts in which it has something to replace.
+    """
+    t = let(c, lambda x: F.when(x.contains("\r"), F.regexp_replace(x, r"\r\n|\r", "\n")).otherwise(x))
+    # what $ stands before with (?m), after a blank; there is no \r any more
+    ends = lambda x: x.rlike(r"(?Us)[\n\x85\u2028\u2029](?<=[^\S\n].)") | F.right(x, F.lit(1)).rlike(r"(?U)[^\S\n]")
+    t = let(t, lambda x: F.when(ends(x), F.regexp_replace(x, r"(?Um)[^\S\n]+$", "")).otherwise(x))
+    return _trim(let(t, lambda x: F.when(x.contains("  ") | x.contains("\t"), F.regexp_replace(x, r"[ \t]+", " ")).otherwise(x)))
 
 
 def drop_assignment(c: Column) -> Column:
-    """Without a trailing := (F-11)."""
-    return F.regexp_replace(c, r"(?U)\s*:=\s*$", "")
+    """Without a trailing := (F-11); only what stands around the last one is read by a pattern."""
+
+    def cut(x, after):
+        head = F.left(x, F.length(x) - F.length(after) - 2)
+        bare = let(head, lambda h: F.when(F.right(h, F.lit(1)).rlike(r"(?U)\s"), F.regexp_extract(h, r"(?Us)\A(.*\S)", 1)).otherwise(h))
+        return F.when(after.rlike(r"(?U)\A\s*\z"), bare).otherwise(x)
+
+    return let(c, lambda x: F.when(x.contains(":="), let(F.substring_index(x, ":=", -1), lambda after: cut(x, after))).otherwise(x))
 
 
 def statement_form(c: Column) -> Column:

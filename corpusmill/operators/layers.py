@@ -45,8 +45,8 @@ def nfc(c: Column) -> Column:
 def display(c: Column) -> Column:
     """F-44: line ends as line feeds, no white space before them or at the ends, on text in NFC."""
     feeds = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]++(?=\n|\z)", "")
-    lined = F.when(c.contains("\n") | c.contains("\r"), feeds).otherwise(c)
-    # patterns over Unicode classes cost most of this, so what has no line ends, or no blank end, is spared them
+    lined = F.when(c.contains("\r") | (c.contains("\n") & c.rlike(r"(?U)\n(?<=[\s&&[^\n]]\n)")), feeds).otherwise(c)
+    # patterns over Unicode classes cost most of this, so what has no blank before a line end, or no blank end, is spared them
     return text.let(lined, lambda x: F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(r"(?U)\s"), text.strip(x)).otherwise(x))
 
 
@@ -63,7 +63,8 @@ def premise_names(c: Column) -> Column:
         fields = (F.nullif(F.get_json_object(p, f"$.{k}"), F.lit("")) for k in PREMISE_NAMES)
         return F.when(p.startswith("{"), F.coalesce(*fields, hashing.exact(p))).otherwise(p)
 
-    return F.sort_array(F.array_distinct(F.transform(F.filter(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda p: p.isNotNull()), name)))
+    given = F.array_distinct(F.coalesce(c, F.expr("cast(array() as array<string>)")))  # a premise that is named often is looked at once
+    return F.sort_array(F.array_distinct(F.transform(F.filter(given, lambda p: p.isNotNull()), name)))
 
 
 def identity(commit: Column, file: Column, name: Column, span: Column) -> Column:
