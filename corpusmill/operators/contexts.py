@@ -161,8 +161,10 @@ def needed_by_joins(df: DataFrame, key: str) -> DataFrame:
     """F-21 as an iterated join: (key, name) of the variables that each row's statement needs, of df (key, statement, variables).
 
     Round by round the names that the types of the last round's variables use are added, until none is new;
-    rounds are as many as the longest chain of types, and each is written, so the plan stays small.
+    rounds are as many as the longest chain of types, and each is written, so the plan stays small. What is
+    taken of df is written first, since every branch of the joins would read its sources again.
     """
+    df = materialise(df.select(key, "statement", F.transform("variables", lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"))).alias("variables")), "statements")
     rows = df.select(key, F.explode("variables").alias("v")).select(key, F.col("v.name").alias("name"), F.col("v.type").alias("type")).where("name <> ''")
     names = rows.select(key, "name").distinct()
     uses = rows.select(key, "name", F.explode(C.identifiers("type")).alias("to")).distinct()

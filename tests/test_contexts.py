@@ -228,6 +228,19 @@ def test_needed_variables_two_ways(spark):
         assert got[i].universes == (["u"] if any(v[1] in want and v[3] == "Type u" for v in variables or []) else [])
 
 
+def test_joins_read_each_statement_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("statement string, variables array<struct<binder:string,name:string,raw:string,type:string>>")
+    def row(i):
+        read.add(1)
+        return f"theorem t : a{i}", [("explicit", f"a{i}", "", "b c"), ("explicit", "b", "", f"a{i}"), ("explicit", "d", "", "b")]
+
+    df = spark.range(0, 40, 1, 3).withColumn("x", row("id")).select("id", "x.*")
+    got = {(r.id, r.name) for r in K.needed_by_joins(df, "id").collect()}
+    assert got == {(i, n) for i in range(40) for n in (f"a{i}", "b")} and read.value == 40
+
+
 def test_spaces_of_measures_come_along():
     variables = [{"name": "α", "type": "Type u"}, {"name": "m", "type": "MeasurableSpace α"}, {"name": "n", "type": "MeasurableSpace β"}]
     assert C.needed("theorem t (f : α) : μ f", variables, ["Foo α", "Foo β"])["names"] == ["α", "m"]
