@@ -44,9 +44,11 @@ p AS (SELECT id, row_number() OVER (ORDER BY priority DESC, {_key(1, 'id')}) AS
 SELECT id, CAST(place AS INT) AS place, CASE WHEN place <= 40 THEN 'selected' ELSE 'deferred' END AS state FROM p""")
 def _(t):
     # the SQL adds doubles event after event, so users whose exact sums are equal may differ in the last bit; a running sum adds in that order and streams a user's rows
-    so_far = F.sum("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0))
-    events = t.events.select("user_id", "event_id", "event_type", so_far.alias("so_far"))
-    r = events.groupBy(F.col("user_id").alias("id")).agg(F.max_by("so_far", "event_id").alias("priority"), F.count_if(F.col("event_type") == "purchase").alias("wins"))
+    in_order = W.partitionBy("user_id").orderBy("event_id")
+    so_far = F.sum("value").over(in_order.rowsBetween(W.unboundedPreceding, 0))
+    # the last row by its number: ids that are null or there twice would name no row, or one whose sum is not whole yet
+    events = t.events.select("user_id", "event_type", so_far.alias("so_far"), F.row_number().over(in_order).alias("nth"))
+    r = events.groupBy(F.col("user_id").alias("id")).agg(F.max_by("so_far", "nth").alias("priority"), F.count_if(F.col("event_type") == "purchase").alias("wins"))
     return S.budget(r.where("wins % 5 <> 0"), 40, F.desc("priority"), hashing.order_key(1, F.col("id"))).select("id", "place", "state")
 
 

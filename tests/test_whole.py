@@ -141,6 +141,12 @@ def test_budget_orders_sums_of_doubles_as_the_sql_does(tables):
     assert first == set(range(1, 40, 2))
 
 
+def test_budget_sums_all_events_whatever_their_ids(tables):
+    ids = lambda u, i: None if u % 3 == 1 else 7 if u % 3 == 2 else 10 * u + i
+    events = [(ids(u, i), u, "purchase" if i == 0 else "view", float(u if i == 3 else 100)) for u in range(12) for i in range(6)]
+    assert [r[0] for r in sorted(_same_as_sql(tables, "o07_budget_with_cooldown", events), key=lambda r: r[1])] == list(range(11, -1, -1))
+
+
 def test_problems_share_folders_and_none_is_in_two(spark, tmp_path):
     import glob
     import json
